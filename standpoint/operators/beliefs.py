@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
 from standpoint.operators.scan import running_before, salted_join
@@ -22,10 +23,9 @@ NEVER = float("-inf")
 RANK_BLOCK_SECONDS = 3600.0
 
 
-def _rank_frame(groups: DataFrame, values: dict, keys: list[str]) -> DataFrame:
-    """Running sums over rank groups, highest rank first. Blocks are an authority and an hour of validity."""
-    hour = F.when(F.col("vf") == NEVER, F.lit(NEVER)).otherwise(F.floor(F.col("vf") / RANK_BLOCK_SECONDS).cast("double"))
-    return running_before(groups, keys, [(F.col("authority"), "desc"), (hour, "desc")], [F.col("vf").desc()], values)
+def _hour() -> Column:
+    """Blocks of validity time; a block of one authority and hour holds few distinct times."""
+    return F.when(F.col("vf") == NEVER, F.lit(NEVER)).otherwise(F.floor(F.col("vf") / RANK_BLOCK_SECONDS).cast("double"))
 
 
 def dense_rank_edges(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -33,12 +33,19 @@ def dense_rank_edges(edges: DataFrame, keys: list[str] | None = None) -> DataFra
     keys = keys or PRED
     e = edges.withColumn("vf", F.coalesce(F.col("valid_from"), F.lit(NEVER)))
     groups = e.select(*keys, "authority", "vf").distinct()
-    ranked = _rank_frame(groups, {"rank": F.lit(1)}, keys).withColumn("rank", F.coalesce("rank", F.lit(0)).cast("int"))
+    ranked = running_before(groups, keys, [(F.col("authority"), "desc"), (_hour(), "desc")], [F.col("vf").desc()],
+                            {"rank": F.lit(1)}).withColumn("rank", F.coalesce("rank", F.lit(0)).cast("int"))
     return salted_join(e, ranked, [*keys, "authority", "vf"], ["record_id"]).drop("vf")
 
 
 def precedence(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Outcome distribution (s, v, u, c) per predicate with at least one reading (p_s, p_r, p_n)."""
+    """Outcome distribution (s, v, u, c) and number of decisive readings per predicate that has a reading
+    (p_s, p_r, p_n).
+
+    Ordered pieces of a rank list combine like one rank group: (silent, supports, refutes, clashes), the later
+    piece weighing as much as the earlier is silent. So a predicate is reduced in three steps, each with
+    partial results: rank groups, blocks of rank groups, whole. Nothing is joined back and no task orders
+    more than a block's groups or a predicate's blocks."""
     keys = keys or PRED
 
     def log_of(x):
@@ -47,20 +54,27 @@ def precedence(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     groups = (edges.withColumn("vf", F.coalesce(F.col("valid_from"), F.lit(NEVER)))
               .groupBy(*keys, "authority", "vf")
               .agg(log_of(F.col("p_n")).alias("ln_n"), log_of(F.col("p_s") + F.col("p_n")).alias("ln_sn"),
-                   log_of(F.col("p_r") + F.col("p_n")).alias("ln_rn"))
+                   log_of(F.col("p_r") + F.col("p_n")).alias("ln_rn"),
+                   F.sum((1.0 - F.col("p_n") >= 0.5).cast("long")).alias("n_decisive"))
               .withColumn("none", F.exp("ln_n"))
-              .withColumn("sup", F.greatest(F.exp("ln_sn") - F.col("none"), F.lit(0.0)))
-              .withColumn("ref", F.greatest(F.exp("ln_rn") - F.col("none"), F.lit(0.0)))
-              .withColumn("con", F.greatest(1.0 - F.col("none") - F.col("sup") - F.col("ref"), F.lit(0.0)))
+              .withColumn("s", F.greatest(F.exp("ln_sn") - F.col("none"), F.lit(0.0)))
+              .withColumn("v", F.greatest(F.exp("ln_rn") - F.col("none"), F.lit(0.0)))
+              .withColumn("c", F.greatest(1.0 - F.col("none") - F.col("s") - F.col("v"), F.lit(0.0)))
               .withColumn("ln_none", F.log(F.greatest(F.col("none"), F.lit(EPS))).cast("decimal(28,18)"))
-              .select(*keys, "authority", "vf", "sup", "ref", "con", "ln_none"))
-    ranked = _rank_frame(groups, {"ln_before": F.col("ln_none")}, keys)
-    before = F.exp(F.coalesce(F.col("ln_before").cast("double"), F.lit(0.0)))
-    sums = ranked.withColumn("before", before).groupBy(*keys).agg(
-        S.exact_sum(F.col("before") * F.col("sup")).alias("s"), S.exact_sum(F.col("before") * F.col("ref")).alias("v"),
-        F.exp(F.sum("ln_none").cast("double")).alias("u"), S.exact_sum(F.col("before") * F.col("con")).alias("c"))
+              .withColumn("hour", _hour()))
+
+    def combine(df, by, order):
+        before = F.sum("ln_none").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+        weighed = df.withColumn("_w", F.exp(F.coalesce(before.cast("double"), F.lit(0.0))))
+        return weighed.groupBy(*by).agg(*[S.exact_sum(F.col("_w") * F.col(x)).alias(x) for x in "svc"],
+                                        F.sum("ln_none").cast("decimal(38,18)").alias("ln_none"),
+                                        F.sum("n_decisive").alias("n_decisive"))
+
+    blocks = combine(groups, [*keys, "authority", "hour"], [F.col("vf").desc()])
+    whole = combine(blocks, keys, [F.col("authority").desc(), F.col("hour").desc()])
+    whole = whole.withColumn("u", F.exp(F.col("ln_none").cast("double")))
     total = F.greatest(F.col("s") + F.col("v") + F.col("u") + F.col("c"), F.lit(EPS))
-    return sums.select(*keys, *[(F.col(x) / total).alias(x) for x in ("s", "v", "u", "c")])
+    return whole.select(*keys, *[(F.col(x) / total).alias(x) for x in "svuc"], "n_decisive")
 
 
 def harden(edges: DataFrame) -> DataFrame:
@@ -74,13 +88,13 @@ def precedence_hard(edges: DataFrame, keys: list[str] | None = None) -> DataFram
     return precedence(harden(edges), keys)
 
 
-def beliefs(edges: DataFrame, predicates: DataFrame, hard: bool = False) -> DataFrame:
+def beliefs(edges: DataFrame, predicates: DataFrame, hard: bool = False, keys: list[str] | None = None) -> DataFrame:
     """Every declared predicate with its status distribution, most likely status, belief and the number of
     decisive records. A predicate nothing was read about is unresolved."""
-    dist = precedence_hard(edges) if hard else precedence(edges)
-    decisive = edges.groupBy(*PRED).agg(F.sum((1.0 - F.col("p_n") >= 0.5).cast("long")).alias("n_decisive"))
+    keys = keys or PRED
+    dist = precedence_hard(edges, keys) if hard else precedence(edges, keys)
     zero = F.lit(0.0)
-    return (predicates.select("task_id", "predicate_id", "prior").join(dist.join(decisive, PRED), PRED, "left")
+    return (predicates.select(*keys, "prior").join(dist, keys, "left")
             .withColumns({"s": F.coalesce("s", zero), "v": F.coalesce("v", zero), "u": F.coalesce("u", F.lit(1.0)),
                           "c": F.coalesce("c", zero), "n_decisive": F.coalesce("n_decisive", F.lit(0).cast("long"))})
             .withColumn("status", S.status_name()).withColumn("belief", S.belief_from_status("prior")))

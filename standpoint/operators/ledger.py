@@ -55,28 +55,52 @@ def record_summary(state: DataFrame) -> DataFrame:
         F.max(F.when(F.col("n_payloads") == 1, F.col("valid_until"))).alias("valid_until"))
 
 
+def record_heads(events: DataFrame) -> DataFrame:
+    """One row per record: top revision, stored status, and the payload when there is a single one. Two nested
+    aggregates with map-side combine and no join; enough wherever competing payloads need not be listed."""
+    ev = keyed(events)
+    per_revision = ev.groupBy(*REC, "revision").agg(
+        F.min("payload_key").alias("k0"), F.max("payload_key").alias("k1"),
+        F.min_by(F.struct("payload_key", *PAYLOAD), F.col("seq")).alias("p"))
+    head = per_revision.groupBy(*REC).agg(
+        F.max("revision").alias("revision"),
+        F.max_by(F.struct((F.col("k0") != F.col("k1")).alias("clash"), "p"), F.col("revision")).alias("h"))
+    clash = F.col("h.clash")
+    status = (F.when(clash, F.lit("conflicted")).when(F.col("h.p.payload_key") == WITHDRAWN_KEY, F.lit("withdrawn"))
+              .otherwise(F.lit("active")))
+    return head.select(*REC, "revision", *[F.when(~clash, F.col(f"h.p.{c}")).alias(c) for c in ("payload_key", *PAYLOAD)],
+                       status.alias("stored_status"))
+
+
 def delivery_outcomes(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """What every delivery did when it arrived: outcome, whether anything changed, status afterwards.
-    ``seq`` is unique in a task, so a block of ``block_rows`` numbers bounds the rows a task sorts."""
-    block = F.floor(F.col("seq") / F.lit(block_rows))
-    slim = keyed(events).select(*REC, "seq", "revision", "payload_key")
-    tagged = slim.withColumn("_blk", block)
-    # the first delivery of each payload: per block, then over the few blocks of a payload
+
+    The state before a delivery is kept as the greatest (revision, key) and the greatest (revision,
+    mirrored key) seen so far; both are maxima, so blocks of sequence numbers merge, and they name the
+    top revision's largest and smallest key. ``seq`` is unique in a task, so ``block_rows`` bounds what a
+    task sorts."""
+    slim = keyed(events).select(*REC, "seq", "revision", "payload_key").withColumn("_blk", F.floor(F.col("seq") / F.lit(block_rows)))
+    # first delivery of each payload: within each block by an aggregate, then over a payload's few blocks
     cell = [*REC, "revision", "payload_key"]
-    firsts = tagged.groupBy(*cell, "_blk").agg(F.min("seq").alias("_f"))
+    firsts = slim.groupBy(*cell, "_blk").agg(F.min("seq").alias("_f"))
     firsts = firsts.select(*cell, "_blk", F.min("_f").over(W.partitionBy(*cell)).alias("_first"))
-    known = tagged.join(firsts, [*cell, "_blk"]).drop("_blk")
-    ranked = running_before(known, REC, [block], [F.col("seq")], {"_top": F.col("revision")}, fold=F.max)
-    top, rev = F.col("_top"), F.col("revision")
+    known = slim.join(firsts, [*cell, "_blk"])
+    # hex keys mirrored so that the largest mirror belongs to the smallest key
+    high = F.when(F.col("payload_key") == WITHDRAWN_KEY, F.lit("g")).otherwise(F.col("payload_key"))
+    low = F.when(F.col("payload_key") == WITHDRAWN_KEY, F.lit("")).otherwise(
+        F.translate("payload_key", "0123456789abcdef", "fedcba9876543210"))
+    hi, lo = F.struct(F.col("revision").alias("r"), high.alias("k")), F.struct(F.col("revision").alias("r"), low.alias("k"))
+    ran = running_before(known, REC, [F.col("_blk")], [F.col("seq")], {"_hi": hi, "_lo": lo}, fold=F.max)
+    top, rev = F.col("_hi.r"), F.col("revision")
     outcome = (F.when(top.isNull() | (rev > top), F.lit("applied")).when(rev < top, F.lit("stale"))
                .when(F.col("seq") == F.col("_first"), F.lit("conflict")).otherwise(F.lit("duplicate")))
-    out = ranked.withColumn("outcome", outcome).withColumn("changed", F.col("outcome").isin("applied", "conflict"))
-    own = F.when(F.col("outcome") == "conflict", F.lit("conflicted")).when(
-        F.col("payload_key") == WITHDRAWN_KEY, F.lit("withdrawn")).otherwise(F.lit("active"))
-    out = out.withColumn("_own", F.when(F.col("changed"), F.struct(F.col("seq").alias("at"), own.alias("status"))))
-    out = running_before(out, REC, [block], [F.col("seq")], {"_last": F.col("_own")}, fold=F.max)
-    return out.select("task_id", "seq", "record_id", "revision", "payload_key", "outcome", "changed",
-                      F.coalesce("_own", "_last").getField("status").alias("status"))
+    after_hi, after_lo = F.greatest(F.col("_hi"), hi), F.greatest(F.col("_lo"), lo)
+    mirror = F.when(after_lo["k"] == "", F.lit("g")).otherwise(F.translate(after_lo["k"], "0123456789abcdef", "fedcba9876543210"))
+    status = (F.when(after_hi["k"] != mirror, F.lit("conflicted")).when(after_hi["k"] == "g", F.lit("withdrawn"))
+              .otherwise(F.lit("active")))
+    out = ran.withColumn("outcome", outcome)
+    return out.select("task_id", "seq", "record_id", "revision", "payload_key", "outcome",
+                      F.col("outcome").isin("applied", "conflict").alias("changed"), status.alias("status"))
 
 
 def active_records(state: DataFrame, now: float | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
-from standpoint.operators.scan import salted_join
+from standpoint.operators.scan import running_before, salted_join
 
 REC = ["task_id", "record_id"]
 MAX_RECORDS_PER_TASK = 5000  # fixed value: the most records a task may hold, so the most texts read jointly
@@ -20,13 +20,16 @@ def claims_by_task(predicates: DataFrame) -> DataFrame:
         F.struct("predicate_id", F.col("text").alias("claim"), F.col("join").alias("joint"))).alias("claims"))
 
 
-def declared_links(events: DataFrame, outcomes: DataFrame) -> DataFrame:
+def declared_links(events: DataFrame, block_rows: int = 65536) -> DataFrame:
     """The predicates a record's latest applied delivery named. (Derived from the log, so reopening a task
-    keeps what was declared.)"""
-    named = events.filter(F.col("about").isNotNull()).select("task_id", "seq", "record_id", "about")
-    applied = outcomes.filter(F.col("outcome") == "applied").select("task_id", "seq", "record_id")
-    return (named.join(applied, ["task_id", "seq", "record_id"])
-            .groupBy(*REC).agg(F.max_by("about", "seq").alias("about")))
+    keeps what was declared.) A delivery was applied exactly when it is the first of its revision and no
+    higher revision came before it; revisions of applied deliveries only grow."""
+    first = events.groupBy(*REC, "revision").agg(F.min("seq").alias("seq"), F.min_by("about", "seq").alias("about"))
+    higher = running_before(first, REC, [(F.floor(F.col("revision") / F.lit(block_rows)), "desc")], [F.col("revision").desc()],
+                            {"_earliest_higher": F.col("seq")}, fold=F.min)
+    applied = F.col("_earliest_higher").isNull() | (F.col("seq") < F.col("_earliest_higher"))
+    return (higher.filter(applied & F.col("about").isNotNull())
+            .groupBy(*REC).agg(F.max_by("about", "revision").alias("about")))
 
 
 def _spread(records: DataFrame, predicates: DataFrame, keep) -> DataFrame:

@@ -214,26 +214,29 @@ def evaluate(prog: Column, root: Column, reps: Column, status: Column, belief: C
         x["s"].alias("s"), x["v"].alias("v"), x["u"].alias("u"), be.alias("belief"), exact.alias("exact")))
 
 
-def leaf_tables(beliefs: DataFrame) -> DataFrame:
-    """Per task, a map from predicate to its leaf value; conflict counts as unresolved inside gates."""
+def leaf_tables(beliefs: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Per task (and ``extra`` columns, such as a condition), a map from predicate to its leaf value; conflict counts
+    as unresolved inside gates."""
     value = F.struct(F.col("s"), F.col("v"), (F.col("u") + F.col("c")).alias("u"), F.col("belief").alias("b"))
-    return beliefs.groupBy("task_id").agg(F.map_from_entries(F.collect_list(F.struct("predicate_id", value))).alias("leaf"))
+    return beliefs.groupBy("task_id", *(extra or [])).agg(
+        F.map_from_entries(F.collect_list(F.struct("predicate_id", value))).alias("leaf"))
 
 
-def with_leaves(compiled: DataFrame, beliefs: DataFrame) -> DataFrame:
+def with_leaves(compiled: DataFrame, beliefs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Compiled actions with aligned arrays ``ls`` (status) and ``lb`` (belief) of their leaves."""
-    j = compiled.join(leaf_tables(beliefs), "task_id")
+    j = compiled.join(leaf_tables(beliefs, extra), "task_id")
     val = F.transform("leaves", lambda x: F.element_at("leaf", x))
     return (j.withColumn("ls", F.transform(val, lambda x: F.struct(x["s"].alias("s"), x["v"].alias("v"), x["u"].alias("u"))))
             .withColumn("lb", F.transform(val, lambda x: x["b"])))
 
 
-def assess(compiled: DataFrame, beliefs: DataFrame, ready: float = 0.5, block: float = 0.5) -> DataFrame:
+def assess(compiled: DataFrame, beliefs: DataFrame, ready: float | Column = 0.5, block: float = 0.5,
+           extra: list[str] | None = None) -> DataFrame:
     """Every action's status distribution, belief, chance of success, expected utility and disposition."""
-    ev = with_leaves(compiled, beliefs).withColumn(
+    ev = with_leaves(compiled, beliefs, extra).withColumn(
         "ev", evaluate(F.col("prog"), F.col("root"), F.col("reps"), F.col("ls"), F.col("lb")))
     p = S.p_success("ev.belief", "reliability", "leak")
-    return ev.select("task_id", "action_id", "ev.s", "ev.v", "ev.u", "ev.belief", "ev.exact", p.alias("p_success"),
+    return ev.select("task_id", *(extra or []), "action_id", "ev.s", "ev.v", "ev.u", "ev.belief", "ev.exact", p.alias("p_success"),
                      S.expected_utility(p, "value_success", "cost_failure").alias("expected_utility"),
                      S.disposition("ev.s", "ev.v", ready, block).alias("disposition"), "needs_approval")
 

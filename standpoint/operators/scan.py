@@ -75,3 +75,9 @@ def dense_index(df: DataFrame, keys: list[str], name: str = "idx", within: list[
     inside = F.row_number().over(W.partitionBy(*within, "_bucket").orderBy("_h", *keys))
     return (base.join(offsets, within + ["_bucket"])
             .withColumn(name, (F.col("_off") + inside - 1).cast("bigint")).drop("_h", "_bucket", "_off"))
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Even rows over all configured partitions by the hash of ``cols``. For steps whose rows are few bytes but much
+    work, which the optimizer would otherwise put together in one task for their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)

@@ -97,7 +97,7 @@ def tasks_from_templates(params: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     """(predicates, gates, actions) for rows (task_id, template_id, name, people, k). Empty names and lists take
     the template's default; k of 0 means everyone, and is kept within 1..number of people."""
     spark = params.sparkSession
-    listed = F.filter(F.transform(F.coalesce("people", F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.coalesce("people", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     p = (params.withColumn("name", F.when(F.trim(F.coalesce("name", F.lit(""))) == "", _by_template(DEFAULT_NAME))
                            .otherwise(F.trim("name")))
          .withColumn("people", F.when(F.size(listed) > 0, listed).otherwise(F.array(_by_template(DEFAULT_PERSON)))))

@@ -18,6 +18,7 @@ from standpoint.operators import ledger as L
 from standpoint.operators import links as K
 from standpoint.operators import logic as G
 from standpoint.operators import readings as R
+from standpoint.session import cut_lineage
 from standpoint.sources import derive as D
 
 
@@ -45,17 +46,19 @@ class Flow:
 
     @cached_property
     def records(self) -> DataFrame:
-        return L.active_records(self.state, self.now)
+        return L.active_records(L.record_heads(self.events), self.now)
 
     @cached_property
     def declared(self) -> DataFrame:
-        return K.declared_links(self.events, self.outcomes)
+        return K.declared_links(self.events)
 
     @cached_property
     def links(self) -> DataFrame:
+        """Which record is read against which predicate: a table of its own, since pairs, readings and beliefs
+        all start from it."""
         if not self.honour_declared:
-            return K.link_all(self.records, self.predicates)
-        return K.link_declared(self.records, self.declared, self.predicates)
+            return cut_lineage(K.link_all(self.records, self.predicates))
+        return cut_lineage(K.link_declared(self.records, self.declared, self.predicates))
 
     @cached_property
     def pairs(self) -> DataFrame:

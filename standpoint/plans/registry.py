@@ -44,4 +44,6 @@ def full_sql(name: str) -> str:
     body = SQL[name].strip()
     if body.lower().startswith("with recursive"):
         return f"WITH RECURSIVE {parts},\n{body[len('with recursive'):]}"
+    if body.lower().startswith("with "):
+        return f"WITH {parts},\n{body[5:]}"
     return f"WITH {parts}\n{body}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,11 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it from there, so that its result survives the
-    loss of executors and is computed once."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = shared_dir(spark)
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    """Write a frame as a table in the shared folder and read it from there: it is computed once however
+    often it is used, survives the loss of executors, and later steps prune its columns."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/standpoint-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
