@@ -173,8 +173,8 @@ def in_holdout(pair, frac: float) -> Column:
 
 
 def claim_kind(c) -> Column:
-    digit = col(c).rlike(r"\d")
-    return (F.when(digit & col(c).rlike("(?i)" + COMPARATIVE), F.lit("number with comparison"))
+    digit = col(c).rlike(r"(?U)\d")
+    return (F.when(digit & col(c).rlike("(?iU)" + COMPARATIVE), F.lit("number with comparison"))
             .when(digit, F.lit("number, no comparison")).otherwise(F.lit("no number")))
 
 
