@@ -7,7 +7,7 @@ import importlib
 from standpoint.plans.registry import QUERIES, SQL, full_sql
 
 MODULES = ["ledger_queries", "link_queries", "logic_queries", "planner_queries", "metric_queries", "feedback_queries",
-           "corpus_queries", "refresh_queries"]
+           "corpus_queries", "refresh_queries", "stream_queries"]
 
 
 def load() -> None:

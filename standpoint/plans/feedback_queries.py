@@ -450,3 +450,9 @@ def prequential_eval(spark, sf):
 
 
 _ = L
+
+from standpoint.plans.sqltext import assess_sql, beliefs_sql, leafrow_sql  # noqa: E402
+
+cte("fixed_beliefs", beliefs_sql(precedence_sql("fixed_edges")))
+cte("fixed_row", leafrow_sql("fixed_beliefs"))
+cte("fixed_acts", assess_sql("fixed_row"))

@@ -35,6 +35,7 @@ class Flow:
     ready: float = 0.5
     block: float = 0.5
     honour_declared: bool = True
+    linker: Callable[[DataFrame, DataFrame], DataFrame] | None = None  # (records, predicates) -> links, for undeclared records
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -58,7 +59,12 @@ class Flow:
         all start from it."""
         if not self.honour_declared:
             return cut_lineage(K.link_all(self.records, self.predicates))
-        return cut_lineage(K.link_declared(self.records, self.declared, self.predicates))
+        if self.linker is None:
+            return cut_lineage(K.link_declared(self.records, self.declared, self.predicates))
+        named = self.records.join(self.declared.select(*K.REC), K.REC, "left_semi")
+        rest = self.records.join(self.declared.select(*K.REC), K.REC, "left_anti")
+        return cut_lineage(K.link_declared(named, self.declared, self.predicates).unionByName(
+            self.linker(rest, self.predicates).select(*K.LINK)))
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -268,3 +268,81 @@ def confirmation_text(spark, sf):
 
 
 _ = (BIAS, STATUS, T, beliefs_sql, softmax3, th)
+
+
+def hashed_model(batch):
+    """A reading model as a user would plug it in: a frame of pairs in, a list of logits per row out."""
+    import hashlib
+
+    def one(claim, text):
+        return [int(x) / 16.0 for x in hashlib.sha256(f"{claim}|{text}".encode()).digest()[:3]]
+
+    return batch.assign(logits=[one(c, t) for c, t in zip(batch["claim"], batch["text"])])
+
+
+BYTES = ", ".join(f"('0x' || substr(sha256(claim || '|' || text), {1 + 2 * i}, 2))::int / 16.0::double as l{i}" for i in range(3))
+
+
+@query("score_pairs", f"select distinct pair, {BYTES} from labelled")
+def score_pairs(spark, sf):
+    return R.score_pairs(derived_flow(spark, sf).pairs, hashed_model, "hash-1").select(
+        "pair", *[F.col("logits")[i].alias(f"l{i}") for i in range(3)])
+
+
+def majority(frame):
+    """A user's own rule for one predicate: the label most readings have, unresolved when none is decisive."""
+    import pandas as pd
+
+    top = frame[["p_s", "p_r", "p_n"]].to_numpy().argmax(axis=1)
+    yes, no = int((top == 0).sum()), int((top == 1).sum())
+    status = "UNRESOLVED" if yes == no else "SATISFIED" if yes > no else "VIOLATED"
+    return pd.DataFrame({"task_id": [frame["task_id"].iloc[0]], "predicate_id": [frame["predicate_id"].iloc[0]], "status": [status]})
+
+
+@query("custom_status", """
+  select task_id, predicate_id, case when yes = no then 'UNRESOLVED' when yes > no then 'SATISFIED' else 'VIOLATED' end as status from (
+    select task_id, predicate_id, sum((p_s >= p_r and p_s >= p_n)::int) as yes, sum((p_r > p_s and p_r >= p_n)::int) as no from edges group by 1, 2)""")
+def custom_status(spark, sf):
+    e = derived_flow(spark, sf).edges.select("task_id", "predicate_id", "record_id", "p_s", "p_r", "p_n")
+    return B.custom_status(e, majority, "task_id string, predicate_id string, status string")
+
+
+@query("custom_linker", """
+  select u.task_id, u.record_id, p.predicate_id from usable u join predicates p using (task_id) left join declared d using (task_id, record_id)
+  where case when d.about is not null then list_contains(d.about, p.predicate_id) else split_part(p.claim, ' ', 1) = split_part(u.text, ' ', 1) end""")
+def custom_linker(spark, sf):
+    def by_first_word(records, predicates):
+        every = K.link_all(records, predicates)
+        return every.filter(F.substring_index("claim", " ", 1) == F.substring_index("text", " ", 1))
+
+    return derived_flow(spark, sf, linker=by_first_word).links.select("task_id", "record_id", "predicate_id")
+
+
+@query("write_table", "select user_id % 10 as bucket, count(*) as n, sum(k) as total from ev_raw group by 1")
+def write_table(spark, sf):
+    from uuid import uuid4
+
+    from standpoint.session import shared_dir
+    from standpoint.sources import files as FS
+
+    path = f"{shared_dir(spark)}/table-{uuid4().hex}"
+    e = D.table(spark, sf, "events").select((F.col("user_id") % 10).alias("bucket"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    FS.write_table(e, path, partition_by=["bucket"])
+    FS.write_table(e.filter("bucket = 3"), path, partition_by=["bucket"])
+    return spark.read.parquet(path).groupBy(F.col("bucket").cast("bigint").alias("bucket")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+
+
+@query("audit_query", """
+  select event_type as kind, cast(cast(ts as date) as varchar) as day, count(*) as n from events
+  where event_type = 'signup' and ts >= timestamp '2024-01-10' group by 1, 2""")
+def audit_query(spark, sf):
+    from uuid import uuid4
+
+    from standpoint.session import shared_dir
+    from standpoint.sources import files as FS
+
+    path = f"{shared_dir(spark)}/audit-{uuid4().hex}"
+    log = D.table(spark, sf, "events").select(F.col("event_type").alias("kind"), "user_id", (
+        F.datediff(F.to_date("ts"), F.to_date(F.lit("1970-01-01"))) * 86400).alias("at"))
+    FS.append_audit(log, path)
+    return FS.audit_query(spark, path, "signup", "2024-01-10").groupBy("kind", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
