@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from standpoint.functions import scalars as S
 from standpoint.operators.scan import dense_index, running_before
 from standpoint.schemas import NEI, NOT_SUPPORTS, REFUTES, SUPPORTS
+from standpoint.session import cut_lineage
 
 BLOCK = 65536
 
@@ -88,11 +89,24 @@ def unrelated_pairs(pairs: DataFrame, key: str, n: int, seed: int = 0, candidate
     """``n`` draws of a claim with the evidence of another row, labelled as settling nothing. Draw t takes its claim row and
     its candidates by hash; a candidate from the same page, or with the same claim or evidence, does not
     count. The first candidate is used, or, if ``mined``, the one sharing most content words, ties to the
-    first. More draws are made than needed and the first ``n`` that worked are kept; rows (t, claim, evidence, ...)."""
+    first. More draws are made than needed, twice as many again while too few worked, and the first ``n``
+    that worked are kept; rows (t, claim, evidence, ...)."""
+    many = 2 * n + 64
+    best = cut_lineage(_crossings(pairs, key, many, seed, candidates, mined))
+    while best.count() < n and many < 256 * n:
+        many *= 2
+        best = cut_lineage(_crossings(pairs, key, many, seed, candidates, mined))
+    kept = position(best, "t", "i").filter(F.col("i") < n)
+    return kept.select("t", "i", "claim", "evidence", F.lit(NEI).alias("label"), F.lit("unrelated").alias("source"), "shared",
+                       F.concat(F.lit("unrelated:"), "_pa", F.lit("|"), "_pb").alias("page"))
+
+
+def _crossings(pairs: DataFrame, key: str, many: int, seed: int, candidates: int, mined: bool) -> DataFrame:
+    """The draws among the first ``many`` for which some candidate counted, each with the one it takes."""
     spark = pairs.sparkSession
     idx = dense_index(pairs.select(key, "claim", "evidence", "page"), [key])
     total = pairs.agg(F.count("*")).scalar()
-    t = spark.range(0, 2 * n + 64).withColumnRenamed("id", "t").withColumn("_n", total)
+    t = spark.range(0, many).withColumnRenamed("id", "t").withColumn("_n", total)
     a = (t.withColumn("idx", _number(seed, "a", F.col("t")) % F.col("_n")).join(idx, "idx")
          .select("t", "_n", F.col("claim").alias("claim"), F.col("page").alias("_pa"), F.col("evidence").alias("_ea")))
     c = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn(
@@ -101,11 +115,8 @@ def unrelated_pairs(pairs: DataFrame, key: str, n: int, seed: int = 0, candidate
     ok = (F.col("_pa") != F.col("_pb")) & (F.col("claim") != F.col("_cb")) & (F.col("_ea") != F.col("evidence"))
     j = c.join(b, "idx").filter(ok)
     shared = F.size(F.array_intersect(S.content_words("claim"), S.content_words("evidence"))) if mined else F.lit(0)
-    best = (j.withColumn("shared", shared).groupBy("t").agg(F.max_by(F.struct("claim", "evidence", "shared", "_pa", "_pb"),
+    return (j.withColumn("shared", shared).groupBy("t").agg(F.max_by(F.struct("claim", "evidence", "shared", "_pa", "_pb"),
                                                                     F.struct("shared", (-F.col("j")).alias("j"))).alias("x")).select("t", "x.*"))
-    kept = position(best, "t", "i").filter(F.col("i") < n)
-    return kept.select("t", "i", "claim", "evidence", F.lit(NEI).alias("label"), F.lit("unrelated").alias("source"), "shared",
-                       F.concat(F.lit("unrelated:"), "_pa", F.lit("|"), "_pb").alias("page"))
 
 
 def mined_negatives(pairs: DataFrame, key: str, n: int, seed: int = 0, candidates: int = 8) -> DataFrame:
@@ -239,8 +250,6 @@ def disposition_contexts(events: DataFrame, steps: DataFrame, predicates: DataFr
     """One row per changed step and predicate: claim, all usable records rendered highest rank first, gold status. A task holds
     at most 5,000 records, which bounds a context."""
     from standpoint.operators.links import render_context
-    from standpoint.session import cut_lineage
-
     live = cut_lineage(steps_in_force(events, steps))
     key = F.concat(F.col("task_id"), F.lit("@"), F.col("step").cast("string"))
     ctx = render_context(live.withColumn("task_id", key)).withColumnRenamed("task_id", "_at")

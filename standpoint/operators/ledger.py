@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
-from standpoint.operators.scan import running_before
+from standpoint.operators.scan import dense_index, running_before, salted_join
 from standpoint.schemas import WITHDRAWN_KEY
 
 REC = ["task_id", "record_id"]
@@ -164,8 +164,6 @@ def purge(events: DataFrame, ids: DataFrame, next_seq: int) -> DataFrame:
     ev = keyed(events)
     wanted = ids.select(*REC).distinct()
     summary = record_summary(ledger_state(ev.join(wanted, REC, "left_semi"))).filter(F.col("stored_status") != "withdrawn")
-    from standpoint.operators.scan import dense_index
-
     numbered = dense_index(summary, REC)
     withdrawals = numbered.select(
         "task_id", (F.col("idx") + F.lit(next_seq)).cast("bigint").alias("seq"), "record_id",
@@ -201,7 +199,7 @@ def ledger_as_of(events: DataFrame, steps: DataFrame, bucket: int = BLOCK_ROWS)
     by_task = used.groupBy("task_id").agg(F.sort_array(F.collect_set("_bk")).alias("_bks"))
     first, last = F.floor(F.col("seq_from") / bucket), F.floor((F.col("seq_to") - 1) / bucket)
     touched = F.filter("_bks", lambda b: (b >= first) & (last.isNull() | (b <= last)))
-    listed = spans.join(by_task, "task_id").withColumn("_bk", F.explode(touched)).drop("_bks")
+    listed = salted_join(spans, by_task, ["task_id"], ["record_id"]).withColumn("_bk", F.explode(touched)).drop("_bks")
     at = steps.withColumn("_bk", F.floor(F.col("step") / bucket))
     inside = (F.col("step") >= F.col("seq_from")) & (F.col("seq_to").isNull() | (F.col("step") < F.col("seq_to")))
     return at.join(listed, ["task_id", "_bk"]).filter(inside).drop("_bk")

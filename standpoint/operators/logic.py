@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from standpoint.functions import scalars as S
 
 MAX_CONDITIONED, MAX_CORNERS = 8, 12
+MAX_PREDICATES = 200  # fixed value: the most predicates a task may declare, which bounds its document
 
 
 # ---------------------------------------------------------------- compiling definitions
@@ -305,8 +306,10 @@ def validate_tasks(predicates: DataFrame, gates: DataFrame, actions: DataFrame)
     def outside(c):
         return (F.col(c) < 0) | (F.col(c) > 1)
 
+    crowded = predicates.groupBy("task_id").count().filter(F.col("count") > MAX_PREDICATES).select(
+        "task_id", F.lit("*").alias("item"), F.lit("too many predicates").alias("problem"))
     parts = [
-        repeated, repeated_action, lost, lost_action, cyclic,
+        crowded, repeated, repeated_action, lost, lost_action, cyclic,
         problem(gates, "gate_id", ~F.col("op").isin("AND", "OR", "NOT", "ATLEAST"), "unknown operator"),
         problem(gates, "gate_id", n == 0, "no children"),
         problem(gates, "gate_id", (F.col("op") == "NOT") & (n != 1), "NOT takes one child"),

@@ -12,6 +12,7 @@ from standpoint.functions import scalars as S
 from standpoint.operators.scan import dense_index, running_before
 
 BINS = 15
+BLOCKS = 2 ** 20  # pieces of the unit interval that running counts are kept over
 DISPOSITIONS = ("READY", "BLOCKED", "NEEDS_INFO")
 
 
@@ -141,7 +142,7 @@ def auroc(scores: DataFrame, score: str, positive: str, block: Column | None = N
     """Chance that a positive outranks a negative, ties counting half. Scores are counted per distinct value, so ties
     vanish before the shuffle, and compared through running counts over blocks of the score axis."""
     one = scores.withColumn("_k", F.lit(1))
-    block = block if block is not None else F.floor(F.col(score) * 4096)
+    block = block if block is not None else F.floor(F.col(score) * BLOCKS)
     c = _value_counts(one, ["_k"], score, {"pos": F.col(positive).cast("long"), "neg": (~F.col(positive)).cast("long")}, block)
     wins = F.col("pos") * (F.coalesce("before_neg", F.lit(0)) + F.col("neg") / 2.0)
     return c.agg((F.sum(wins) / (F.sum("pos") * F.sum("neg"))).alias("auroc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -151,7 +152,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], block
     """Exact quantiles with linear interpolation, one row per key and q, over any number of rows."""
     base = df if keys else df.withColumn("_k", F.lit(1))
     ks = keys or ["_k"]
-    block = block if block is not None else F.floor(F.col(value) * 4096)
+    block = block if block is not None else F.floor(F.col(value) * BLOCKS)
     c = _value_counts(base, ks, value, {"n": F.lit(1)}, block).withColumn("lo", F.coalesce("before_n", F.lit(0)))
     totals = c.groupBy(*ks).agg(F.sum("n").alias("total"))
     at = totals.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("h", F.col("q") * (F.col("total") - 1))
@@ -173,7 +174,7 @@ def detection_at_fpr(scores: DataFrame, fpr: float = 0.05) -> DataFrame:
 
 def latency_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     base = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
-    q = quantiles(df, [by], value, [0.5, 0.95], F.floor(F.col(value) / 8.0))
+    q = quantiles(df, [by], value, [0.5, 0.95], F.floor(F.col(value) * 64.0))
     p = q.groupBy(by).agg(F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("p50"),
                           F.max(F.when(F.col("q") == 0.95, F.col("value"))).alias("p95"))
     return base.join(p, by)

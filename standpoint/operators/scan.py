@@ -62,11 +62,11 @@ def running_before(df: DataFrame, keys: list[str], block: list[Column], order: l
 def dense_index(df: DataFrame, keys: list[str], name: str = "idx", within: list[str] | None = None) -> DataFrame:
     """Number rows 0..n-1 in the order of md5 of their (unique) key, per ``within`` group if given.
 
-    The hash spreads rows evenly over 4,096 ordered buckets, so no task sees more than its share and
-    the offsets are a window over at most 4,096 counts per group."""
+    The hash spreads rows evenly over 16^5 ordered buckets, so no task sees more than its share and
+    the offsets are a window over at most that many counts per group."""
     within = within or []
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    base = df.withColumn("_h", F.md5(text.cast("binary"))).withColumn("_bucket", F.substring("_h", 1, 3))
+    base = df.withColumn("_h", F.md5(text.cast("binary"))).withColumn("_bucket", F.substring("_h", 1, 5))
     counts = base.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
     offsets = counts.withColumn(

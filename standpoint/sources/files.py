@@ -142,7 +142,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
 
 def append_audit(df: DataFrame, path: str) -> None:
     """Append audit rows (kind, at in seconds, ...) partitioned by day, so that reads of a period prune."""
-    day = F.to_date(F.timestamp_seconds("at"))
+    day = F.date_add(F.to_date(F.lit("1970-01-01")), F.floor(F.col("at") / 86400).cast("int"))
     df.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
 
 

@@ -101,7 +101,7 @@ class _Validity(_Merge):
                 last = self.span.get()[2] if self.span.exists() else "absent"
                 vf = None if pd.isna(row.valid_from) else float(row.valid_from)
                 vu = None if pd.isna(row.valid_until) else float(row.valid_until)
-                at = max(now_ms, int(row.clock.timestamp() * 1000))
+                at = max(now_ms, int(row.clock_ms))
                 status = self._status(stored, vf, vu, at)
                 for old in list(self.handle.listTimers()):
                     self.handle.deleteTimer(old)
@@ -126,7 +126,8 @@ def validity_stream(events: DataFrame, base_seconds: float, delay: str = "0 seco
     """Status changes of records, by deliveries and by the passing of time alone. Events carry ``clock``, the supplied time as
     a timestamp; validity times are seconds after ``base_seconds`` of the epoch."""
     use_rocksdb(events.sparkSession)
-    slim = keyed(events).select("task_id", "record_id", "seq", "revision", "payload_key", "valid_from", "valid_until", "clock")
+    slim = keyed(events).select("task_id", "record_id", "seq", "revision", "payload_key", "valid_from", "valid_until", "clock",
+                                F.unix_millis("clock").alias("clock_ms"))
     return (slim.withWatermark("clock", delay).groupBy("task_id", "record_id").transformWithStateInPandas(
         statefulProcessor=_Validity(int(base_seconds * 1000)), outputStructType="task_id string, record_id string, at double, was string, now string",
         outputMode="Append", timeMode="EventTime"))
@@ -178,5 +179,3 @@ def endorsement_stream(cases: DataFrame, alpha: float = 0.05, eta: float = 0.05,
         statefulProcessor=_Endorse(alpha, eta, tau0), outputMode="Append", timeMode="None",
         outputStructType="workspace string, seq long, case_id string, kind string, accepted boolean, tau double, outstanding long, problem string")
 
-
-_ = F
