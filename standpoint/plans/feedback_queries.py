@@ -184,10 +184,10 @@ def evolved(spark, sf):
     return f, K.evolving_edges(edges, memory, K.correction_log(*corrections(f.pairs)), tau=0.2, lam_max=0.6)
 
 
-@query("evolving_beliefs", f"select task_id, predicate_id, {', '.join(f'round({x} + 1.2345e-7, 6) + 0.0 as {x}' for x in 'svuc')} from evolved_dist")
+@query("evolving_beliefs", f"select task_id, predicate_id, {', '.join(f'{r6(x)} as {x}' for x in 'svuc')} from evolved_dist")
 def evolving_beliefs(spark, sf):
     _, edges = evolved(spark, sf)
-    return B.precedence(edges).select("task_id", "predicate_id", *[(F.round(F.col(x) + 1.2345e-7, 6) + 0.0).alias(x) for x in "svuc"])
+    return B.precedence(edges).select("task_id", "predicate_id", *[r(x) for x in "svuc"])
 
 
 cte("gold_code", """
@@ -379,12 +379,12 @@ def verdict_log(spark, sf):
 @query("threshold_trace", f"""
   select workspace, seq, kind, accepted, outstanding, verdicts, errors, max_outstanding, {r6('tau')} as tau,
     {r6('case when verdicts > 0 then errors / verdicts else 0 end')} as error_rate,
-    round(case when verdicts = 0 then 1 else least(1, 0.05::double + (1 + max_outstanding * 0.0475::double - 0.9::double) / (0.05::double * verdicts)) end, 9) as bound,
+    round(case when verdicts = 0 then 1 else least(1, 0.05::double + (1 + max_outstanding * 0.0475::double - 0.9::double) / (0.05::double * verdicts)) end + 1.2345e-9, 6) + 0.0 as bound,
     tau > 1 as stalled from (select *, 0.9::double + 0.05 * (errors - 0.05 * verdicts) as tau from verdict_trace)""")
 def threshold_trace(spark, sf):
     t = K.threshold_trace(verdict_log(spark, sf))
     return t.select("workspace", "seq", "kind", "accepted", "outstanding", "verdicts", "errors", "max_outstanding", r("tau"), r("error_rate"),
-                    F.round("bound", 9).alias("bound"), "stalled")
+                    r("bound"), "stalled")
 
 
 def answers(spark, sf):

@@ -107,4 +107,4 @@ def derived_flow(spark: SparkSession, sf_dir: str, **changes) -> Flow:
 
 def disposition_counts(flow: Flow) -> DataFrame:
     return flow.assessments.groupBy("action_id", "disposition").agg(
-        F.count("*").alias("n"), F.round(F.avg("belief"), 6).alias("mean_belief"))
+        F.count("*").alias("n"), F.avg("belief").alias("mean_belief"))

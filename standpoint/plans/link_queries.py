@@ -11,7 +11,7 @@ from standpoint.operators import links as K
 from standpoint.operators import readings as R
 from standpoint.plans.flow import derived_flow, gold_scorer
 from standpoint.plans.registry import cte, query
-from standpoint.plans.sqltext import BIAS, PAIR, STATUS, T, beliefs_sql, precedence_sql, r6, softmax3, th
+from standpoint.plans.sqltext import BIAS, NUDGE, PAIR, STATUS, T, beliefs_sql, precedence_sql, r6, softmax3, th
 from standpoint.sources import derive as D
 
 SIM = 0.15
@@ -19,7 +19,7 @@ SIM = 0.15
 
 def r(c, name=None):
     name = name or (c if isinstance(c, str) else None)
-    return (F.round(S.col(c), 6) + 0.0).alias(name)
+    return (F.round(S.col(c) + NUDGE, 6) + 0.0).alias(name)
 
 
 @query("pair_key", f"select task_id, record_id, predicate_id, {PAIR} as pair from pairs")

@@ -18,7 +18,7 @@ from standpoint.sources import tasks as TS
 @query("decisions", f"""
   select action_id, disposition, count(*) as n, {r6('avg(belief)')} as mean_belief from assessments group by 1, 2""")
 def decisions(spark, sf):
-    return disposition_counts(derived_flow(spark, sf))
+    return disposition_counts(derived_flow(spark, sf)).select("action_id", "disposition", "n", r("mean_belief"))
 
 
 BROKEN = [("x1", "XOR", ["p0", "p1"], 0), ("x2", "AND", [], 0), ("x3", "NOT", ["p0", "p1"], 0), ("x4", "ATLEAST", ["p0", "p1"], 3),
