@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
-from standpoint.operators.scan import running_before, salted_join
+from standpoint.operators.scan import running_before, salted_join, skew_join
 
 PRED = ["task_id", "predicate_id"]
 EPS = 1e-12
@@ -35,7 +35,7 @@ def dense_rank_edges(edges: DataFrame, keys: list[str] | None = None) -> DataFra
     groups = e.select(*keys, "authority", "vf").distinct()
     ranked = running_before(groups, keys, [(F.col("authority"), "desc"), (_hour(), "desc")], [F.col("vf").desc()],
                             {"rank": F.lit(1)}).withColumn("rank", F.coalesce("rank", F.lit(0)).cast("int"))
-    return salted_join(e, ranked, [*keys, "authority", "vf"], ["record_id"]).drop("vf")
+    return skew_join(e, ranked, [*keys, "authority", "vf"]).drop("vf")
 
 
 def precedence(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -226,11 +226,11 @@ def overlap_audit(train: DataFrame, pool: DataFrame, by: str = "pool") -> DataFr
 # ---------------------------------------------------------------- states over time as examples
 
 
-def steps_in_force(events: DataFrame, steps: DataFrame) -> DataFrame:
+def steps_in_force(events: DataFrame, steps: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """Usable records of a task at each step: one row per (task_id, step, record)."""
     from standpoint.operators.ledger import ledger_as_of
 
-    return ledger_as_of(events, steps).filter((F.col("status") == "active") & (F.coalesce("text", F.lit("")) != ""))
+    return ledger_as_of(events, steps, spans=spans).filter((F.col("status") == "active") & (F.coalesce("text", F.lit("")) != ""))
 
 
 def status_at_steps(live: DataFrame, predicates: DataFrame, label) -> DataFrame:
@@ -246,11 +246,11 @@ def status_at_steps(live: DataFrame, predicates: DataFrame, label) -> DataFrame:
     return top.select("task_id", "step", "predicate_id", status.alias("status"))
 
 
-def disposition_contexts(events: DataFrame, steps: DataFrame, predicates: DataFrame, label) -> DataFrame:
+def disposition_contexts(events: DataFrame, steps: DataFrame, predicates: DataFrame, label, spans: DataFrame | None = None) -> DataFrame:
     """One row per changed step and predicate: claim, all usable records rendered highest rank first, gold status. A task holds
     at most 5,000 records, which bounds a context."""
     from standpoint.operators.links import render_context
-    live = cut_lineage(steps_in_force(events, steps))
+    live = cut_lineage(steps_in_force(events, steps, spans))
     key = F.concat(F.col("task_id"), F.lit("@"), F.col("step").cast("string"))
     ctx = render_context(live.withColumn("task_id", key)).withColumnRenamed("task_id", "_at")
     grid = steps.join(predicates.select("task_id", "predicate_id", F.col("text").alias("claim")), "task_id").withColumn("_at", key)
@@ -259,7 +259,8 @@ def disposition_contexts(events: DataFrame, steps: DataFrame, predicates: DataFr
                     F.coalesce("status", F.lit("UNRESOLVED")).alias("status")))
 
 
-def set_suite_from_trace(events: DataFrame, steps: DataFrame, predicates: DataFrame, limit: int, seed: int = 0) -> DataFrame:
+def set_suite_from_trace(events: DataFrame, steps: DataFrame, predicates: DataFrame, limit: int, seed: int = 0,
+                         spans: DataFrame | None = None) -> DataFrame:
     """A sample of (step, predicate) examples with every reading pair in force for them and its rank (0 highest). Which examples
     are drawn is the order of a hash of (seed, example)."""
     from standpoint.operators.beliefs import dense_rank_edges
@@ -267,7 +268,8 @@ def set_suite_from_trace(events: DataFrame, steps: DataFrame, predicates: DataFr
     grid = steps.join(predicates.select("task_id", "predicate_id", F.col("text").alias("claim")), "task_id")
     tag = F.md5(F.concat_ws("|", F.lit(str(seed)), "task_id", F.col("step").cast("string"), "predicate_id").cast("binary"))
     drawn = grid.withColumn("_tag", tag).orderBy("_tag").limit(limit).drop("_tag")
-    live = steps_in_force(events, drawn.select("task_id", "step").distinct())
-    sets = drawn.join(live, ["task_id", "step"])
+    drawn = cut_lineage(drawn)
+    live = steps_in_force(events, drawn.select("task_id", "step").distinct(), spans)
+    sets = cut_lineage(drawn.join(live, ["task_id", "step"]))
     return dense_rank_edges(sets, ["task_id", "step", "predicate_id"]).select(
         "task_id", "step", "predicate_id", "record_id", "claim", "text", "authority", "valid_from", "rank")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
 from standpoint.operators import metrics as M
-from standpoint.operators.scan import running_before, salted_join
+from standpoint.operators.scan import running_before, skew_join
 from standpoint.session import cut_lineage
 
 EXACT_CONFIDENCE = 0.995
@@ -37,7 +37,7 @@ def correction_log(corrections: DataFrame, retractions: DataFrame) -> DataFrame:
 def apply_corrections(edges: DataFrame, verified: DataFrame, confidence: float = EXACT_CONFIDENCE) -> DataFrame:
     """A pair a person has verified is read as they said, whatever the model says."""
     v = verified.select("pair", F.col("label").alias("_lab"))
-    j = salted_join(edges, v, ["pair"], ["task_id", "record_id"], how="left")
+    j = skew_join(edges, v, ["pair"], how="left")
 
     def fixed(i, name):
         return F.when(F.col("_lab").isNull(), F.col(name)).when(F.col("_lab") == i, F.lit(confidence)).otherwise(
@@ -156,7 +156,7 @@ def evolving_edges(edges: DataFrame, memory: DataFrame, verified: DataFrame, **k
         q = edges.groupBy("pair").agg(*[F.min(c).alias(c) for c in ("p_s", "p_r", "p_n")], F.min("vec").alias("vec"))
         moved = knn_blend(q.withColumnRenamed("pair", "qid"), memory, **knn).select(
             F.col("qid").alias("pair"), "p_s", "p_r", "p_n")
-        edges = salted_join(edges.drop("p_s", "p_r", "p_n"), moved, ["pair"], ["task_id", "record_id"])
+        edges = skew_join(edges.drop("p_s", "p_r", "p_n"), moved, ["pair"])
     return apply_corrections(edges, verified)
 
 

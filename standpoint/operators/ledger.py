@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
-from standpoint.operators.scan import dense_index, running_before, salted_join
+from standpoint.operators.scan import dense_index, running_before, skew_join
 from standpoint.schemas import WITHDRAWN_KEY
+from standpoint.session import cut_lineage
 
 REC = ["task_id", "record_id"]
 PAYLOAD = ["text", "source_id", "authority", "valid_from", "valid_until", "span"]
@@ -75,32 +76,30 @@ def record_heads(events: DataFrame) -> DataFrame:
 def delivery_outcomes(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """What every delivery did when it arrived: outcome, whether anything changed, status afterwards.
 
-    The state before a delivery is kept as the greatest (revision, key) and the greatest (revision,
-    mirrored key) seen so far; both are maxima, so blocks of sequence numbers merge, and they name the
-    top revision's largest and smallest key. ``seq`` is unique in a task, so ``block_rows`` bounds what a
-    task sorts."""
+    The state of a record is one number, four times its top revision plus what that revision holds: 0 a text,
+    1 a withdrawal, 3 competing payloads. A delivery carries the number its own payload proves, and the state
+    is the greatest of those so far, so blocks of sequence numbers merge. ``seq`` is unique in a task, so
+    ``block_rows`` bounds what a task sorts."""
     slim = keyed(events).select(*REC, "seq", "revision", "payload_key").withColumn("_blk", F.floor(F.col("seq") / F.lit(block_rows)))
-    # first delivery of each payload: within each block by an aggregate, then over a payload's few blocks
-    cell = [*REC, "revision", "payload_key"]
-    firsts = slim.groupBy(*cell, "_blk").agg(F.min("seq").alias("_f"))
-    firsts = firsts.select(*cell, "_blk", F.min("_f").over(W.partitionBy(*cell)).alias("_first"))
-    known = slim.join(firsts, [*cell, "_blk"])
-    # hex keys mirrored so that the largest mirror belongs to the smallest key
-    high = F.when(F.col("payload_key") == WITHDRAWN_KEY, F.lit("g")).otherwise(F.col("payload_key"))
-    low = F.when(F.col("payload_key") == WITHDRAWN_KEY, F.lit("")).otherwise(
-        F.translate("payload_key", "0123456789abcdef", "fedcba9876543210"))
-    hi, lo = F.struct(F.col("revision").alias("r"), high.alias("k")), F.struct(F.col("revision").alias("r"), low.alias("k"))
-    ran = running_before(known, REC, [F.col("_blk")], [F.col("seq")], {"_hi": hi, "_lo": lo}, fold=F.max)
-    top, rev = F.col("_hi.r"), F.col("revision")
+    # first delivery of each payload, and of each revision: per block by an aggregate, then over the few blocks
+    turn = [*REC, "revision"]
+    per_block = slim.groupBy(*turn, "payload_key", "_blk").agg(F.min("seq").alias("_f"))
+    firsts = per_block.withColumn("_first", F.min("_f").over(W.partitionBy(*turn, "payload_key"))).drop("_f")
+    opened = per_block.groupBy(*turn).agg(F.min("_f").alias("_opened"))
+    firsts = skew_join(firsts, opened, turn)
+    known = cut_lineage(slim.join(firsts, [*turn, "payload_key", "_blk"]))
+    holds = (F.when(F.col("_first") != F.col("_opened"), F.lit(3)).when(F.col("payload_key") == WITHDRAWN_KEY, F.lit(1))
+             .otherwise(F.lit(0)))
+    own = F.col("revision").cast("bigint") * 4 + holds
+    ran = running_before(known, REC, [F.col("_blk")], [F.col("seq")], {"_before": own}, fold=F.max)
+    top, rev = F.shiftright("_before", 2), F.col("revision")
     outcome = (F.when(top.isNull() | (rev > top), F.lit("applied")).when(rev < top, F.lit("stale"))
                .when(F.col("seq") == F.col("_first"), F.lit("conflict")).otherwise(F.lit("duplicate")))
-    after_hi, after_lo = F.greatest(F.col("_hi"), hi), F.greatest(F.col("_lo"), lo)
-    mirror = F.when(after_lo["k"] == "", F.lit("g")).otherwise(F.translate(after_lo["k"], "0123456789abcdef", "fedcba9876543210"))
-    status = (F.when(after_hi["k"] != mirror, F.lit("conflicted")).when(after_hi["k"] == "g", F.lit("withdrawn"))
-              .otherwise(F.lit("active")))
-    out = ran.withColumn("outcome", outcome)
-    return out.select("task_id", "seq", "record_id", "revision", "payload_key", "outcome",
-                      F.col("outcome").isin("applied", "conflict").alias("changed"), status.alias("status"))
+    now = F.greatest(F.col("_before"), own) % 4
+    status = F.when(now == 3, F.lit("conflicted")).when(now == 1, F.lit("withdrawn")).otherwise(F.lit("active"))
+    return (ran.withColumn("outcome", outcome)
+            .select("task_id", "seq", "record_id", "revision", "payload_key", "outcome",
+                    F.col("outcome").isin("applied", "conflict").alias("changed"), status.alias("status")))
 
 
 def active_records(state: DataFrame, now: float | None = None) -> DataFrame:
@@ -181,8 +180,8 @@ def change_intervals(events: DataFrame) -> DataFrame:
     """Spans of sequence numbers [seq_from, seq_to) during which a record's state stayed the same, with
     the single payload then in force (NULL while withdrawn or conflicted)."""
     ev = keyed(events)
-    moves = (delivery_outcomes(ev).filter("changed")
-             .join(ev.select("task_id", "seq", *PAYLOAD), ["task_id", "seq"]))
+    moves = cut_lineage(delivery_outcomes(ev).filter("changed")
+                        .join(ev.select("task_id", "seq", *PAYLOAD), ["task_id", "seq"]))
     block = (F.floor(F.col("seq") / F.lit(BLOCK_ROWS)), "desc")
     nxt = running_before(moves, REC, [block], [F.col("seq").desc()], {"seq_to": F.col("seq")}, fold=F.min)
     live = F.col("status") == "active"
@@ -190,16 +189,17 @@ def change_intervals(events: DataFrame) -> DataFrame:
                       *[F.when(live, F.col(c)).alias(c) for c in PAYLOAD if c != "span"])
 
 
-def ledger_as_of(events: DataFrame, steps: DataFrame, bucket: int = BLOCK_ROWS) -> DataFrame:
-    """State of every record of a task at each step (task_id, step). Equal-width buckets of the sequence
+def ledger_as_of(events: DataFrame, steps: DataFrame, bucket: int = BLOCK_ROWS, spans: DataFrame | None = None) -> DataFrame:
+    """State of every record of a task at each step (task_id, step); ``spans`` may hand in ``change_intervals`` that are
+    known already. Equal-width buckets of the sequence
     axis turn the range condition into an equi-join: an interval is listed once per bucket it touches
     that holds a step of its task."""
-    spans = change_intervals(events)
+    spans = change_intervals(events) if spans is None else spans
     used = steps.select("task_id", F.floor(F.col("step") / bucket).alias("_bk")).distinct()
     by_task = used.groupBy("task_id").agg(F.sort_array(F.collect_set("_bk")).alias("_bks"))
     first, last = F.floor(F.col("seq_from") / bucket), F.floor((F.col("seq_to") - 1) / bucket)
     touched = F.filter("_bks", lambda b: (b >= first) & (last.isNull() | (b <= last)))
-    listed = salted_join(spans, by_task, ["task_id"], ["record_id"]).withColumn("_bk", F.explode(touched)).drop("_bks")
+    listed = skew_join(spans, by_task, ["task_id"]).withColumn("_bk", F.explode(touched)).drop("_bks")
     at = steps.withColumn("_bk", F.floor(F.col("step") / bucket))
     inside = (F.col("step") >= F.col("seq_from")) & (F.col("seq_to").isNull() | (F.col("step") < F.col("seq_to")))
     return at.join(listed, ["task_id", "_bk"]).filter(inside).drop("_bk")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
-from standpoint.operators.scan import running_before, salted_join
+from standpoint.operators.scan import running_before, salted_join, skew_join
 
 REC = ["task_id", "record_id"]
 MAX_RECORDS_PER_TASK = 5000  # fixed value: the most records a task may hold, so the most texts read jointly
@@ -33,8 +33,8 @@ def declared_links(events: DataFrame, block_rows: int = 65536) -> DataFrame:
 
 
 def _spread(records: DataFrame, predicates: DataFrame, keep) -> DataFrame:
-    """Records with their task's predicates: a salted equi-join on the task, then one row per kept predicate."""
-    joined = salted_join(records, claims_by_task(predicates), ["task_id"], ["record_id"])
+    """Records with their task's predicates: an equi-join on the task, then one row per kept predicate."""
+    joined = skew_join(records, claims_by_task(predicates), ["task_id"])
     claims = F.col("claims") if keep is None else F.filter("claims", keep)
     return (joined.withColumn("claim_row", F.explode(claims))
             .select(*REC, "claim_row.predicate_id", "claim_row.claim", "claim_row.joint", "text", "authority", "valid_from",
@@ -57,7 +57,7 @@ def propose_links(records: DataFrame, predicates: DataFrame, threshold: float, m
     ``min_links`` closest when fewer reach it. Both inputs carry task_id; windows hold one record's
     predicates only (at most 200 rows)."""
     targets = predicates.groupBy("task_id").agg(F.collect_list(F.struct("predicate_id", "vec")).alias("targets"))
-    pairs = (salted_join(records.select(*REC, "vec"), targets, ["task_id"], ["record_id"])
+    pairs = (skew_join(records.select(*REC, "vec"), targets, ["task_id"])
              .withColumn("t", F.explode("targets"))
              .select(*REC, F.col("t.predicate_id").alias("predicate_id"), S.dot("vec", "t.vec").alias("sim")))
     one = W.partitionBy(*REC)

@@ -195,8 +195,7 @@ def evaluate(prog: Column, root: Column, reps: Column, status: Column, belief: C
 
             return let(weight, lambda x: F.when(x > 0, add(x)).otherwise(acc))
 
-        plain = F.element_at(_fold(prog, ls, gate_status), root + 1)
-        return F.when(F.size(cond) == 0, plain).otherwise(F.aggregate(_worlds(cond, 3), zero, world))
+        return F.aggregate(_worlds(cond, 3), zero, world)
 
     def truth_part(lb):
         def world(acc, w):
@@ -207,8 +206,7 @@ def evaluate(prog: Column, root: Column, reps: Column, status: Column, belief: C
             return let(weight, lambda x: F.when(
                 x > 0, acc + x * F.element_at(_fold(prog, fixed, gate_truth), root + 1)).otherwise(acc))
 
-        plain = F.element_at(_fold(prog, lb, gate_truth), root + 1)
-        return F.when(F.size(cond) == 0, plain).otherwise(F.aggregate(_worlds(cond, 2), F.lit(0.0), world))
+        return F.aggregate(_worlds(cond, 2), F.lit(0.0), world)
 
     be = let(belief, truth_part)
     return let(let(status, status_part), lambda x: F.struct(

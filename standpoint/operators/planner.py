@@ -100,7 +100,9 @@ def value_of_asking(tasks: DataFrame, sets: DataFrame, ready: float = 0.5, block
 
         def add(x):
             def under(st):
-                out = F.transform("acts", lambda a: outcome_of(a, st["ls"], st["lb"], ready, block))
+                # an action with none of the asked predicates under it stays as it is
+                out = F.transform("acts", lambda a, k: F.when(
+                    F.arrays_overlap(a["at"], "q"), outcome_of(a, st["ls"], st["lb"], ready, block)).otherwise(F.element_at("base", k + 1)))
                 return let(out, lambda o: F.struct(
                     (acc["e"] + x * _total(o)).alias("e"),
                     F.array_union(acc["c"], F.transform(F.filter(o, lambda y, k: y["d"] != F.element_at("base", k + 1)["d"]),

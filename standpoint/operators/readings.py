@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from standpoint.functions import scalars as S
-from standpoint.operators.scan import running_before, salted_join
+from standpoint.operators.scan import running_before, skew_join
 from standpoint.schemas import NEI
+from standpoint.session import cut_lineage
 
 
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -22,13 +23,13 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
 def oracle_readings(pairs: DataFrame, gold: DataFrame, margin: float = 8.0) -> DataFrame:
     """Readings from known labels (claim, text, label); a pair without one settles nothing."""
     known = gold.select(S.pair_key("claim", "text").alias("pair"), "label").dropDuplicates(["pair"])
-    return (salted_join(pairs, known, ["pair"], ["task_id", "record_id"], how="left")
+    return (skew_join(pairs, known, ["pair"], how="left")
             .withColumn("logits", S.label_logits(F.coalesce(F.col("label"), F.lit(NEI)), F.lit(margin))).drop("label"))
 
 
 def table_readings(pairs: DataFrame, readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs found in a table of readings, pairs missing from it)."""
-    found = salted_join(pairs, readings, ["pair"], ["task_id", "record_id"])
+    found = skew_join(pairs, readings, ["pair"])
     missing = distinct_pairs(pairs).join(readings, "pair", "left_anti")
     return found, missing
 
@@ -80,8 +81,8 @@ def score_pairs(pairs: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], ve
 
 
 def attach(pairs: DataFrame, readings: DataFrame, temperature: float = 1.0, bias=(0.0, 0.0, 0.0)) -> DataFrame:
-    """Edges: every pair with its calibrated reading. A pair shared by very many records is salted."""
-    return (salted_join(pairs, readings.select("pair", "logits"), ["pair"], ["task_id", "record_id"])
+    """Edges: every pair with its calibrated reading. A pair may be shared by very many records."""
+    return (skew_join(pairs, readings.select("pair", "logits"), ["pair"])
             .withColumn("_p", S.calibrate_probs("logits", temperature, bias)).select("*", "_p.*").drop("_p"))
 
 
@@ -93,7 +94,7 @@ def cost_per_event(spans: DataFrame, predicates: DataFrame, block_rows: int = 65
     per_task = predicates.groupBy("task_id").agg(F.count("*").alias("n_claims"), F.sum(claim_tokens).alias("claim_tokens"))
     words = F.size(F.split(F.trim(F.col("text")), r"\s+"))
     read = F.coalesce(F.col("text"), F.lit("")) != ""
-    s = (salted_join(spans.select("task_id", "record_id", "seq_from", "seq_to", "text"), per_task, ["task_id"], ["record_id"])
+    s = cut_lineage(skew_join(spans.select("task_id", "record_id", "seq_from", "seq_to", "text"), per_task, ["task_id"])
          .withColumn("pairs", F.when(read, F.col("n_claims")).otherwise(F.lit(0)))
          .withColumn("tokens", F.when(read, F.col("n_claims") * words + F.col("claim_tokens")).otherwise(F.lit(0))))
     moves = s.select("task_id", F.explode(F.array(

@@ -15,10 +15,19 @@ from pyspark.sql.window import Window as W
 SALTS = 16
 
 
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join whose left side may have hot keys and whose right side has one row, or few, per key. Left to adaptive
+    execution, which splits an oversized left partition and repeats only the right rows that belong to it;
+    salting by hand would repeat a right side of any size for keys that are not hot. Callers go on to shuffle by
+    other keys or write, so the split is free to happen."""
+    return left.join(right, on, how)
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: list[str], how: str = "inner",
                 salts: int = SALTS) -> DataFrame:
-    """Equi-join whose left side may have hot keys and whose right side has few rows per key. Left rows of
-    one key spread over ``salts`` partitions, right rows are repeated once per salt."""
+    """The same where the next step groups by the join key, which would keep adaptive execution from splitting, and the
+    right rows are a few bytes. Left rows of one key spread over ``salts`` partitions, right rows are
+    repeated once per salt."""
     a = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, on + ["_salt"], how).drop("_salt")

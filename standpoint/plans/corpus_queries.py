@@ -373,8 +373,12 @@ cte("gold_at", f"""
 
 
 def changed_steps(spark, sf):
+    """The log, the steps at which it changed, and the spans between them (written once)."""
+    from standpoint.session import cut_lineage
+
     ev = D.event_log(spark, sf)
-    return ev, L.delivery_outcomes(ev).filter("changed").select("task_id", F.col("seq").alias("step"))
+    spans = cut_lineage(L.change_intervals(ev))
+    return ev, spans.select("task_id", F.col("seq_from").alias("step")), spans
 
 
 @query("disposition_contexts", """
@@ -387,8 +391,8 @@ def changed_steps(spark, sf):
     on c.task_id = o.task_id and c.step = o.seq
   left join gold_at g on g.task_id = o.task_id and g.step = o.seq and g.predicate_id = p.predicate_id where o.changed""")
 def disposition_contexts(spark, sf):
-    ev, steps = changed_steps(spark, sf)
-    return C.disposition_contexts(ev, steps, D.predicates(spark, sf), D.gold_label).withColumn("context", F.md5(F.col("context").cast("binary")))
+    ev, steps, spans = changed_steps(spark, sf)
+    return C.disposition_contexts(ev, steps, D.predicates(spark, sf), D.gold_label, spans).withColumn("context", F.md5(F.col("context").cast("binary")))
 
 
 @query("set_suite_from_trace", """
@@ -397,5 +401,5 @@ def disposition_contexts(spark, sf):
   from (select o.task_id, o.seq as step, p.predicate_id, p.claim from outcomes o join predicates p using (task_id) where o.changed
         order by md5('0|' || o.task_id || '|' || o.seq || '|' || p.predicate_id) limit 300) d join live_at using (task_id, step)""")
 def set_suite_from_trace(spark, sf):
-    ev, steps = changed_steps(spark, sf)
-    return C.set_suite_from_trace(ev, steps, D.predicates(spark, sf), 300).drop("authority", "valid_from")
+    ev, steps, spans = changed_steps(spark, sf)
+    return C.set_suite_from_trace(ev, steps, D.predicates(spark, sf), 300, spans=spans).drop("authority", "valid_from")

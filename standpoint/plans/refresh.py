@@ -20,7 +20,7 @@ from standpoint.operators import ledger as L
 from standpoint.operators import links as K
 from standpoint.operators import logic as G
 from standpoint.operators import readings as R
-from standpoint.operators.scan import salted_join
+from standpoint.operators.scan import skew_join
 from standpoint.plans.flow import Flow
 from standpoint.session import cut_lineage
 
@@ -186,6 +186,6 @@ def explain(f: Flow) -> DataFrame:
     b = f.beliefs.select(*PRED, "status", "belief")
     known = cut_lineage(leaves.join(b, PRED).join(compared, PRED, "left"))
     rec = cut_lineage(rec)
-    with_record = salted_join(rec, known, PRED, ["record_id"])
+    with_record = skew_join(rec, known, PRED)
     bare = known.join(rec.select(*PRED).distinct(), PRED, "left_anti")
     return with_record.unionByName(bare, allowMissingColumns=True)
