@@ -149,10 +149,10 @@ def knn_blend(spark, sf):
     return K.knn_blend(q, m, tau=0.2, lam_max=0.6).select("qid", "touched", r("p_s"), r("p_r"), r("p_n"))
 
 
-# Evolving beliefs: the vector of a pair is one of the first 400 by the pair's hash (all scales have them).
+# Evolving beliefs: the vector of a pair is chosen among all by the pair's hash.
 cte("pair_vecs", """
   select pair, any_value(p_s) as p_s, any_value(p_r) as p_r, any_value(p_n) as p_n,
-         ('0x' || substr(sha256('v' || pair), 1, 8))::bigint % 400 as vec_id from edges group by pair""")
+         ('0x' || substr(sha256('v' || pair), 1, 8))::bigint % (select count(*) from embeddings) as vec_id from edges group by pair""")
 cte("pair_near", """
   select q.pair as qid, m.vec_id as item_id, m.label,
     list_inner_product(v.e, m.e) / (sqrt(list_inner_product(v.e, v.e)) * sqrt(list_inner_product(m.e, m.e))) as sim
@@ -176,7 +176,8 @@ def evolved(spark, sf):
     from standpoint.session import cut_lineage
 
     f = derived_flow(spark, sf)
-    vid = (hash32(F.lit("v"), F.col("pair")) % 400).alias("vec_id")
+    n = D.table(spark, sf, "embeddings").agg(F.count("*")).scalar()
+    vid = (hash32(F.lit("v"), F.col("pair")) % n).alias("vec_id")
     vec = vectors(spark, sf).select("vec_id", "vec")
     edges = cut_lineage(f.edges.select("task_id", "record_id", "predicate_id", "pair", "authority", "valid_from", "p_s", "p_r", "p_n", vid))
     edges = edges.join(vec, "vec_id")
