@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standpoint.llm import pfair_mixing, quality_rules, secret_scan, simhash_anchors, template_decontamination
+from standpoint.llm import kneser_ney, pfair_mixing, quality_rules, secret_scan, simhash_anchors, template_decontamination, warc_archive
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,13 +30,21 @@ def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan(_docs(spark, sf))
 
 
+def op8_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
+    return warc_archive.round_trip(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def op9_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    return kneser_ney.score_documents(_docs(spark, sf))
+
+
 def op10_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return template_decontamination.leaks(_docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")).select(
         "doc_id", "item_id", "n_windows", "n_item_windows", "share", "verbatim")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_pfair_mixing, op5_simhash_anchors, op6_secret_scan, op10_template_decontamination)
+    f.__name__: f for f in (op1_quality_rules, op4_pfair_mixing, op5_simhash_anchors, op6_secret_scan, op8_warc_archive, op9_kneser_ney, op10_template_decontamination)
 }
 
 _RULES = " + ".join(f"CASE WHEN {c} THEN {1 << r} ELSE 0 END" for r, (_, c) in enumerate(quality_rules.RULES))
@@ -61,4 +69,15 @@ f AS (SELECT *, CAST({_RULES} AS BIGINT) AS failures FROM m)
 SELECT *, failures & {quality_rules.BASE} <> 0 AS base_failed, failures & {quality_rules.POLICIES['web-2']} = 0 AS kept, 'web-2' AS policy FROM f
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": _OP1}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_OP8 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+         lambda s: substr('{_LETTERS}', 1 + CAST((CAST('0x' || substr(hex, 5 * g + 1, 5) AS INTEGER) >> s) & 31 AS INTEGER), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op8_warc_archive": _OP8}
