@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standpoint.llm import kneser_ney, pfair_mixing, quality_rules, secret_scan, simhash_anchors, template_decontamination, warc_archive
+from standpoint.llm import kneser_ney, pfair_mixing, quality_rules, secret_scan, simhash_anchors, suffix_dedup, template_decontamination, toxicity_knn, warc_archive
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(_docs(spark, sf)))
 
 
+def op2_toxicity_knn(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity_knn.score_documents(_docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_docs(spark, sf))
+
+
 def op4_pfair_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return pfair_mixing.mix(_docs(spark, sf).select("doc_id", "source"))
 
@@ -44,7 +52,7 @@ def op10_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_pfair_mixing, op5_simhash_anchors, op6_secret_scan, op8_warc_archive, op9_kneser_ney, op10_template_decontamination)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity_knn, op3_suffix_dedup, op4_pfair_mixing, op5_simhash_anchors, op6_secret_scan, op8_warc_archive, op9_kneser_ney, op10_template_decontamination)
 }
 
 _RULES = " + ".join(f"CASE WHEN {c} THEN {1 << r} ELSE 0 END" for r, (_, c) in enumerate(quality_rules.RULES))
