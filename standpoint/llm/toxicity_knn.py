@@ -31,19 +31,11 @@ from standpoint.session import cut_lineage
 
 EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 20_000, 2048, 64, 16
 EVIDENCE, SOFT = 26.0, 0.05
-PREFIXES = (5, 7)
 WORD = re.compile(r"[^\W_]+")
 
 
 def term_counts(text: str | None) -> Counter:
-    """Counts of words and, as insults are inflected, of their first letters (marked by ``^``)."""
-    words = Counter(WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for size in PREFIXES:
-            if len(w) > size:
-                out["^" + w[:size]] += n
-    return out
+    return Counter(WORD.findall((text or "").lower()))
 
 
 def g_test(k, n, positive: int, total: int):
