@@ -197,6 +197,9 @@ def _reduce(level: int, buckets: int, folder: str):
                 for batch in pack(level - 1, g[:, 1:], np.ones(len(g), np.int64), buckets):
                     for lv, b, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                         yield _row(lv, b, p)
+                raw, rc = _gather(rows, 0, 1)  # added up here, written with the lowest order
+                for batch in pack(0, raw, rc, buckets):
+                    yield _row(0, bucket, batch.column(2)[0].as_py())
             else:
                 raw, rc = _gather(rows, 0, 1)
                 ids = raw[:, 0]
@@ -231,13 +234,7 @@ def train(texts: DataFrame, order: int = ORDER) -> dict:
     buckets = 4 * width
     packed = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(order, buckets), PACKED)
     model = {"folder": folder, "order": order, "buckets": buckets, "discounts": {}, "totals": {}, "types": {}, "left": 0.0}
-    raw = None
     for level in range(order, 0, -1):
-        if level == order and order > 1:
-            packed = cut_lineage(packed)
-            raw, packed = packed.where("level = 0"), packed.where(f"level = {order}")
-        if level == 1 and raw is not None:
-            packed = packed.unionByName(raw)
         got = cut_lineage(packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_reduce(level, buckets, folder), OUT))
         for r in got.where("of IS NOT NULL").groupBy("of").agg(*[F.sum(c).alias(c) for c in ("c1", "c2", "c3", "c4", "total", "types")]).collect():
             model["discounts"][r.of] = discounts(r.c1, r.c2, r.c3, r.c4)
