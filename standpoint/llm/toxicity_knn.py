@@ -24,7 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standpoint.session import cut_lineage
@@ -78,28 +78,34 @@ class Index:
             return []
         terms, weights = np.array(list(vector)), np.array(list(vector.values()))
         bound = weights @ self.top[terms]
-        best: list[tuple[float, int]] = []
+        sims, who = np.zeros(0), np.zeros(0, np.int64)
         order = np.argsort(-bound, kind="stable")
-        at, step = 0, 4
-        while at < len(order) and bound[order[at]] > 0 and (len(best) < k or bound[order[at]] >= -best[k - 1][0] - 1e-12):
+        at, step, least = 0, 4, 0.0
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-12:
             some = order[at:at + step]
-            lo, hi = self.edges[terms[:, None] * self.blocks + some], self.edges[terms[:, None] * self.blocks + some + 1]
-            n = (hi - lo).ravel()
-            spots = np.repeat(lo.ravel() - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            who, where = np.unique(self.example[spots], return_inverse=True)
-            sims = np.bincount(where, self.weight[spots] * np.repeat(np.repeat(weights, len(some)), n), minlength=len(who))
-            best = sorted(best + [(-round(s, 12), int(e)) for s, e in zip(sims, who, strict=True) if e != but and s > 0])[:k]
+            cells = terms[:, None] * self.blocks + some
+            lo, n = self.edges[cells].ravel(), (self.edges[cells + 1] - self.edges[cells]).ravel()
+            spots = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            reached, where = np.unique(self.example[spots], return_inverse=True)
+            got = np.round(np.bincount(where, self.weight[spots] * np.repeat(np.repeat(weights, len(some)), n), minlength=len(reached)), 12)
+            fit_in = (got > 0) & (reached != but) & (got >= least)
+            sims, who = np.concatenate([sims, got[fit_in]]), np.concatenate([who, reached[fit_in]])
+            if len(sims) >= k:
+                best = np.lexsort((who, -sims))[:k]
+                sims, who = sims[best], who[best]
+                least = float(sims[-1])
             at += step
             step = min(64, 2 * step)
-        return [(e, -s) for s, e in best]
+        best = np.lexsort((who, -sims))[:k]
+        return list(zip(who[best].tolist(), sims[best].tolist(), strict=True))
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         w = np.array([1 / (1 - min(1.0, s) + SOFT) for _, s in near])
         return float((w * self.labels[[e for e, _ in near]]).sum() / w.sum())
 
-    def calibrate(self, silent_rate: float) -> None:
+    def calibrate(self, pairs: list[tuple[float, float]], silent_rate: float) -> None:
+        """Isotonic regression of (vote, label), sorted by vote."""
         self.silent = silent_rate
-        pairs = sorted((self.vote(near), self.labels[e]) for e, v in enumerate(self.vectors) if (near := self.nearest(v, but=e)))
         stack: list[list[float]] = []
         for x, y in pairs:
             stack.append([y, 1.0, x])
@@ -120,6 +126,19 @@ class Index:
         return float(self.map[1][min(np.searchsorted(self.map[0], v - 1e-9), len(self.map[0]) - 1)]), near
 
 
+def votes(spark: SparkSession, index: Index) -> list[tuple[float, float]]:
+    """(vote, label) of each example, judged by the others; as many rows as examples at most."""
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches):
+        ix = shared.value
+        for b in batches:
+            got = [(ix.vote(near), float(ix.labels[e])) for e in b.column(0).to_pylist() if (near := ix.nearest(ix.vectors[e], but=e))]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)], names=["vote", "label"])
+
+    return sorted(tuple(r) for r in spark.range(len(index.vectors)).repartition(16).mapInArrow(run, "vote double, label double").collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
     """``labels``: doc_id, toxic (0 or 1). Learns from all its rows that have a document."""
     chosen = (labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).dropna()
@@ -155,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     order = sorted(range(len(rows)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t))[:3], rows[i].id))
     index = Index(names, idf, [vectors[i] for i in order], np.array([float(rows[i].y) for i in order]), np.array([rows[i].id for i in order], np.int64))
     heard, toxic = len(rows), int(index.labels.sum())
-    index.calibrate((positive - toxic) / (n - heard) if n > heard else (positive / n if n else 0.0))
+    index.calibrate(votes(docs.sparkSession, index), (positive - toxic) / (n - heard) if n > heard else (positive / n if n else 0.0))
     return index
 
 
