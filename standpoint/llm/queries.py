@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standpoint.llm import kneser_ney, pfair_mixing, quality_rules, secret_scan, simhash_anchors, suffix_dedup, template_decontamination, toxicity_knn, warc_archive
+from standpoint.llm import kneser_ney, pfair_mixing, quality_rules, secret_scan, simhash_anchors, suffix_dedup, template_decontamination, tool_calls, toxicity_knn, warc_archive
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.scan(_docs(spark, sf))
 
 
+def op7_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    messages = tool_calls.with_tool_calls(spark.read.parquet(f"{sf}/conversations.parquet"))
+    return tool_calls.format_messages(messages, tool_calls.TOOLS)
+
+
 def op8_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     return warc_archive.round_trip(spark.read.parquet(f"{sf}/pages.parquet"))
 
@@ -52,7 +57,7 @@ def op10_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_toxicity_knn, op3_suffix_dedup, op4_pfair_mixing, op5_simhash_anchors, op6_secret_scan, op8_warc_archive, op9_kneser_ney, op10_template_decontamination)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity_knn, op3_suffix_dedup, op4_pfair_mixing, op5_simhash_anchors, op6_secret_scan, op7_tool_calls, op8_warc_archive, op9_kneser_ney, op10_template_decontamination)
 }
 
 _RULES = " + ".join(f"CASE WHEN {c} THEN {1 << r} ELSE 0 END" for r, (_, c) in enumerate(quality_rules.RULES))
