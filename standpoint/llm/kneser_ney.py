@@ -5,7 +5,8 @@ their context and adds them up one bucket at a time. The same pass over a bucket
 counts; sorted context hashes with their totals and the numbers of n-grams seen once, twice, more often) and hands the
 distinct suffixes on as continuation counts of the next lower order. The driver only sees counts of counts, from which the
 three discounts of each order follow. ``score`` maps the arrays and looks tokens up in sorted batches; a worker touches
-only the pages it needs, and buckets are as many as four a shuffle partition, so files stay small.
+only the pages it needs. There are as many buckets as shuffle partitions, and a task packs what many of its buckets hand
+on together, so the number of packed rows stays in proportion to tasks times buckets.
 
 Model of a word w after context h: (max(c(hw) - D(c), 0) + (D1 N1(h) + D2 N2(h) + D3 N3+(h)) p(w | h without its first word)) / c(h),
 the lowest order ending in 1 / (V + 1), V being the words seen and 1 the unseen. Texts begin after a boundary and end with
@@ -178,7 +179,14 @@ def _row(level=None, bucket=None, payload=None, of=None, stats=None):
 
 
 def _reduce(level: int, buckets: int, folder: str):
+    def suffixes(held):
+        g = np.concatenate(held)
+        for batch in pack(level - 1, g, np.ones(len(g), np.int64), buckets):
+            for lv, b, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield _row(lv, b, p)
+
     def run(batches):
+        held, size = [], 0
         for bucket, rows in _by_bucket(batches):
             g, c = _gather(rows, level, level)
             key = mix(context_hash(g), g[:, -1])
@@ -194,9 +202,11 @@ def _reduce(level: int, buckets: int, folder: str):
                     np.add.at(n[:, i], at[(c == i) if i < 3 else (c >= 3)], 1)
                 save_array(folder, f"{level}-{bucket}-contexts.npy", names)
                 save_array(folder, f"{level}-{bucket}-totals.npy", n)
-                for batch in pack(level - 1, g[:, 1:], np.ones(len(g), np.int64), buckets):
-                    for lv, b, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                        yield _row(lv, b, p)
+                held.append(g[:, 1:])
+                size += len(g)
+                if size >= FLUSH:
+                    yield from suffixes(held)
+                    held, size = [], 0
                 raw, rc = _gather(rows, 0, 1)  # added up here, written with the lowest order
                 for batch in pack(0, raw, rc, buckets):
                     yield _row(0, bucket, batch.column(2)[0].as_py())
@@ -207,6 +217,8 @@ def _reduce(level: int, buckets: int, folder: str):
                 save_array(folder, f"0-{bucket}-counts.npy", rc)
                 yield _row(of=0, stats=_stats(rc))
             yield _row(of=level, stats=_stats(c))
+        if held:
+            yield from suffixes(held)
 
     return run
 
@@ -231,7 +243,7 @@ def train(texts: DataFrame, order: int = ORDER) -> dict:
     spark = texts.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/kneser-ney-{uuid.uuid4().hex}"
     width = partitions(texts)
-    buckets = 4 * width
+    buckets = width
     packed = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(order, buckets), PACKED)
     model = {"folder": folder, "order": order, "buckets": buckets, "discounts": {}, "totals": {}, "types": {}, "left": 0.0}
     for level in range(order, 0, -1):
