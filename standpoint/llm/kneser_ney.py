@@ -224,12 +224,11 @@ def _reduce(level: int, buckets: int, folder: str):
 
 
 def discounts(c1: int, c2: int, c3: int, c4: int) -> list[float]:
-    """D1, D2, D3+ from the numbers of n-grams seen one to four times; absent counts give the usual halves."""
-    if not c1:
-        return [0.0, 0.0, 0.0]
-    y = c1 / (c1 + 2 * c2)
+    """D1, D2, D3+ from the numbers of n-grams seen one to four times. Where there are none to estimate from, half the count;
+    a tenth at least, so that unseen words keep some probability."""
     ratios = [(c1, c2), (c2, c3), (c3, c4)]
-    return [min(float(i), max(0.0, i - (i + 1) * y * b / a)) if a else 0.5 * i for i, (a, b) in enumerate(ratios, 1)]
+    y = c1 / (c1 + 2 * c2) if c1 else 0.0
+    return [min(float(i), max(0.1, i - (i + 1) * y * b / a)) if a and c1 else 0.5 * i for i, (a, b) in enumerate(ratios, 1)]
 
 
 def _left(stats) -> float:
