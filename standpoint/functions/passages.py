@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,52 +15,35 @@ SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])")
 MAX_CHARS, MIN_CHARS = 600, 40
 
 
-def _hard_cut(sentence: str, limit: int) -> tuple[list[str], str]:
-    """Pieces of a sentence longer than a passage, cut at the last space that fits, and what remains."""
-    head = []
-    while len(sentence) > limit:
-        at = sentence.rfind(" ", 0, limit)
-        at = limit if at <= 0 else at
-        head.append(sentence[:at])
-        sentence = sentence[at:].strip()
-    return head, sentence
-
-
-def _pack(sentences: list[str], limit: int) -> Iterator[str]:
-    """Sentences gathered greedily into pieces of at most ``limit`` characters."""
-    held = ""
-    for s in sentences:
-        head, tail = _hard_cut(s, limit)
-        if head:
-            if held:
-                yield held
-            yield from head
-            held = ""
-        together = (held + " " + tail).strip()
-        if held and len(held) + 1 + len(tail) > limit:
-            yield held
-            held = tail
-        else:
-            held = together
-    if held:
-        yield held
+def cut_points(para: str, limit: int) -> Iterator[tuple[int, int]]:
+    """Where the passages of a paragraph start and end: each reaches for the farthest sentence end within ``limit``, else for
+    the last space before it, else for ``limit`` itself."""
+    ends = [m.start() for m in SENTENCE_END.finditer(para)] + [len(para)]
+    start = 0
+    while start < len(para):
+        stop = ends[max(0, bisect_right(ends, start + limit) - 1)]
+        if not start < stop <= start + limit:
+            space = para.rfind(" ", start + 1, start + limit)
+            stop = space if space > start else start + limit
+        yield start, stop
+        start = stop + para.startswith(" ", stop)
 
 
 def passages_of(text: str, max_chars: int = MAX_CHARS, min_chars: int = MIN_CHARS) -> list[str]:
-    pieces: list[str] = []
-    for para in BLANK_LINE.split((text or "").replace("\r\n", "\n")):
-        para = " ".join(para.split())
-        if not para:
-            continue
-        pieces += [para] if len(para) <= max_chars else list(_pack(SENTENCE_END.split(para), max_chars))
-    out: list[str] = []
-    for piece in pieces:
-        short = out and min(len(piece), len(out[-1])) < min_chars
-        if short and len(out[-1]) + 1 + len(piece) <= max_chars:
-            out[-1] += " " + piece
+    """Passages in order; a short one joins the passage before it, and a passage joins a short one before it, where both fit."""
+    paras = (" ".join(p.split()) for p in BLANK_LINE.split((text or "").replace("\r\n", "\n")))
+    pieces = [p[a:b] for p in paras for a, b in cut_points(p, max_chars)]
+    if not pieces:
+        return []
+    starts, size = [0], len(pieces[0])
+    for i, piece in enumerate(pieces[1:], 1):
+        joined = size + 1 + len(piece)
+        if joined > max_chars or min(size, len(piece)) >= min_chars:
+            starts.append(i)
+            size = len(piece)
         else:
-            out.append(piece)
-    return out
+            size = joined
+    return [" ".join(pieces[a:b]) for a, b in zip(starts, [*starts[1:], len(pieces)], strict=True)]
 
 
 def split_passages(docs: DataFrame, max_chars: int = MAX_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -324,11 +324,11 @@ def confirmations_to_events(answers: DataFrame, predicates: DataFrame) -> tuple[
     now = predicates.select("task_id", "predicate_id", F.col("text").alias("predicate_text"))
     j = live.join(now, ["task_id", "predicate_id", "predicate_text"])
     holds = F.col("answer") == "yes"
-    ev = j.select("task_id", F.concat(F.lit("confirmation-"), F.substring("token", 1, 8)).alias("record_id"), F.lit(1).alias("revision"),
+    ev = j.select("task_id", F.concat(F.lit("confirmation-"), F.sha2("token", 256)).alias("record_id"), F.lit(1).alias("revision"),
                   S.confirmation_text("to_name", "predicate_text", holds, "note").alias("text"),
                   F.concat(F.lit("confirmation:"), "to_name").alias("source_id"), "authority", F.col("answered").alias("valid_from"),
                   F.lit(None).cast("double").alias("valid_until"), F.array("predicate_id").alias("about"))
-    fix = j.select("task_id", F.concat(F.lit("confirmation-"), F.substring("token", 1, 8)).alias("record_id"), "predicate_id",
+    fix = j.select("task_id", F.concat(F.lit("confirmation-"), F.sha2("token", 256)).alias("record_id"), "predicate_id",
                    S.pair_key("predicate_text", S.confirmation_text("to_name", "predicate_text", holds, "note")).alias("pair"),
                    F.when(holds, 0).otherwise(1).alias("label"))
     return ev, fix

@@ -42,11 +42,11 @@ def token_count(claim="claim", text="text"):
 def cached_readings(pairs: DataFrame, cache: DataFrame, scorer: Callable[[DataFrame], DataFrame],
                     version: str) -> tuple[DataFrame, DataFrame]:
     """(readings of all distinct pairs, the newly computed ones to append). Only pairs this weights version has not
-    read are scored, and each only once."""
+    read are scored, and each only once: the new ones are a written table, from which both results read."""
     wanted = distinct_pairs(pairs)
     old = cache.filter(F.col("version") == version).select("pair", "logits", "version", "tokens")
-    new = (scorer(wanted.join(old, "pair", "left_anti"))
-           .select("pair", "logits", F.lit(version).alias("version"), token_count().alias("tokens")))
+    new = cut_lineage(scorer(wanted.join(old, "pair", "left_anti"))
+                      .select("pair", "logits", F.lit(version).alias("version"), token_count().alias("tokens")))
     return old.join(wanted, "pair", "left_semi").unionByName(new), new
 
 

@@ -411,7 +411,7 @@ cte("answer_rows", """
 
 
 @query("confirmations_to_events", """
-  select task_id, 'confirmation-' || substr(token, 1, 8) as record_id, predicate_id, role || case answer when 'yes' then ' confirmed that this holds: '
+  select task_id, 'confirmation-' || sha256(token) as record_id, predicate_id, role || case answer when 'yes' then ' confirmed that this holds: '
     else ' said that this does not hold: ' end || claim as text, authority, answered as valid_from, (answer = 'no')::int as label
   from answer_rows where answer <> 'unsure' and answered <= 100 and asked_text = claim""")
 def confirmations_to_events(spark, sf):

@@ -53,18 +53,20 @@ class Flow:
     def declared(self) -> DataFrame:
         return K.declared_links(self.events)
 
-    @cached_property
-    def links(self) -> DataFrame:
-        """Which record is read against which predicate: a table of its own, since pairs, readings and beliefs
-        all start from it."""
+    def link(self, records: DataFrame, declared: DataFrame) -> DataFrame:
+        """Which record is read against which predicate. A full run and a refresh both ask here."""
         if not self.honour_declared:
-            return cut_lineage(K.link_all(self.records, self.predicates))
+            return K.link_all(records, self.predicates)
         if self.linker is None:
-            return cut_lineage(K.link_declared(self.records, self.declared, self.predicates))
-        named = self.records.join(self.declared.select(*K.REC), K.REC, "left_semi")
-        rest = self.records.join(self.declared.select(*K.REC), K.REC, "left_anti")
-        return cut_lineage(K.link_declared(named, self.declared, self.predicates).unionByName(
-            self.linker(rest, self.predicates).select(*K.LINK)))
+            return K.link_declared(records, declared, self.predicates)
+        named = records.join(declared.select(*K.REC), K.REC, "left_semi")
+        rest = records.join(declared.select(*K.REC), K.REC, "left_anti")
+        return K.link_declared(named, declared, self.predicates).unionByName(self.linker(rest, self.predicates).select(*K.LINK))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """A table of its own, since pairs, readings and beliefs all start from it."""
+        return cut_lineage(self.link(self.records, self.declared))
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -106,7 +106,7 @@ def refresh(prev: Tables, new_events: DataFrame, f: Flow, now: float | None = No
     # 2. links of records that really changed
     look = seen.join(_usable(state, now), REC, "left_semi")
     part = _usable(state.join(look, REC, "left_semi"), now)
-    links_new = K.link_declared(part, declared, f.predicates)
+    links_new = f.link(part, declared)
     links_old = prev.links.join(seen, REC, "left_semi")
     both = links_new.select(*K.LINK).withColumn("_side", F.lit(1)).unionByName(links_old.select(*K.LINK).withColumn("_side", F.lit(0)))
     ident = [*PRED, "record_id", "payload_key"]

@@ -24,6 +24,13 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A key's rows of a micro-batch by ``seq``: they come in several Arrow chunks, cut anywhere."""
+    chunks = list(rows)
+    if chunks:
+        yield pd.concat(chunks, ignore_index=True).sort_values("seq")
+
+
 class _Merge(StatefulProcessor):
     """Keeps a record's top revision and the payload keys seen at it."""
 
@@ -49,8 +56,7 @@ class _Merge(StatefulProcessor):
         return outcome, "conflicted" if n > 1 else "withdrawn" if only == WITHDRAWN_KEY else "active"
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for chunk in rows:
-            chunk = chunk.sort_values("seq")
+        for chunk in in_order(rows):
             got = [self.merge(int(r), k) for r, k in zip(chunk["revision"], chunk["payload_key"])]
             yield pd.DataFrame({
                 "task_id": key[0], "seq": chunk["seq"].to_numpy(), "record_id": key[1], "revision": chunk["revision"].to_numpy(),
@@ -93,8 +99,8 @@ class _Validity(_Merge):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now_ms = max(0, timerValues.getCurrentWatermarkInMs())
-        for chunk in rows:
-            for row in chunk.sort_values("seq").itertuples():
+        for chunk in in_order(rows):
+            for row in chunk.itertuples():
                 outcome, stored = self.merge(int(row.revision), row.payload_key)
                 if outcome not in ("applied", "conflict"):
                     continue
@@ -145,9 +151,9 @@ class _Endorse(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         verdicts, errors, outstanding, peak = self.bar.get() if self.bar.exists() else (0, 0, 0, 1)
-        for chunk in rows:
+        for chunk in in_order(rows):
             out = []
-            for row in chunk.sort_values("seq").itertuples():
+            for row in chunk.itertuples():
                 tau = self.tau0 + self.eta * (errors - self.alpha * verdicts)
                 case, problem, accepted = (row.case_id,), None, False
                 if row.kind == "case":

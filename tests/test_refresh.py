@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from standpoint.operators import links as K
 from standpoint.plans import refresh as X
 from standpoint.plans.flow import Flow, gold_scorer
 from standpoint.sources import derive as D
@@ -12,12 +13,12 @@ from tests.test_ledger import SCHEMA, event
 from tests.test_logic import A, GT, P
 
 
-def flow(spark, events, now=None, linker=None):
+def flow(spark, events, now=None, **more):
     tasks = ["t0", "t1", "t2"]
     p = spark.createDataFrame([(t, i, c, pr, ac, j) for t in tasks for i, c, pr, ac, j in D.PREDICATES], P)
     g = spark.createDataFrame([(t, i, o, c, k) for t in tasks for i, o, c, k in D.GATES], GT)
     a = spark.createDataFrame([(t, *x) for t in tasks for x in D.ACTIONS], A)
-    return Flow(spark.createDataFrame(events, SCHEMA), p, g, a, gold_scorer, now=now, temperature=1.2, bias=(0.1, 0.0, -0.1))
+    return Flow(spark.createDataFrame(events, SCHEMA), p, g, a, gold_scorer, now=now, temperature=1.2, bias=(0.1, 0.0, -0.1), **more)
 
 
 def random_log(seed, n=90):
@@ -81,3 +82,14 @@ def test_early_cutoff_and_verify(spark):
     assert (r["rows"], r["unequal"], r["max_difference"], r["worst"]) == (3, 2, 0.5, "y")
     nan = spark.createDataFrame([("x", float("nan"))], "k string, v double")
     assert X.verify(nan, nan, ["k"], ["v"]).select(F.col("unequal")).first()[0] == 0
+
+
+@pytest.mark.parametrize("more", [{"linker": lambda r, p: K.link_all(r, p).filter("text < 'c'")}, {"honour_declared": False}], ids=["linker", "undeclared"])
+def test_refresh_links_as_a_full_run_does(spark, more):
+    log = random_log(5)
+    f = flow(spark, log, now=20.0, **more)
+    t, _ = X.refresh(X.full_run(flow(spark, log[:60], now=20.0, **more)), spark.createDataFrame(log[60:], SCHEMA), f)
+    full = X.full_run(f)
+    assert X.verify(t.links, full.links, [*X.PRED, "record_id"], ["text", "authority", "payload_key"]).first()["unequal"] == 0
+    r = X.verify(t.beliefs, full.beliefs, X.PRED, ["s", "v", "u", "c", "belief"]).first()
+    assert r["unequal"] == 0 and r["rows"] > 0

@@ -36,3 +36,17 @@ def test_endorsements_follow_the_bar(spark):
            if r["accepted"]]
     trace = K.threshold_trace(spark.createDataFrame(log, "workspace string, seq long, kind string, wrong boolean")).orderBy("seq").collect()
     assert trace[-1]["tau"] == got[-1]["tau"]
+
+
+def test_order_holds_across_arrow_chunks(spark):
+    """Rows of one record in reverse order, cut into chunks of four."""
+    rows = [event(i, "a", i % 5, f"x{i % 3}") for i in range(24)]
+    df = spark.createDataFrame(rows[::-1], SCHEMA)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = run_to_end(LS.ledger_stream(as_stream(df.drop("about"), "seq", 30))).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = L.delivery_outcomes(df)
+    assert sorted(tuple(r[c] for c in want.columns) for r in got) == sorted(map(tuple, want.collect()))
