@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from standpoint.llm.common import fresh
 from standpoint.session import cut_lineage
 
-BLOCK, TEMPER, SLOTS, PER_BUCKET = 64, 0.5, 100, 20_000
+BLOCK, TEMPER, SLOTS, PER_BUCKET = 64, 0.5, 100, 2_000
 
 
 def source_sizes(docs: DataFrame, weights: Mapping[str, int] | None = None) -> DataFrame:
