@@ -53,6 +53,20 @@ def test_mail_files(spark):
     assert "unsupported" in by["/d/scan.pdf"][0]["error"] and "/d/h.eml" not in by and by["/d/README"][0]["doc_id"] == "README"
 
 
+def test_mail_in_parts_and_odd_files(spark):
+    parts = (b"From: ann@x\nDate: never\nMessage-ID: <" + b"i" * 120 + b">\nMIME-Version: 1.0\nContent-Type: multipart/alternative; boundary=b\n\n"
+             b"--b\nContent-Type: text/html\n\n<p>rich</p>\n--b\nContent-Type: text/plain; charset=utf-8\n\nPlain words.\n-- \nAnn\n--b--\n")
+    unknown = b"From: ann@x\nContent-Type: text/plain; charset=nosuch\n\nlost\n"
+    bare = b"Content-Type: text/plain\n\nNo header at all.\n"
+    files = spark.createDataFrame([("/d/p.eml", bytearray(parts)), ("/d/u.eml", bytearray(unknown)), ("/d/b.EML", bytearray(bare)), ("/d/bad.md", bytearray(b"\xffok\n")),
+                                   ("/d/empty.txt", bytearray(b" \n")), ("/d/none.mbox", bytearray(b"no message"))], "path string, content binary")
+    by = {r["file"]: r for r in FS.parse_files(files).collect()}
+    assert sorted(by) == ["/d/b.EML", "/d/bad.md", "/d/p.eml"]
+    assert by["/d/p.eml"][1:5] == ("i" * 120, "Email from ann@x", "Plain words.", None)
+    assert by["/d/b.EML"]["attribution"] == "Email from unknown sender" and by["/d/b.EML"]["doc_id"].startswith("msg-")
+    assert by["/d/bad.md"]["text"] == "\ufffdok"
+
+
 def body(requirement="A is done", message="A was done", got="Refutes", should="Supports", licence="Yes", extra=""):
     h = list(I.HEADINGS.values())
     return (f"### {h[0]}\n\n{requirement}\n\n### {h[1]}\n\n{message}{extra}\n\n### {h[2]}\n\n{got}\n\n### {h[3]}\n\n{should}\n\n"
