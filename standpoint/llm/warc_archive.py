@@ -32,7 +32,7 @@ from standpoint.llm.shared_files import read_file, write_file
 from standpoint.session import cut_lineage, shared_dir
 
 MAGIC = (0x184D2A5D).to_bytes(4, "little")
-ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 32 << 20, 2 << 20, 64 << 10
+ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, READ_BYTES = 32 << 20, 2 << 20, 64 << 10, 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -90,13 +90,18 @@ def records_of(data: bytes):
     if data[:4] != MAGIC:
         raise ValueError("no dictionary frame in front")
     at = 8 + int.from_bytes(data[4:8], "little")
-    d = zstandard.ZstdCompressionDict(data[8:at])
+    decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8:at]))
     view = memoryview(data)
     while at < len(data):
-        one = zstandard.ZstdDecompressor(dict_data=d).decompressobj()
-        raw = one.decompress(view[at:])
-        at = len(data) - len(one.unused_data)
-        yield raw
+        one, parts = decompressor.decompressobj(), []
+        while not one.eof:  # what is handed over past the end of a frame is copied, so it is handed over in slices
+            if at >= len(data):
+                raise ValueError("an archive ends inside a record")
+            some = view[at:at + READ_BYTES]
+            parts.append(one.decompress(some))
+            at += len(some)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
