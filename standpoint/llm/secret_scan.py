@@ -108,10 +108,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, encoding, log10 p) of tokens that overlap no base span."""
-    out = []
+    """(start, end, encoding, log10 p) of tokens that overlap none of the base spans, which come sorted."""
+    out, at, reach = [], 0, 0
     for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
+        while at < len(taken) and taken[at][0] < m.end():  # both are in order of their starts
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach > m.start():
             continue
         name = encoding(m.group())
         if name is not None:
