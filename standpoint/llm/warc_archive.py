@@ -1,7 +1,7 @@
 """WARC archives with a dictionary: records are compressed one by one with a Zstandard dictionary that stands in front.
 
 An archive is a leading skippable frame (magic 0x184D2A5D) with a dictionary trained on records of that archive, then one
-Zstandard frame per WARC/1.1 record, so any record can be read alone. Pages are dealt to tasks by a hash of their id; a
+Zstandard frame per WARC/1.1 record, so any record can be read alone. Pages lie as the join with their roles leaves them; a
 task closes an archive at ``ARCHIVE_BYTES`` and never holds more than one. The dictionary is trained on at most
 ``SAMPLE_BYTES`` of records, taken evenly over the archive; archives with too little for training use those records
 themselves as a raw dictionary, so the layout is always the same. Archives have names of their own and are listed in a written manifest,
@@ -113,7 +113,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
              .select(id_key(F.col("page_id")).alias("rk"), F.col("hash").alias("rh"), "top"))
     dealt = p.withColumn("k", id_key(F.col("page_id"))).withColumn("h", F.sha2("html", 256))
     dealt = (dealt.join(roles, (F.col("k") == F.col("rk")) & (F.col("h") == F.col("rh")), "left")
-             .select("page_id", "url", "html", "top").repartition(partitions(pages), F.xxhash64("page_id", "url")))
+             .select("page_id", "url", "html", "top"))
 
     def run(batches):
         held, size = [], 0
