@@ -8,7 +8,7 @@ themselves as a raw dictionary, so the layout is always the same. Archives have
 which a failed or repeated task cannot enter: files of such tasks are never read.
 
 Equal payloads are stored once: of each group the record of the page with the largest id is the ``response``, the others are
-``revisit`` records that refer to it; the groups are made of hashes, no page text is shuffled for them.
+``revisit`` records that refer to it; the groups are made of hashes, and pages move at most once, to meet their roles.
 
 Defined cases: a null html is an empty payload; a null url leaves the target out; pages of a null id are ``response`` only if
 all of their group are, else they are revisits; repeated rows of the largest id are all ``response``; empty tables make an empty
