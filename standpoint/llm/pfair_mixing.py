@@ -84,26 +84,36 @@ def frames(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     return slots.select(F.col("x.name").alias("source"), "first", "next", "frame_slots", "before", F.col("x.j").alias("j"), F.col("slot").cast("long").alias("slot"))
 
 
+def named(source: Column) -> Column:
+    """A source as a key that is never null, so that ranking and joins share one distribution; null sorts first."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block: int = BLOCK, per_bucket: int = PER_BUCKET) -> DataFrame:
     """``docs`` with ``mix_block`` (of its source), ``mix_slot`` (of the mixture) and ``mix_row`` (in the block). Sorting by
     slot and row reads the mixture; other columns keep their names, clashing ones make the new names start with ``_``."""
-    out_block, out_slot, out_row, key, bucket, rank, source = fresh(docs.columns, "mix_block", "mix_slot", "mix_row", "mx_key", "mx_bucket", "mx_rank", "mx_source")
+    (out_block, out_slot, out_row, key, bucket, rank, source, offset, weight, first, following, width, before, j, place) = fresh(
+        docs.columns, "mix_block", "mix_slot", "mix_row", "mx_key", "mx_bucket", "mx_rank", "mx_source", "mx_offset", "mx_weight",
+        "mx_first", "mx_next", "mx_width", "mx_before", "mx_j", "mx_place")
     sizes = cut_lineage(source_sizes(docs, weights))
     top = sizes.agg(F.max("n_docs")).first()[0] or 0
     buckets = max(1, -(-top // per_bucket))
-    d = (docs.withColumn(source, F.col("source").cast("string")).withColumn(key, F.xxhash64(F.col("doc_id").cast("string")))
+    d = (docs.withColumn(source, named(F.col("source"))).withColumn(key, F.xxhash64(F.col("doc_id").cast("string")))
          .withColumn(bucket, F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("long")))
     counted = d.groupBy(source, bucket).agg(F.count("*").alias("n"))
-    before = counted.select(F.col(source).alias("s"), F.col(bucket).alias("b"), F.coalesce(F.sum("n").over(
-        Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    offsets = counted.select(source, bucket, F.coalesce(F.sum("n").over(
+        Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(offset))
+    known = sizes.withColumn("source", named(F.col("source")))
+    offsets = offsets.join(known.select(F.col("source").alias(source), F.col("weight").alias(weight)), source)
     within = d.withColumn(rank, F.row_number().over(Window.partitionBy(source, bucket).orderBy(key, "doc_id")) - 1)
-    w = before.join(sizes.select(F.col("source").alias("s2"), F.col("weight").alias("w")), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    placed = (within.join(w, F.col(source).eqNullSafe(F.col("s")) & (F.col(bucket) == F.col("b"))).drop("s", "b")
-              .withColumn(rank, F.col(rank) + F.col("offset"))
-              .withColumn(out_block, F.floor(F.col(rank) / block)).withColumn(out_row, F.col(rank) % block))
-    f = frames(sizes, block).select(F.col("source").alias("fs"), F.col("first").alias("ff"), F.col("next").alias("fn"), "frame_slots", "before", F.col("j").alias("fj"), F.col("slot").alias("fslot"))
-    frame = F.floor(F.col(out_block) / F.col("w"))
-    got = placed.join(f, F.col(source).eqNullSafe(F.col("fs")) & (F.col(out_block) % F.col("w") == F.col("fj")) & (frame >= F.col("ff")) & (frame < F.col("fn")))
-    slot = F.col("before") + (frame - F.col("ff")) * F.col("frame_slots") + F.col("fslot")
+    # the window has dealt the documents by source and bucket already, so this join does not deal them again
+    placed = (within.join(offsets, [source, bucket]).withColumn(rank, F.col(rank) + F.col(offset))
+              .withColumn(out_block, F.floor(F.col(rank) / block)).withColumn(out_row, F.col(rank) % block)
+              .withColumn(j, F.col(out_block) % F.col(weight)))
+    f = frames(known, block).select(F.col("source").alias(source), F.col("first").alias(first), F.col("next").alias(following), F.col("frame_slots").alias(width),
+                                    F.col("before").alias(before), F.col("j").alias(j), F.col("slot").alias(place))
+    frame = F.floor(F.col(out_block) / F.col(weight))
+    got = placed.join(f, [source, j]).where((frame >= F.col(first)) & (frame < F.col(following)))
+    slot = F.col(before) + (frame - F.col(first)) * F.col(width) + F.col(place)
     return got.withColumn(out_slot, slot.cast("long")).select(
         *[F.col(f"`{c}`") for c in docs.columns], F.col(out_block).cast("long").alias(out_block), F.col(out_slot), F.col(out_row).cast("long").alias(out_row))

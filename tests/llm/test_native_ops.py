@@ -91,6 +91,12 @@ def test_mix_stays_within_a_block(spark):
         assert all(abs(placed[s] - (t + 1) * w / 7) < 1 for s, w in weights.items())
     assert len({(r["_mix_slot"], r.mix_row) for r in m}) == 605
     assert pfair_mixing.mix(d.limit(0)).count() == 0
+    taken = d
+    for c in ("s", "b", "w", "n", "j", "slot", "offset", "before", "fs", "ff", "fn", "first", "next", "weight", "mx_source", "frame_slots"):
+        taken = taken.withColumn(c, F.lit(c))
+    again = pfair_mixing.mix(taken, {"a": 3, "b": 1, "c": 2}, block=10, per_bucket=50).collect()
+    place = lambda rs: sorted((r.doc_id or -1, r.source or "", r["_mix_slot"], r.mix_row) for r in rs)
+    assert place(again) == place(m) and all(r.offset == "offset" and r.w == "w" for r in again)
     with pytest.raises(ValueError):
         pfair_mixing.mix(d, {"a": 0})
 
