@@ -169,7 +169,8 @@ def length_buckets(rows: DataFrame, key: str, length: str, batch: int, pool: int
 
 
 def label_mix(rows: DataFrame, window: int, order: str = "pos", tolerance: float = 0.12, min_rows: int = 200) -> DataFrame:
-    """Share of each label per source and window of the stream, and whether it strays from the share so far."""
+    """Share of each label per source and window of the stream, and whether it strays from the share so far. Windows under
+    ``min_rows`` are reported with ``enough`` false and never stray."""
     c = rows.withColumn("win", F.floor(F.col(order) / window)).groupBy("source", "win").agg(
         *[F.sum((F.col("label") == k).cast("long")).alias(f"n{k}") for k in range(3)], F.count("*").alias("n"))
     values = {f"_t{k}": F.col(f"n{k}") for k in range(3)} | {"_t": F.col("n")}
@@ -179,7 +180,7 @@ def label_mix(rows: DataFrame, window: int, order: str = "pos", tolerance: float
     gap = [F.abs(share[k] - (F.coalesce(f"_t{k}", F.lit(0)) + F.col(f"n{k}")) / total) for k in range(3)]
     enough = F.col("n") >= min_rows
     drift = enough & (total > 4 * F.col("n")) & (F.greatest(*gap) > tolerance)
-    return t.filter(enough).select("source", "win", "n", *[share[k].alias(f"share_{k}") for k in range(3)], drift.alias("drift"))
+    return t.select("source", "win", "n", *[share[k].alias(f"share_{k}") for k in range(3)], enough.alias("enough"), drift.alias("drift"))
 
 
 def source_counts_licences(rows: DataFrame, licences: DataFrame) -> DataFrame:

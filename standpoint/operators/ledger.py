@@ -22,7 +22,6 @@ from standpoint.session import cut_lineage
 REC = ["task_id", "record_id"]
 PAYLOAD = ["text", "source_id", "authority", "valid_from", "valid_until", "span"]
 BLOCK_ROWS = 65536
-FLAT_DIGEST_LIMIT = 1024
 
 
 def keyed(events: DataFrame) -> DataFrame:
@@ -108,15 +107,11 @@ def active_records(state: DataFrame, now: float | None = None) -> DataFrame:
 
 
 def _payload_digest(state: DataFrame) -> DataFrame:
-    """Per record, its sorted payload keys as one text. Beyond FLAT_DIGEST_LIMIT payloads the keys are
-    summed as numbers instead, which is as canonical and never gathers them in one row."""
-    few = (state.filter(F.col("n_payloads") <= FLAT_DIGEST_LIMIT).groupBy(*REC, "revision")
-           .agg(F.array_join(F.sort_array(F.collect_list("payload_key")), "|").alias("payload_keys")))
-    part = [F.sum(F.conv(F.substring("payload_key", 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)")).cast("string")
-            for i in range(4)]
-    many = (state.filter(F.col("n_payloads") > FLAT_DIGEST_LIMIT).groupBy(*REC, "revision")
-            .agg(F.concat_ws(":", F.lit("sum"), F.count("*").cast("string"), *part).alias("payload_keys")))
-    return few.unionByName(many)
+    """Per record, one text for its set of payload keys, the same at every size: their count and the sums of the parts of
+    their hashes as numbers. A sum has no order and partial sums merge, so keys never meet in one row."""
+    state = state.withColumn("_h", F.sha2("payload_key", 256))
+    part = [F.sum(F.conv(F.substring("_h", 1 + 13 * i, 13), 16, 10).cast("decimal(28,0)")).cast("string") for i in range(5)]
+    return state.groupBy(*REC, "revision").agg(F.concat_ws(":", F.count("*").cast("string"), *part).alias("payload_keys"))
 
 
 def snapshot(state: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standpoint.functions import scalars as S
-from standpoint.operators.scan import dense_index, running_before
+from standpoint.operators.scan import running_before, spread
 
 BINS = 15
 BLOCKS = 2 ** 20  # pieces of the unit interval that running counts are kept over
@@ -106,11 +106,12 @@ def binomial_two_sided(k: int, n: int) -> float:
 
 def mcnemar(preds_a: DataFrame, preds_b: DataFrame, key: str) -> DataFrame:
     """Counts of rows only one of two models gets right and the exact p of their difference. The tail is a sum over
-    the possible counts, spread over tasks by ``range``."""
+    the possible counts, cut into pieces of 4096 that are dealt over all tasks and added up where they lie."""
     c = mcnemar_counts(preds_a, preds_b, key)
     n = F.col("only_a") + F.col("only_b")
     lg = lambda x: F.log(F.lit(1.0)) + _lgamma(x)
-    terms = c.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n)))
+    pieces = spread(c.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(n / 4096)))), "_piece")
+    terms = pieces.withColumn("i", F.explode(F.sequence(F.col("_piece") * 4096, F.least(n, F.col("_piece") * 4096 + 4095)))).drop("_piece")
 
     def log_p(i):
         return lg(n + 1) - lg(i + 1) - lg(n - i + 1) - n * F.log(F.lit(2.0))
@@ -183,18 +184,19 @@ def latency_stats(df: DataFrame, value: str, by: str) -> DataFrame:
 # ---------------------------------------------------------------- resampling
 
 
-def draws(clusters: DataFrame, keys: list[str], n_boot: int, seed: int = 0) -> DataFrame:
-    """Resampled clusters: (b, keys..., w) where w is how often replicate b drew the cluster. Draw i of replicate b is
-    cluster number hash(seed, b, i) mod n, so any engine repeats it. The draws spread by cluster, never by replicate."""
-    idx = dense_index(clusters.select(*keys).distinct(), keys)
-    n = clusters.select(*keys).distinct().agg(F.count("*")).scalar()
-    picks = (idx.select(F.col("idx").alias("i"), n.alias("n"))
-             .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-             .withColumn("idx", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"),
-                                                                     F.col("i").cast("string")).cast("binary")), 1, 12), 16, 10)
-                         .cast("bigint") % F.col("n"))
-             .groupBy("b", "idx").agg(F.count("*").alias("w")))
-    return picks.join(idx, "idx").select("b", *keys, "w")
+#: Chances of up to k draws of a Poisson variable with mean one, as numbers of 48 bits.
+POISSON = [int(2**48 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(16)]
+
+
+def draws(parts: DataFrame, keys: list[str], n_boot: int, seed: int = 0) -> DataFrame:
+    """Rows of ``parts`` once per replicate ``b`` that draws their cluster, with how often (``w``): a Poisson variable with mean
+    one that is a hash of (seed, b, cluster), so any engine repeats it. It is worked out where the row lies; what follows
+    adds up by replicate before anything is shuffled."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    u = F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint")
+    w = F.aggregate(F.array(*[F.lit(t).cast("bigint") for t in POISSON]), F.lit(0), lambda a, t: a + (F.col("_u") >= t).cast("int"))
+    d = spread(parts, *keys).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    return d.withColumn("_u", u).filter(F.col("_u") >= POISSON[0]).withColumn("w", w).drop("_u")
 
 
 def bootstrap_ci(df: DataFrame, clusters: list[str], num: Column, den: Column | None = None, by: list[str] | None = None,
@@ -208,7 +210,7 @@ def bootstrap_ci(df: DataFrame, clusters: list[str], num: Column, den: Column |
 
 def interval(parts: DataFrame, clusters: list[str], by: list[str], n_boot: int, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """The same for parts already summed per cluster (num, den)."""
-    boot = (draws(parts, clusters, n_boot, seed).join(parts, clusters).groupBy(*by, "b")
+    boot = (draws(parts, clusters, n_boot, seed).groupBy(*by, "b")
             .agg((F.sum(F.col("w") * F.col("num")) / F.greatest(F.sum(F.col("w") * F.col("den")), F.lit(1e-12))).alias("x")))
     ends = boot.groupBy(*by).agg(F.percentile("x", F.lit(alpha / 2)).alias("lo"), F.percentile("x", F.lit(1 - alpha / 2)).alias("hi"))
     point = parts.groupBy(*by).agg((F.sum("num") / F.sum("den")).alias("value"), F.sum("den").alias("n")).filter("n > 0")
@@ -280,7 +282,7 @@ def compare(parts_a: DataFrame, parts_b: DataFrame, n_boot: int = 2000, seed: in
         num, den = (F.sum(F.col(n)), F.sum(F.col(d))) if w is None else (F.sum(F.col(w) * F.col(n)), F.sum(F.col(w) * F.col(d)))
         return num / F.greatest(den, tiny)
 
-    boot = draws(j, ["ep"], n_boot, seed).join(j, "ep").groupBy("metric", "b").agg(ratio("na", "da", "w").alias("a"), ratio("nb", "db", "w").alias("b_"))
+    boot = draws(j, ["ep"], n_boot, seed).groupBy("metric", "b").agg(ratio("na", "da", "w").alias("a"), ratio("nb", "db", "w").alias("b_"))
     d = F.col("a") - F.col("b_")
     q = F.col("a") / F.greatest(F.col("b_"), tiny)
     ends = boot.groupBy("metric").agg(F.percentile(d, F.lit(0.025)).alias("lo"), F.percentile(d, F.lit(0.975)).alias("hi"),

@@ -16,22 +16,16 @@ from standpoint.operators.scan import spread
 from standpoint.schemas import READY
 
 SETTLED, MIN_OPEN = 0.999, 0.2
-MAX_CANDIDATES, MAX_SET, MAX_FREE, MAX_OPEN = 12, 3, 10, 8
+MAX_SET, MAX_FREE, MAX_OPEN = 3, 10, 8
 
 
 def open_predicates(beliefs: DataFrame, min_open: float = MIN_OPEN) -> DataFrame:
     return beliefs.filter(F.col("u") + F.col("c") >= min_open).select("task_id", "predicate_id", (F.col("u") + F.col("c")).alias("open"))
 
 
-def askable(beliefs: DataFrame, settled: float = SETTLED, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
-    """Predicates an answer could still inform; of more than ``max_candidates``, the least settled. A task has at most
-    200 predicates, so ranking them is bounded work."""
-    from pyspark.sql.window import Window as W
-
-    sure = F.greatest("s", "v")
-    place = F.row_number().over(W.partitionBy("task_id").orderBy(F.round("sure", 12), "predicate_id"))
-    return (beliefs.withColumn("sure", sure).filter(F.col("sure") < settled).withColumn("place", place)
-            .filter(F.col("place") <= max_candidates).select("task_id", "predicate_id", "sure"))
+def askable(beliefs: DataFrame, settled: float = SETTLED) -> DataFrame:
+    """All predicates an answer could still inform, with how settled they are."""
+    return beliefs.withColumn("sure", F.greatest("s", "v")).filter(F.col("sure") < settled).select("task_id", "predicate_id", "sure")
 
 
 def task_rows(compiled: DataFrame, beliefs: DataFrame, predicates: DataFrame) -> DataFrame:
@@ -123,15 +117,16 @@ def value_of_asking(tasks: DataFrame, sets: DataFrame, ready: float = 0.5, block
 
 
 def question_sets(candidates: DataFrame, max_set: int = MAX_SET) -> DataFrame:
-    """All sets of one to ``max_set`` candidates of a task, at most 298 of twelve."""
+    """All sets of one to ``max_set`` candidates of a task (at most 200, as many as a task has predicates). Sets grow as rows,
+    each from those with one member less, so no row holds more than a task's names."""
     c = candidates.groupBy("task_id").agg(F.array_sort(F.collect_set("predicate_id")).alias("c"))
-    sets = F.transform("c", lambda x: F.array(x))
-    grown = sets
+    grown = c.select("task_id", "c", F.explode(F.transform("c", lambda x: F.array(x))).alias("asked"))
+    sets = grown
     for _ in range(max_set - 1):
-        grown = F.flatten(F.transform(grown, lambda s: F.transform(
-            F.filter("c", lambda x: x > F.element_at(s, -1)), lambda x: F.concat(s, F.array(x)))))
-        sets = F.concat(sets, grown)
-    return c.select("task_id", F.explode(sets).alias("asked"))
+        later = F.filter("c", lambda x: x > F.element_at("asked", -1))
+        grown = grown.select("task_id", "c", F.explode(F.transform(later, lambda x: F.concat("asked", F.array(x)))).alias("asked"))
+        sets = sets.unionByName(grown)
+    return sets.select("task_id", "asked")
 
 
 def best_question(tasks: DataFrame, candidates: DataFrame, max_set: int = MAX_SET, ready: float = 0.5,

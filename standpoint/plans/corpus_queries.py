@@ -317,14 +317,14 @@ def length_buckets(spark, sf):
 
 
 @query("label_mix", f"""
-  select source, win, n, {r6('n0 / n')} as share_0, {r6('n1 / n')} as share_1, {r6('n2 / n')} as share_2,
-    t > 4 * n and greatest(abs(n0 / n - t0 / t), abs(n1 / n - t1 / t), abs(n2 / n - t2 / t)) > 0.02 as drift
+  select source, win, n, {r6('n0 / n')} as share_0, {r6('n1 / n')} as share_1, {r6('n2 / n')} as share_2, n >= 10 as enough,
+    n >= 10 and t > 4 * n and greatest(abs(n0 / n - t0 / t), abs(n1 / n - t1 / t), abs(n2 / n - t2 / t)) > 0.02 as drift
   from (select *, sum(n) over w as t, sum(n0) over w as t0, sum(n1) over w as t1, sum(n2) over w as t2 from (
     select lang as source, doc_id // 100 as win, count(*) as n, sum((label = 0)::int) as n0, sum((label = 1)::int) as n1, sum((label = 2)::int) as n2
-    from doc_pairs group by 1, 2) window w as (partition by source order by win)) where n >= 10""")
+    from doc_pairs group by 1, 2) window w as (partition by source order by win))""")
 def label_mix(spark, sf):
     p = pairs(spark, sf).select("doc_id", F.col("lang").alias("source"), "label")
-    return C.label_mix(p, 100, "doc_id", 0.02, 10).select("source", "win", "n", r("share_0"), r("share_1"), r("share_2"), "drift")
+    return C.label_mix(p, 100, "doc_id", 0.02, 10).select("source", "win", "n", r("share_0"), r("share_1"), r("share_2"), "enough", "drift")
 
 
 @query("source_counts_licences", """

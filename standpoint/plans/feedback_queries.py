@@ -12,7 +12,7 @@ from standpoint.operators import metrics as M
 from standpoint.operators import readings as R
 from standpoint.plans.flow import derived_flow
 from standpoint.plans.link_queries import r, vector_sides
-from standpoint.plans.metric_queries import N_BOOT, interval_sql, predictions
+from standpoint.plans.metric_queries import interval_sql, predictions
 from standpoint.plans.registry import cte, query
 from standpoint.plans.sqltext import PAIR, STATUS, precedence_sql, r6, softmax3
 from standpoint.sources import derive as D
@@ -276,7 +276,7 @@ HOLD = "('0x' || substr(sha256('holdout:' || doc_id), 1, 8))::bigint / 429496729
 cte("gain_parts", f"""
   select x.doc_id, candidate, x.nll - y.nll as num, 1.0::double as den from gate_pr_a x join gate_cands y using (doc_id)
   where ('0x' || substr(sha256('holdout:' || x.doc_id), 1, 8))::bigint / 4294967295.0::double < 0.3""")
-cte("gain_rows", interval_sql("gain_parts", "doc_id", "candidate"))
+cte("gain_rows", interval_sql("gain_parts", "doc_id", "candidate", n_boot=1000))
 
 
 def held(df):
@@ -291,7 +291,7 @@ def in_holdout(spark, sf):
 @query("paired_gain", "select candidate, value as gain, n, lo, hi from gain_rows")
 def paired_gain(spark, sf):
     a, b = gate_inputs(spark, sf)
-    return K.paired_gain(held(a), held(b), N_BOOT).select("candidate", r("gain"), "n", r("lo"), r("hi"))
+    return K.paired_gain(held(a), held(b)).select("candidate", r("gain"), "n", r("lo"), r("hi"))
 
 
 @query("choose_candidate", f"""
@@ -312,7 +312,7 @@ def choose_candidate(spark, sf):
     hold = held(b).groupBy("candidate").agg(F.avg(M.nll_of(M.p_of_label())).alias("nll"))
     n = a.agg(F.count("*")).scalar()
     nh = held(a).agg(F.count("*")).scalar()
-    return K.choose_candidate(gate, K.paired_gain(held(a), held(b), N_BOOT), hold, n, n - nh, nh)
+    return K.choose_candidate(gate, K.paired_gain(held(a), held(b)), hold, n, n - nh, nh)
 
 
 # ---- link calibration

@@ -16,7 +16,6 @@ from standpoint.plans.registry import cte, query
 from standpoint.plans.sqltext import assess_sql, beliefs_sql, leafrow_sql, precedence_sql, r6, softmax3
 from standpoint.sources import derive as D
 
-N_BOOT = 100
 
 
 def predictions(spark, sf, model: str, temperature: float = 1.0):
@@ -144,23 +143,22 @@ def latency_stats(spark, sf):
 
 # ---- resampling
 
-def draws_sql(source: str, key: str) -> str:
+def draws_sql(source: str, key: str, n_boot: int = 2000) -> str:
+    weight = " + ".join(f"(h >= {t})::int" for t in M.POISSON)
     return f"""
-    select b, {key}, w from (
-      select b, ('0x' || substr(md5('0|' || b || '|' || idx), 1, 12))::bigint % n as j, count(*) as w
-      from (select *, count(*) over () as n, row_number() over (order by md5({key}::varchar), {key}) - 1 as idx
-            from (select distinct {key} from {source})), (select unnest(range(0, {N_BOOT})) as b) group by 1, 2)
-    join (select {key}, row_number() over (order by md5({key}::varchar), {key}) - 1 as j from (select distinct {key} from {source})) using (j)"""
+    select b, {key}, {weight} as w from (
+      select b, {key}, ('0x' || substr(md5('0|' || b || '|' || {key}), 1, 12))::bigint as h
+      from (select distinct {key} from {source}), (select unnest(range(0, {n_boot})) as b)) where h >= {M.POISSON[0]}"""
 
 
-def interval_sql(parts: str, key: str, by: str = "", lo=0.025, hi=0.975) -> str:
+def interval_sql(parts: str, key: str, by: str = "", lo=0.025, hi=0.975, n_boot: int = 2000) -> str:
     g, u = (f"group by {by}", f"using ({by})") if by else ("", "on true")
     pre = f"{by}, " if by else ""
     return f"""
     select {pre}{r6('value')} as value, n, {r6('lo')} as lo, {r6('hi')} as hi
     from (select {pre}sum(num) / sum(den) as value, sum(den) as n from {parts} {g} having sum(den) > 0)
     join (select {pre}quantile_cont(x, {lo}) as lo, quantile_cont(x, {hi}) as hi from (
-            select {pre}b, sum(w * num) / greatest(sum(w * den), 1e-12) as x from ({draws_sql(parts, key)}) join {parts} using ({key})
+            select {pre}b, sum(w * num) / greatest(sum(w * den), 1e-12) as x from ({draws_sql(parts, key, n_boot)}) join {parts} using ({key})
             group by {pre}b) {g}) {u}"""
 
 
@@ -170,7 +168,7 @@ cte("grp_parts", "select grp, sum(hit) as num, count(*)::double as den from hit_
 @query("bootstrap_ci", interval_sql("grp_parts", "grp"))
 def bootstrap_ci(spark, sf):
     p = predictions(spark, sf, "a").withColumn("hit", M._hit())
-    return M.bootstrap_ci(p, ["grp"], F.col("hit"), n_boot=N_BOOT).select(r("value"), "n", r("lo"), r("hi"))
+    return M.bootstrap_ci(p, ["grp"], F.col("hit")).select(r("value"), "n", r("lo"), r("hi"))
 
 
 SIZE = "case when n_chars < 500 then 'short' when n_chars < 2000 then 'middle' else 'long' end"
@@ -180,7 +178,7 @@ cte("size_parts", f"select grp, {SIZE} as size, sum(hit) as num, count(*)::doubl
 @query("accuracy_by", interval_sql("size_parts", "grp", "size"))
 def accuracy_by(spark, sf):
     size = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 2000, "middle").otherwise("long")
-    return M.accuracy_by(predictions(spark, sf, "a"), size, "size", ["grp"], N_BOOT).select("size", r("value"), "n", r("lo"), r("hi"))
+    return M.accuracy_by(predictions(spark, sf, "a"), size, "size", ["grp"]).select("size", r("value"), "n", r("lo"), r("hi"))
 
 
 # ---- decisions over steps: dispositions of two systems hashed from the event log
@@ -189,9 +187,9 @@ DN = "['READY', 'BLOCKED', 'NEEDS_INFO']"
 
 
 def steps(spark, sf, system: str):
-    ev = D.event_log(spark, sf).filter(F.col("seq") < D.REDELIVERED).select(
+    ev = D.event_log(spark, sf).select(
         F.col("task_id").alias("ep"), F.col("seq").alias("t"), F.size(F.split(F.coalesce("text", F.lit("x")), " ")).alias("words"),
-        F.explode(F.array(F.lit("a0"), F.lit("a1"))).alias("action"))
+        F.explode(F.array(F.lit("a0"), F.lit("a1"), F.lit("a2"))).alias("action"))
     def h(tag):
         text = F.concat(F.lit(tag), F.col("action"), F.lit("|"), F.col("t").cast("string"))
         return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")
@@ -226,7 +224,7 @@ for sysn in ("m1", "m2"):
         select task_id as ep, seq as t, action, len(string_split(coalesce(text, 'x'), ' ')) as words, {DN}[{hx('true')} % 3 + 1] as tr,
           case when {hx(sysn)} % 10 < 7 then {DN}[{hx('true')} % 3 + 1] else {DN}[({hx(sysn)} // 16) % 3 + 1] end as pred,
           {hx(sysn)} % 101 / 100.0::double as ps, ({hx('true')} % 2 = 0)::int as ok
-        from ev0, (values ('a0'), ('a1')) v(action)) window w as (partition by ep, action order by t)""")
+        from ev, (values ('a0'), ('a1'), ('a2')) v(action)) window w as (partition by ep, action order by t)""")
     items = [("disposition_accuracy", "(pred = tr)", "true"), ("stale_decision_rate", "(pred <> tr and tc)", "tc"),
              ("spurious_change_rate", "(pc and not tc)", "not tc"), ("false_ready_rate", "(pred = 'READY' and tr <> 'READY')", "tr <> 'READY'"),
              ("missed_ready_rate", "(pred <> 'READY' and tr = 'READY')", "tr = 'READY'"), ("status_accuracy", "(pred = tr)", "true"),
@@ -249,7 +247,7 @@ def decision_metrics(spark, sf):
 
 @query("summarise", interval_sql("parts_m1", "ep", "metric"))
 def summarise(spark, sf):
-    return M.summarise(parts(spark, sf, "m1"), N_BOOT).select("metric", r("value"), "n", r("lo"), r("hi"))
+    return M.summarise(parts(spark, sf, "m1")).select("metric", r("value"), "n", r("lo"), r("hi"))
 
 
 @query("compare", f"""
@@ -265,7 +263,7 @@ def summarise(spark, sf):
               from ({draws_sql('parts_m1', 'ep')}) join parts_m1 x using (ep) join parts_m2 y using (ep, metric) group by 1, 2) group by 1)
   using (metric)""")
 def compare(spark, sf):
-    c = M.compare(parts(spark, sf, "m1"), parts(spark, sf, "m2"), N_BOOT)
+    c = M.compare(parts(spark, sf, "m1"), parts(spark, sf, "m2"))
     return c.select("metric", *[r(x) for x in ("a", "b", "difference", "lo", "hi", "ratio", "ratio_lo", "ratio_hi")])
 
 
@@ -283,12 +281,12 @@ cte("bar_parts", f"""
   union all
   select ep, bar || '|missed_ready_rate', sum((not said and tr = 'READY')::int)::double, sum((tr = 'READY')::int)::double
   from (select ep, tr, bar, ps >= bar and ps >= 1 - ps as said from steps_m1, (select unnest({BARS}::double[]) as bar)) group by 1, 2""")
-cte("bar_sweep", interval_sql("bar_parts", "ep", "bm"))
+cte("bar_sweep", interval_sql("bar_parts", "ep", "bm", n_boot=1000))
 
 
 def sweep(spark, sf):
     a = steps(spark, sf, "m1").select("ep", "true", F.col("p_success").alias("s"), (1.0 - F.col("p_success")).alias("v"))
-    return M.threshold_sweep(a, BARS, N_BOOT)
+    return M.threshold_sweep(a, BARS)
 
 
 @query("threshold_sweep", """select split_part(bm, '|', 1)::double as bar, split_part(bm, '|', 2) as metric, value, n, lo, hi from bar_sweep""")

@@ -33,11 +33,9 @@ def open_predicates(spark, sf):
 
 
 @query("askable", f"""
-  select task_id, predicate_id, {r6('sure')} as sure from (
-    select *, row_number() over (partition by task_id order by round(sure, 12), predicate_id) as place
-    from (select *, greatest(s, v) as sure from beliefs) where sure < 0.999) where place <= 3""")
+  select task_id, predicate_id, {r6('sure')} as sure from (select *, greatest(s, v) as sure from beliefs) where sure < 0.999""")
 def askable(spark, sf):
-    return P.askable(derived_flow(spark, sf).beliefs, max_candidates=3).select("task_id", "predicate_id", r("sure"))
+    return P.askable(derived_flow(spark, sf).beliefs).select("task_id", "predicate_id", r("sure"))
 
 
 @query("policy_utility", f"""

@@ -107,13 +107,15 @@ def test_payload_key_is_length_prefixed(spark):
     assert L.keyed(df).first()["payload_key"] == hashlib.sha256(raw).hexdigest()
 
 
-def test_large_conflicts_are_digested_without_gathering(spark, monkeypatch):
-    monkeypatch.setattr(L, "FLAT_DIGEST_LIMIT", 2)
-    rows = [event(i, "a", 1, f"v{i}") for i in range(5)] + [event(9, "b", 1, "x")]
+@pytest.mark.parametrize("n", [1, 2, 1023, 1024, 1025, 3000])
+def test_conflicts_of_any_size_have_one_digest(spark, n):
+    rows = [event(i, "a", 1, f"v{i}") for i in range(n)] + [event(9999, "b", 1, "x")]
     a = L.snapshot(L.ledger_state(spark.createDataFrame(rows, SCHEMA)))
-    b = L.snapshot(L.ledger_state(spark.createDataFrame([(r[0], 50 - r[1], *r[2:]) for r in rows], SCHEMA)))
+    b = L.snapshot(L.ledger_state(spark.createDataFrame([(r[0], 10000 - r[1], *r[2:]) for r in rows], SCHEMA)))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert a.filter("record_id = 'a'").first()["payload_keys"].startswith("sum:5:")
+    assert a.filter("record_id = 'a'").first()["payload_keys"].startswith(f"{n}:")
+    c = L.snapshot(L.ledger_state(spark.createDataFrame(rows[1:], SCHEMA))).filter("record_id = 'a'").first()
+    assert c is None or c["payload_keys"] != a.filter("record_id = 'a'").first()["payload_keys"]
 
 
 def test_validation_lists_every_problem(spark):
