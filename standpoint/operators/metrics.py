@@ -184,8 +184,8 @@ def latency_stats(df: DataFrame, value: str, by: str) -> DataFrame:
 # ---------------------------------------------------------------- resampling
 
 
-#: Chances of up to k draws of a Poisson variable with mean one, as numbers of 48 bits.
-POISSON = [int(2**48 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(16)]
+#: Chances of up to k draws of a Poisson variable with mean one, as the first 12 digits of a hash.
+POISSON = [f"{int(2**48 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))):012x}" for k in range(13)]
 
 
 def draws(parts: DataFrame, keys: list[str], n_boot: int, seed: int = 0) -> DataFrame:
@@ -193,10 +193,9 @@ def draws(parts: DataFrame, keys: list[str], n_boot: int, seed: int = 0) -> Data
     one that is a hash of (seed, b, cluster), so any engine repeats it. It is worked out where the row lies; what follows
     adds up by replicate before anything is shuffled."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), *[F.col(k).cast("string") for k in keys]).cast("binary"))
-    u = F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint")
-    w = F.aggregate(F.array(*[F.lit(t).cast("bigint") for t in POISSON]), F.lit(0), lambda a, t: a + (F.col("_u") >= t).cast("int"))
+    w = sum(((F.col("_u") >= t).cast("int") for t in POISSON[1:]), F.lit(1))  # rows below the first are not drawn
     d = spread(parts, *keys).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    return d.withColumn("_u", u).filter(F.col("_u") >= POISSON[0]).withColumn("w", w).drop("_u")
+    return d.withColumn("_u", h).filter(F.col("_u") >= POISSON[0]).withColumn("w", w).drop("_u")
 
 
 def bootstrap_ci(df: DataFrame, clusters: list[str], num: Column, den: Column | None = None, by: list[str] | None = None,
@@ -214,8 +213,7 @@ def interval(parts: DataFrame, clusters: list[str], by: list[str], n_boot: int,
             .agg((F.sum(F.col("w") * F.col("num")) / F.greatest(F.sum(F.col("w") * F.col("den")), F.lit(1e-12))).alias("x")))
     ends = boot.groupBy(*by).agg(F.percentile("x", F.lit(alpha / 2)).alias("lo"), F.percentile("x", F.lit(1 - alpha / 2)).alias("hi"))
     point = parts.groupBy(*by).agg((F.sum("num") / F.sum("den")).alias("value"), F.sum("den").alias("n")).filter("n > 0")
-    return point.join(ends, by) if by else point.select("value", "n", ends.select("lo").scalar().alias("lo"),
-                                                        ends.select("hi").scalar().alias("hi"))
+    return point.join(ends, by) if by else point.withColumn("_k", F.lit(1)).join(ends.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def accuracy_by(preds: DataFrame, bucket: Column, name: str, cluster: list[str], n_boot: int = 2000, seed: int = 0) -> DataFrame:

@@ -144,11 +144,11 @@ def latency_stats(spark, sf):
 # ---- resampling
 
 def draws_sql(source: str, key: str, n_boot: int = 2000) -> str:
-    weight = " + ".join(f"(h >= {t})::int" for t in M.POISSON)
+    weight = " + ".join(f"(h >= '{t}')::int" for t in M.POISSON)
     return f"""
     select b, {key}, {weight} as w from (
-      select b, {key}, ('0x' || substr(md5('0|' || b || '|' || {key}), 1, 12))::bigint as h
-      from (select distinct {key} from {source}), (select unnest(range(0, {n_boot})) as b)) where h >= {M.POISSON[0]}"""
+      select b, {key}, md5('0|' || b || '|' || {key}) as h
+      from (select distinct {key} from {source}), (select unnest(range(0, {n_boot})) as b)) where h >= '{M.POISSON[0]}'"""
 
 
 def interval_sql(parts: str, key: str, by: str = "", lo=0.025, hi=0.975, n_boot: int = 2000) -> str:
