@@ -194,8 +194,11 @@ def draws(parts: DataFrame, keys: list[str], n_boot: int, seed: int = 0) -> Data
     adds up by replicate before anything is shuffled."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), *[F.col(k).cast("string") for k in keys]).cast("binary"))
     w = sum(((F.col("_u") >= t).cast("int") for t in POISSON[1:]), F.lit(1))  # rows below the first are not drawn
-    d = spread(parts, *keys).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    return d.withColumn("_u", h).filter(F.col("_u") >= POISSON[0]).withColumn("w", w).drop("_u")
+    # a cluster's rows (one per metric, bar or candidate) stay together, so its weights are worked out once for all of them
+    rest = F.struct(*[c for c in parts.columns if c not in keys])
+    d = spread(parts, *keys).groupBy(*keys).agg(F.collect_list(rest).alias("_rows")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    d = d.withColumn("_u", h).filter(F.col("_u") >= POISSON[0]).withColumn("w", w)
+    return d.select(*keys, "b", "w", F.explode("_rows").alias("_row")).select(*keys, "b", "w", "_row.*")
 
 
 def bootstrap_ci(df: DataFrame, clusters: list[str], num: Column, den: Column | None = None, by: list[str] | None = None,
