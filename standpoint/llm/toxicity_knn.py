@@ -104,11 +104,16 @@ class Index:
         return float((w * self.labels[[e for e, _ in near]]).sum() / w.sum())
 
     def calibrate(self, pairs: list[tuple[float, float]], silent_rate: float) -> None:
-        """Isotonic regression of (vote, label), sorted by vote."""
+        """Isotonic regression of (vote, label), in any order; equal votes are one point."""
         self.silent = silent_rate
-        stack: list[list[float]] = []
+        points: dict[float, list[float]] = {}
         for x, y in pairs:
-            stack.append([y, 1.0, x])
+            p = points.setdefault(round(x, 9), [0.0, 0.0])
+            p[0] += y
+            p[1] += 1.0
+        stack: list[list[float]] = []
+        for x in sorted(points):
+            stack.append([*points[x], x])
             while len(stack) > 1 and stack[-2][0] / stack[-2][1] >= stack[-1][0] / stack[-1][1]:
                 y2, n2, x2 = stack.pop()
                 stack[-1] = [stack[-1][0] + y2, stack[-1][1] + n2, x2]
@@ -123,7 +128,7 @@ class Index:
         v = self.vote(near)
         if self.map is None:
             return v, near
-        return float(self.map[1][min(np.searchsorted(self.map[0], v - 1e-9), len(self.map[0]) - 1)]), near
+        return float(self.map[1][min(np.searchsorted(self.map[0], round(v, 9)), len(self.map[0]) - 1)]), near
 
 
 def votes(spark: SparkSession, index: Index) -> list[tuple[float, float]]:
