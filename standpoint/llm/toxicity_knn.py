@@ -1,15 +1,15 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
+"""Toxicity from the nearest labelled examples by exact cosine over whole texts.
 
-``fit`` takes at most ``EXAMPLES`` labelled texts (those with the smallest hashes of their ids; equal texts count once), finds
-the words that tell the labels apart (G-test over the examples, at least ``EVIDENCE``; at most ``TERMS`` of them) and indexes
-the examples by these words. Postings are ordered by example and cut into blocks of ``BLOCK`` examples; for each word and
-block the largest weight is kept. A query adds up these maxima to bound what a block can reach, visits blocks from the
-highest bound down, scores them exactly, and stops when no block left can reach its ``NEIGHBOURS``-th best similarity: the
-result is that of scoring every example. Neighbours vote with weight 1 / (distance + ``SOFT``); the vote is calibrated by
-isotonic regression over the examples, each judged by the others. A text without any telling word has the examples' rate of
-that case. Every score names its neighbours as evidence.
+``fit`` takes at most ``EXAMPLES`` labelled texts (those with the smallest hashes of their ids; equal texts count once) and
+indexes all their words. A word's count in a text (one and its logarithm) is weighted by the word's idf over all documents
+and by its evidence: one and the G-test of how it tells the labels apart over the examples, so telling words weigh most and
+none is dropped. A query is multiplied with all examples in single precision, by postings and, for the commonest words, by a
+table; those that rounding could put among the ``NEIGHBOURS`` nearest are scored again in double precision: the result is that
+of scoring every example. Neighbours vote with weight 1 / (distance + ``SOFT``); the vote is calibrated by isotonic regression
+over the examples, each judged by the others. A text without any word of the examples has the examples' rate of that case.
+Every score names its neighbours as evidence.
 
-The fitted model has a fixed bound (examples times terms), so it is broadcast; scoring is one map over whole texts.
+The fitted model is bounded by the examples' size, so it is broadcast; scoring is one map over whole texts.
 
 Defined cases: null and empty texts have no words; rows of a null id or a null label are not learned from; of several
 labels of one id the larger counts; equally similar examples rank by their number; repeated rows get equal scores; without any
@@ -24,13 +24,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standpoint.session import cut_lineage
 
-EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 20_000, 2048, 64, 16
-EVIDENCE, SOFT = 26.0, 0.05
+EXAMPLES, NEIGHBOURS = 20_000, 16
+#: The words of the longest postings are held as a dense table; so many texts are multiplied with it at a time.
+COMMON, TOGETHER = 256, 16
+SOFT = 0.05
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -38,66 +41,131 @@ def term_counts(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
-def g_test(k, n, positive: int, total: int):
-    """Column: twice the log-likelihood ratio of a word in ``n`` of ``total`` examples, ``k`` of them among the ``positive``."""
-    negative, out = total - positive, F.lit(0.0)
+def evidence(k: np.ndarray, n: np.ndarray, positive: int, total: int) -> np.ndarray:
+    """One and twice the log-likelihood ratio (G-test) of words in ``n`` of ``total`` examples, ``k`` of them among the ``positive``."""
+    negative, out = total - positive, np.ones(len(n))
     for seen, expected in ((k, n * positive / total), (n - k, n * negative / total), (positive - k, (total - n) * positive / total),
                            (negative - n + k, (total - n) * negative / total)):
-        out = out + F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    return 2 * out
+        some = seen > 0
+        out[some] += 2 * seen[some] * np.log(seen[some] / expected[some])
+    return np.maximum(out, 1.0)
+
+
+def as_arrays(vector) -> tuple[np.ndarray, np.ndarray]:
+    return (np.array(list(vector), np.int32), np.array(list(vector.values()), np.float64)) if isinstance(vector, dict) else vector
+
+
+def spots(edges: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the runs ``which`` of an array cut at ``edges``, and the runs' lengths."""
+    lo = edges[which]
+    n = edges[which + 1] - lo
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
+
+
+def weighted(words: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(counts.astype(np.float64))) * idf[words]
+    norm = math.sqrt(float((w * w).sum()))
+    return (words, w / norm) if norm else (words[:0], w[:0])
+
+
+def counted_words(text: str | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, in order, and counts of the known words of a text."""
+    known = sorted((i, c) for t, c in term_counts(text).items() if (i := number.get(t)) is not None)
+    return np.array([i for i, _ in known], np.int32), np.array([c for _, c in known], np.int32)
+
+
+def unpacked(parts: list[bytes], sizes: np.ndarray, idf: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> Index:
+    raw = [zstandard.ZstdDecompressor().decompress(x) for x in parts]
+    steps, counts = (np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in raw[1:])
+    cuts = np.cumsum(sizes)[:-1]
+    counted = list(zip(np.split(np.cumsum(steps, dtype=np.int32), cuts), np.split(counts, cuts), strict=True)) if len(sizes) else []
+    return Index.of_counts(raw[0].decode("utf-8", "surrogatepass").split("\n") if len(idf) else [], idf, counted, labels, ids)
 
 
 class Index:
-    """Examples as normalised TF-IDF vectors over the telling words, in postings with block maxima."""
+    """Examples as normalised vectors over the words of all of them, by example and in postings (of the commonest words a
+    table). ``idf`` holds what a word's count is weighted by; vectors are dictionaries or pairs of arrays (words, weights)."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[dict[int, float]], labels: np.ndarray, ids: np.ndarray):
+    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list, labels: np.ndarray, ids: np.ndarray):
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf, self.ids, self.labels = idf, ids, labels
-        self.vectors = vectors
-        self.blocks = max(1, -(-len(vectors) // BLOCK))
-        rows = sorted((t, e, w) for e, v in enumerate(vectors) for t, w in v.items())
-        self.example = np.array([r[1] for r in rows], np.int64)
-        self.weight = np.array([r[2] for r in rows], np.float64)
-        term = np.array([r[0] for r in rows], np.int64)
-        cell = term * self.blocks + self.example // BLOCK
-        self.edges = np.searchsorted(cell, np.arange(len(terms) * self.blocks + 1))
-        top = np.zeros(len(terms) * self.blocks)
-        np.maximum.at(top, cell, self.weight)
-        self.top = top.reshape(len(terms), self.blocks)
+        pairs = [as_arrays(v) for v in vectors]
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in pairs], dtype=np.int64)])
+        self.words = np.concatenate([np.zeros(0, np.int32), *[t for t, _ in pairs]])
+        self.weights = np.concatenate([np.zeros(0), *[w for _, w in pairs]])
+        often = np.argsort(-np.bincount(self.words, minlength=len(terms)), kind="stable")[:COMMON]
+        self.common = np.full(len(terms), -1, np.int32)
+        self.common[often] = np.arange(len(often))
+        example, common = np.repeat(np.arange(len(pairs), dtype=np.int32), np.diff(self.starts)), self.common[self.words]
+        self.table = np.zeros((len(often), len(pairs)), np.float32)
+        self.table[common[common >= 0], example[common >= 0]] = self.weights[common >= 0]
+        rare = np.flatnonzero(common < 0)
+        rare = rare[np.argsort(self.words[rare], kind="stable")]
+        self.edges = np.searchsorted(self.words[rare], np.arange(len(terms) + 1))
+        self.example, self.weight = example[rare], self.weights[rare].astype(np.float32)
         self.map: tuple[np.ndarray, np.ndarray] | None = None
         self.silent = 0.0
+        self.counted: list[tuple[np.ndarray, np.ndarray]] | None = None if vectors else []
+        self.sent = None
+
+    @classmethod
+    def of_counts(cls, terms: list[str], idf: np.ndarray, counted: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray) -> Index:
+        """From each example's words and their counts, which is how the index travels."""
+        out = cls(terms, idf, [weighted(w, c, idf) for w, c in counted], labels, ids)
+        out.counted = counted
+        return out
+
+    def __reduce__(self):
+        compress = zstandard.ZstdCompressor().compress
+        sizes, words, counts = np.array([len(w) for w, _ in self.counted], np.int64), *(np.concatenate([np.zeros(0, np.int32), *[v[i] for v in self.counted]]) for i in (0, 1))
+        parts = [compress("\n".join(self.number).encode("utf-8", "surrogatepass")), *(compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in (np.diff(words, prepend=np.int32(0)), counts))]
+        return unpacked, (parts, sizes, self.idf, self.labels, self.ids)
+
+    def shared(self, spark: SparkSession):
+        """One broadcast for all uses; the calibration, which comes later, goes with each use."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
+
+    def arrays(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        known = [(i, c) for t, c in counts.items() if (i := self.number.get(t)) is not None]
+        return weighted(np.array([i for i, _ in known], np.int32), np.array([c for _, c in known], np.int32), self.idf)
 
     def vector(self, counts: Counter) -> dict[int, float]:
-        v = {self.number[t]: (1 + math.log(c)) * self.idf[self.number[t]] for t, c in counts.items() if t in self.number}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
+        terms, weights = self.arrays(counts)
+        return dict(zip(terms.tolist(), weights.tolist(), strict=True))
 
-    def nearest(self, vector: dict[int, float], but: int = -1, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
+    def nearest(self, vector, but: int = -1, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
         """The k most similar examples with a similarity above zero, exactly; ``but`` is left out."""
-        if not vector:
-            return []
-        terms, weights = np.array(list(vector)), np.array(list(vector.values()))
-        bound = weights @ self.top[terms]
-        sims, who = np.zeros(0), np.zeros(0, np.int64)
-        order = np.argsort(-bound, kind="stable")
-        at, step, least = 0, 4, 0.0
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-12:
-            some = order[at:at + step]
-            cells = terms[:, None] * self.blocks + some
-            lo, n = self.edges[cells].ravel(), (self.edges[cells + 1] - self.edges[cells]).ravel()
-            spots = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            reached, where = np.unique(self.example[spots], return_inverse=True)
-            got = np.round(np.bincount(where, self.weight[spots] * np.repeat(np.repeat(weights, len(some)), n), minlength=len(reached)), 12)
-            fit_in = (got > 0) & (reached != but) & (got >= least)
-            sims, who = np.concatenate([sims, got[fit_in]]), np.concatenate([who, reached[fit_in]])
-            if len(sims) >= k:
+        return next(self.nearest_of([as_arrays(vector)], [but], k))
+
+    def nearest_of(self, vectors: list, buts: list[int], k: int = NEIGHBOURS):
+        """``nearest`` of each. All examples are scored in single precision; those that its rounding could put among the k
+        best are scored again in double precision."""
+        many, query = len(self.labels), np.zeros(len(self.idf))
+        for at in range(0, len(vectors), TOGETHER):
+            some = vectors[at:at + TOGETHER]
+            terms, weights = (np.concatenate([v[i] for v in some]) for i in (0, 1))
+            owner = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
+            common = self.common[terms]
+            there = common >= 0
+            dense = np.zeros((len(some), len(self.table)), np.float32)
+            dense[owner[there], common[there]] = weights[there]
+            rough = dense @ self.table
+            where, n = spots(self.edges, terms[~there])
+            if len(where):
+                rough += np.bincount(self.example[where] + np.repeat(owner[~there] * many, n), self.weight[where] * np.repeat(weights[~there], n), rough.size).reshape(rough.shape)
+            for (t, w), row, but in zip(some, rough, buts[at:at + TOGETHER], strict=True):
+                if but >= 0:
+                    row[but] = 0.0
+                least = float(np.partition(row, many - k)[many - k]) if many > k else 0.0
+                who = np.flatnonzero((row > 0) & (row >= least * (1 - 1e-4)))  # sums of few hundred products of no sign err by less
+                where, n = spots(self.starts, who)
+                query[t] = w
+                sims = np.round(np.bincount(np.repeat(np.arange(len(who)), n), query[self.words[where]] * self.weights[where], len(who)), 12)
+                query[t] = 0.0
                 best = np.lexsort((who, -sims))[:k]
-                sims, who = sims[best], who[best]
-                least = float(sims[-1])
-            at += step
-            step = min(64, 2 * step)
-        best = np.lexsort((who, -sims))[:k]
-        return list(zip(who[best].tolist(), sims[best].tolist(), strict=True))
+                yield [(int(e), float(s)) for e, s in zip(who[best], sims[best], strict=True) if s > 0]
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         w = np.array([1 / (1 - min(1.0, s) + SOFT) for _, s in near])
@@ -121,65 +189,91 @@ class Index:
         if stack:
             self.map = np.array([s[2] for s in stack]), np.array([(s[0] + rate) / (s[1] + 1) for s in stack])
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        near = self.nearest(self.vector(term_counts(text)))
-        if not near:
-            return self.silent, []
-        v = self.vote(near)
-        if self.map is None:
-            return v, near
-        return float(self.map[1][min(np.searchsorted(self.map[0], round(v, 9)), len(self.map[0]) - 1)]), near
+    def scores(self, texts: list[str | None], silent: float, steps: tuple[np.ndarray, np.ndarray] | None):
+        """(score, neighbours) of each text."""
+        for near in self.nearest_of([self.arrays(term_counts(t)) for t in texts], [-1] * len(texts)):
+            if not near:
+                yield silent, []
+                continue
+            v = self.vote(near)
+            yield v if steps is None else float(steps[1][min(np.searchsorted(steps[0], round(v, 9)), len(steps[0]) - 1)]), near
 
 
 def votes(spark: SparkSession, index: Index) -> list[tuple[float, float]]:
     """(vote, label) of each example, judged by the others; as many rows as examples at most."""
-    shared = spark.sparkContext.broadcast(index)
+    shared = index.shared(spark)
 
     def run(batches):
         ix = shared.value
         for b in batches:
-            got = [(ix.vote(near), float(ix.labels[e])) for e in b.column(0).to_pylist() if (near := ix.nearest(ix.vectors[e], but=e))]
+            of = b.column(0).to_pylist()
+            own = [tuple(a[ix.starts[e]:ix.starts[e + 1]] for a in (ix.words, ix.weights)) for e in of]
+            got = [(ix.vote(near), float(ix.labels[e])) for e, near in zip(of, ix.nearest_of(own, of), strict=True) if near]
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)], names=["vote", "label"])
 
-    return sorted(tuple(r) for r in spark.range(len(index.vectors)).repartition(16).mapInArrow(run, "vote double, label double").collect())
+    return [tuple(r) for r in spark.range(len(index.labels)).repartition(16).mapInArrow(run, "vote double, label double").collect()]
+
+
+def document_counts(docs: DataFrame, shared) -> np.ndarray:
+    """In how many rows of ``docs`` each of the words of a shared dictionary occurs."""
+
+    def run(batches):
+        known, n = shared.value, np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                n[[i for w in set(WORD.findall((t or "").lower())) if (i := known.get(w)) is not None]] += 1
+        some = np.flatnonzero(n)
+        for i in range(0, len(some), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[i:i + 50_000].astype(np.int32)), pa.array(n[some[i:i + 50_000]])], names=["term", "n"])
 
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(shared.value), np.int64)
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
+    return out
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """``labels``: doc_id, toxic (0 or 1). Learns from all its rows that have a document."""
+    spark = docs.sparkSession
     chosen = (labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).dropna()
               .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(examples))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
     texts = texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.min_by(F.struct("id", "y", "text"), "id").alias("r")).select("r.*")
+    texts = cut_lineage(texts.select("id", "y", "text"))
 
     def spread(batches):
+        n: dict[str, list[int]] = {"": [0, 0]}  # counts the examples
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for w in {"", *WORD.findall((t or "").lower())}:
+                    c = n.setdefault(w, [0, 0])
+                    c[0] += 1
+                    c[1] += y
+        yield pa.RecordBatch.from_arrays([pa.array(list(n)), *[pa.array([c[i] for c in n.values()], pa.int64()) for i in (0, 1)]], names=["term", "n", "k"])
+
+    # as many rows as the examples have words
+    words = (texts.select("y", "text").mapInArrow(spread, "term string, n long, k long").groupBy("term")
+             .agg(F.sum("n").alias("n"), F.sum("k").alias("k")).orderBy("term").toArrow())
+    names, n, k = words["term"].to_pylist(), words["n"].to_numpy(), words["k"].to_numpy()
+    if not names or not n[0]:
+        return Index([], np.zeros(0), [], np.zeros(0), np.zeros(0, np.int64))
+    total, positive = int(n[0]), int(k[0])
+    names = names[1:]
+    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
+    idf = np.log(1 + docs.count() / np.maximum(document_counts(docs, shared), 1)) * evidence(k[1:], n[1:], positive, total)
+
+    def count(batches):
         for b in batches:
-            for i, y, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                c = term_counts(t)
-                c[""] = 1  # every example has one row at least
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(c), pa.int64()), pa.array([y] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())],
-                                                 names=["id", "y", "term", "tf"])
-
-    pairs = cut_lineage(texts.select("id", "y", "text").mapInArrow(spread, "id long, y int, term string, tf long"))
-    total = pairs.where("term = ''").agg(F.count("*"), F.sum("y")).first()
-    n, positive = int(total[0]), int(total[1] or 0)
-    words = pairs.where("term <> ''").groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    # a word needs this many examples to reach the evidence even if all of them agree
-    least = EVIDENCE / (2 * -math.log(min(positive, n - positive) / n)) if 0 < positive < n else math.inf
-    telling = (words.where(F.col("n") >= F.lit(min(least, 2.0**60))).withColumn("g", g_test(F.col("k"), F.col("n"), positive, max(n, 1))).where(F.col("g") >= EVIDENCE)
-               .orderBy(F.desc("g"), "term").limit(terms).collect())
-    names = sorted(r.term for r in telling)
-    df = {r.term: r.n for r in telling}
-    idf = np.array([math.log(1 + n / df[t]) for t in names])
-    chosen_terms = docs.sparkSession.createDataFrame([(t,) for t in names], "term string")
-    rows = (pairs.join(F.broadcast(chosen_terms), "term").groupBy("id", "y").agg(F.collect_list(F.struct("term", "tf")).alias("v"))
-            .orderBy("id").collect()) if names else []
-    index = Index(names, idf, [], np.zeros(0), np.zeros(0, np.int64))
-    vectors = [index.vector(Counter({x.term: x.tf for x in r.v})) for r in rows]
-    # alike examples side by side make the block maxima tight
-    order = sorted(range(len(rows)), key=lambda i: (sorted(vectors[i], key=lambda t: (-vectors[i][t], t))[:3], rows[i].id))
-    index = Index(names, idf, [vectors[i] for i in order], np.array([float(rows[i].y) for i in order]), np.array([rows[i].id for i in order], np.int64))
-    heard, toxic = len(rows), int(index.labels.sum())
-    index.calibrate(votes(docs.sparkSession, index), (positive - toxic) / (n - heard) if n > heard else (positive / n if n else 0.0))
+            got = [counted_words(t, shared.value) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([v[i].tobytes() for v in got], pa.binary()) for i in (0, 1)]], names=["id", "y", "terms", "counts"])
+
+    rows = texts.mapInArrow(count, "id long, y int, terms binary, counts binary").toArrow()
+    ids, y = rows["id"].to_numpy(), rows["y"].to_numpy().astype(float)
+    counted = [(np.frombuffer(t.as_py(), np.int32), np.frombuffer(c.as_py(), np.int32)) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
+    order = sorted((i for i, v in enumerate(counted) if len(v[0])), key=lambda i: ids[i])
+    index = Index.of_counts(names, idf, [counted[i] for i in order], y[order], ids[order])
+    heard, toxic = len(order), int(index.labels.sum())
+    index.calibrate(votes(spark, index), (positive - toxic) / (total - heard) if total > heard else positive / total)
     return index
 
 
@@ -188,13 +282,13 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence a
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence), one row per row of ``docs(doc_id, held_out, text)``."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, silent, steps = index.shared(docs.sparkSession), index.silent, index.map
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
         ix = shared.value
         for b in batches:
-            got = [ix.score(t) for t in b.column(2).to_pylist()]
+            got = list(ix.scores(b.column(2).to_pylist(), silent, steps))
             near = [[{"doc_id": int(ix.ids[e]), "similarity": s, "toxic": int(ix.labels[e])} for e, s in n] for _, n in got]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()),
                                               pa.array(near, evidence)], names=["doc_id", "held_out", "score", "predicted", "evidence"])

@@ -1,5 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+from collections import Counter
+
 import numpy as np
 
 from standpoint.llm import toxicity_knn
@@ -10,3 +13,29 @@ def test_equal_votes_are_one_point():
     index.calibrate([(0.0, 0.0)] * 1000 + [(1.0, 0.0)] + [(1.0, 1.0)] * 100, 0.0)
     assert len(index.map[0]) == len(set(index.map[0].tolist())) == 2
     assert abs(index.map[1][np.searchsorted(index.map[0], 1.0 - 1e-9)] - 100 / 101) < 0.02
+
+
+def test_no_word_is_dropped(spark):
+    """Too few examples for any word to reach much evidence: rare insults and plain texts find neighbours all the same."""
+    rng = random.Random(1)
+    plain = lambda: " ".join(rng.choice("tree sun house river stone bread cloud road".split()) for _ in range(20))
+    rows = [(i, plain() + (" foul grubworm" if i < 4 else "")) for i in range(40)] + [(100, plain() + " grubworm"), (101, plain()), (102, None)]
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(40)], "doc_id long, toxic int")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    index = toxicity_knn.fit(d, labels)
+    assert {"grubworm", "foul", "tree", "road"} <= set(index.number)
+    got = {r.doc_id: r for r in toxicity_knn.score(d.selectExpr("doc_id", "false AS held_out", "text"), index).collect()}
+    assert all(r.evidence for i, r in got.items() if i != 102) and not got[102].evidence
+    assert got[100].score > got[101].score and sum(e.toxic for e in got[100].evidence[:4]) == 4
+
+
+def test_nearest_with_rare_words_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity_knn, "COMMON", 5)
+    rng = random.Random(2)
+    terms = [f"t{i}" for i in range(60)]
+    index = toxicity_knn.Index(terms, np.linspace(1, 4, 60), [], np.zeros(0), np.zeros(0))
+    vectors = [index.vector(Counter(rng.choices(terms, k=rng.randint(1, 9)))) for _ in range(500)]
+    index = toxicity_knn.Index(terms, index.idf, vectors, np.zeros(500), np.arange(500))
+    for e in range(0, 500, 17):
+        sims = sorted((-round(sum(w * v.get(t, 0) for t, w in vectors[e].items()), 12), i) for i, v in enumerate(vectors) if i != e)
+        assert [i for i, _ in index.nearest(vectors[e], but=e)] == [i for s, i in sims if s < 0][:16]
