@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for tokens that no pattern names.
 
-A token is a run of 20 or more letters, digits and ``+/_=-``. Its encoding is inferred as the smallest alphabet that holds
+A token is a run of 20 or more letters, digits and ``+/_-`` with at most two ``=`` behind it, so what follows ``name=`` is a
+token of its own. Its encoding is inferred as the smallest alphabet that holds
 it (hex, base32, base36, base62, base64). Under the hypothesis that its symbols are drawn at random from that alphabet,
 three p-values are made: chi-squared of the symbol counts against uniformity (with the exact mean and variance of the
 statistic, as counts are small), the number of runs above and below the alphabet's middle, and the lag-one serial
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 KINDS = ("assign", "access", "hex", "random")
 ALPHA, MIN_BITS = 0.01, 80
 ALPHABETS = {

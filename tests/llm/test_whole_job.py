@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from standpoint.llm import toxicity_knn
+from standpoint.llm import secret_scan, toxicity_knn
 
 
 def test_equal_votes_are_one_point():
@@ -39,3 +39,13 @@ def test_nearest_with_rare_words_is_exact(monkeypatch):
     for e in range(0, 500, 17):
         sims = sorted((-round(sum(w * v.get(t, 0) for t, w in vectors[e].items()), 12), i) for i, v in enumerate(vectors) if i != e)
         assert [i for i, _ in index.nearest(vectors[e], but=e)] == [i for s, i in sims if s < 0][:16]
+
+
+def test_keys_behind_an_unquoted_name(spark):
+    key, padded = "q7Zt9XvL2mKp4RsW8nYb3CdF6gHj1QaE5uTiOoPx", "DWLac2+pECzSpSc7crVje2kZH/rSishuNnQvs46B=="
+    text = f"GET /?auth={key}&sig={padded} AccountKey={padded};session={key[::-1]}"
+    got = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    at = [(text.index(n) + len(n), len(x)) for n, x in (("auth=", key), ("sig=", padded), ("AccountKey=", padded), ("session=", key[::-1]))]
+    assert got.spans == ",".join(f"random:{s}:{s + n}" for s, n in at)
+    clean = secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert clean == "GET /?auth=[SECRET]&sig=[SECRET] AccountKey=[SECRET];session=[SECRET]"
