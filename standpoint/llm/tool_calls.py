@@ -122,15 +122,20 @@ def canonical(json: Column) -> Column:
 
 
 def format_messages(messages: DataFrame, schemas: Schemas) -> DataFrame:
-    """(conv_id, turn, depth, at, role, json): one row per message and per call; ordering by (conv_id, turn, depth, at) reads a
+    """(conv_id, turn, depth, at, role, json): one row per message and per call; a message that
+    only makes calls, without content of its own, is its calls. Ordering by (conv_id, turn, depth, at) reads a
     conversation with the calls of a turn in topological order, those in a cycle last. A call's JSON holds its result and faults."""
     linked = link(messages, schemas)
     m = prepared(messages)
-    is_call = F.coalesce((F.col("role") == "assistant") & F.try_variant_get(_body(F.col("text")), "$.tool_calls", "array<variant>").isNotNull(), F.lit(False))
+    # None without a list of calls; otherwise the message stays where it has content, or no call to stand for it
+    asked = F.when(F.col("role") == "assistant", F.try_variant_get(_body(F.col("text")), "$.tool_calls", "array<variant>"))
+    content = F.try_variant_get(_body(F.col("text")), "$.content", "variant")
+    said = F.when(~F.is_variant_null(content), F.coalesce(F.try_variant_get(content, "$", "string"), F.to_json(content)))
     is_result = F.coalesce((F.col("role") == "tool") & F.try_variant_get(_body(F.col("text")), "$.tool_call_id", "string").isNotNull(), F.lit(False))
-    plain = m.where(~is_call & ~is_result).select(
+    stays = asked.isNull() | (F.size(asked) == 0) | (F.coalesce(said, F.lit("")) != "")
+    plain = m.where(stays & ~is_result).select(
         "conv_id", "turn", F.lit(-1).cast("long").alias("depth"), F.lit(0).alias("at"), "role",
-        F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"), F.coalesce("role", F.lit("")).alias("role"))).alias("json"))
+        F.to_json(F.struct(F.coalesce(F.when(asked.isNull(), F.col("text")).otherwise(said), F.lit("")).alias("content"), F.coalesce("role", F.lit("")).alias("role"))).alias("json"))
     argument = F.coalesce(F.col("arguments"), F.lit("null"))
     known = F.to_json(F.struct(F.coalesce("id", F.lit("")).alias("id"), F.coalesce("name", F.lit("")).alias("name")))
     text = F.concat(F.lit('{"arguments":'), argument, F.lit(',"faults":'), F.to_json("faults"), F.lit(","), F.substring(known, 2, 1 << 30).substr(F.lit(1), F.length(known) - 2),

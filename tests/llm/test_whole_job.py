@@ -1,11 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
+import json
 import random
 from collections import Counter
 
 import numpy as np
 
-from standpoint.llm import secret_scan, toxicity_knn
+from standpoint.llm import secret_scan, tool_calls, toxicity_knn
 
 
 def test_equal_votes_are_one_point():
@@ -49,3 +50,13 @@ def test_keys_behind_an_unquoted_name(spark):
     assert got.spans == ",".join(f"random:{s}:{s + n}" for s, n in at)
     clean = secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
     assert clean == "GET /?auth=[SECRET]&sig=[SECRET] AccountKey=[SECRET];session=[SECRET]"
+
+
+def test_messages_with_calls_keep_their_content(spark):
+    search = {"id": "a", "name": "search", "arguments": {"query": "x"}}
+    bodies = [{"content": "Let me look", "tool_calls": [search]}, {"content": "Done", "tool_calls": []}, {"tool_calls": []}, {"content": None, "tool_calls": [search | {"id": "b"}]},
+              {"content": [{"type": "text", "text": "part"}], "tool_calls": [search | {"id": "c"}]}]
+    m = spark.createDataFrame([(1, i, "assistant", json.dumps(b)) for i, b in enumerate(bodies)], "conv_id long, turn long, role string, text string")
+    out = tool_calls.format_messages(m, tool_calls.TOOLS).orderBy("turn", "depth").collect()
+    assert [(r.turn, r.role) for r in out] == [(0, "assistant"), (0, "call"), (1, "assistant"), (2, "assistant"), (3, "call"), (4, "assistant"), (4, "call")]
+    assert [json.loads(r.json)["content"] for r in out if r.role == "assistant"] == ["Let me look", "Done", "", '[{"text":"part","type":"text"}]']
