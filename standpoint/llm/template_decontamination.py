@@ -2,7 +2,7 @@
 
 Texts become sequences of tokens in which numbers, names and units are typed placeholders; each placeholder remembers the
 value it stands for. Windows of ``WINDOW`` tokens are hashed and hash-joined with the windows of the benchmark (an item with
-fewer tokens is one window of all of them). Matches are grouped by document, item and alignment (position in the
+fewer tokens is one window of all of them, met by document windows of that length). Matches are grouped by document, item and alignment (position in the
 document minus position in the item). An alignment counts when it holds ``SHARE`` of the item's windows and its slots are
 consistent: a value of the item always corresponds to the same value of the document. Equal values make it verbatim, other
 values a re-parameterised copy. Windows made of placeholders alone take no part, unless the item has no other.
@@ -28,9 +28,12 @@ UNITS = "km|cm|mm|nm|m|kg|mg|g|lb|oz|ml|l|s|ms|min|h|kb|mb|gb|tb|hz|khz|mhz|ghz|
 NUMBER = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,][0-9]+)*"
 #: A capitalised word inside a sentence: after a small letter, a comma or a semicolon, and one blank.
 NAME = r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
+#: Any capitalised word, at the start of a sentence too. Texts are compared under both rules, each with itself.
+ANY_NAME = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
+RULES = (NAME, ANY_NAME)
 
 
-def encoded(text: Column) -> Column:
+def encoded(text: Column, name: str = NAME) -> Column:
     """The text in small letters with placeholders ``<#value>``, ``<@value>`` and ``<$value>``."""
 
     def numbers(t: Column) -> Column:
@@ -38,7 +41,7 @@ def encoded(text: Column) -> Column:
 
     t = F.coalesce(text, F.lit(""))
     t = F.when(t.contains("<") | t.contains(">"), F.translate(t, "<>", "  ")).otherwise(t)
-    t = F.regexp_replace(t, NAME, "<@$0>")
+    t = F.regexp_replace(t, name, "<@$0>")
     return F.lower(let(t, lambda x: F.when(x.rlike("[0-9]"), numbers(x)).otherwise(x)))
 
 
@@ -46,8 +49,8 @@ def _is_slot(x: Column) -> Column:
     return x.startswith("<")
 
 
-def windows(text: Column, width: int = WINDOW) -> Column:
-    """Array of (hash, values) of all windows, in order; ``values`` are those of the placeholders. Whether a text has
+def windows(text: Column, width: int = WINDOW, name: str = NAME, short: bool = True) -> Column:
+    """Array of (hash, values) of all windows, in order; of a text with fewer tokens one window or, unless ``short``, none; ``values`` are those of the placeholders. Whether a text has
     placeholders at all, which most do not, is looked up once per text."""
 
     def of(values: Column, some: Column) -> Column:
@@ -65,28 +68,40 @@ def windows(text: Column, width: int = WINDOW) -> Column:
         typed = F.transform(values, lambda x: F.xxhash64(F.when(_is_slot(x), F.substring(x, 1, 2)).otherwise(x)))
         return let(F.when(some, typed).otherwise(F.transform(values, lambda x: F.xxhash64(x))), cut)
 
+    least = 1 if short else width
     nothing = F.array().cast("array<struct<hash:bigint,values:array<string>>>")
-    return let(encoded(text), lambda t: let(
-        F.regexp_extract_all(t, F.lit(r"<[^>]*|[\p{L}\p{N}]+"), 0), lambda v: F.when(F.size(v) == 0, nothing).otherwise(
+    return let(encoded(text, name), lambda t: let(
+        F.regexp_extract_all(t, F.lit(r"<[^>]*|[\p{L}\p{N}]+"), 0), lambda v: F.when(F.size(v) < least, nothing).otherwise(
             let(t.contains("<"), lambda some: of(v, some)))))
 
 
-def _exploded(df: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
-    return (df.select(*keys, F.posexplode(windows(F.col(text), width)).alias("pos", "w"))
-            .select(*keys, "pos", F.col("w.hash").alias("hash"), F.col("w.values").alias("slots")))
+def _exploded(df: DataFrame, keys: list[str], text: str, width: int, short: bool) -> DataFrame:
+    """The windows of each row under each rule."""
+    both = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), windows(F.col(text), width, name, short).alias("all")) for i, name in enumerate(RULES)])).alias("r")
+    return (df.select(*keys, both).select(*keys, "r.rule", F.posexplode("r.all").alias("pos", "w"))
+            .select(*keys, "rule", "pos", F.col("w.hash").alias("hash"), F.col("w.values").alias("slots")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, text_key, item_id, n_windows, n_item_windows, share, verbatim) for every leaked pair."""
-    items = _exploded(benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"]), ["item_id"], "text", width)
-    full = F.size("slots") >= width
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("all_windows"), F.count(F.when(~full, 1)).alias("literal_windows"))
-    items = (items.join(sizes, "item_id").where(~full | (F.col("literal_windows") == 0))
-             .select("item_id", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"),
+    texts = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
+    tokens = F.size(F.regexp_extract_all(encoded(F.col("text")), F.lit(r"<[^>]*|[\p{L}\p{N}]+"), 0))  # as many under either rule
+    texts = texts.select("item_id", "text", F.least(F.lit(width), tokens).alias("len"))
+    lengths = sorted({width} | {r.len for r in texts.select("len").distinct().collect() if r.len > 0})
+    items = _exploded(texts, ["item_id", "len"], "text", width, True)
+    full = F.size("slots") >= F.col("len")
+    sizes = items.groupBy("item_id", "rule").agg(F.count("*").alias("all_windows"), F.count(F.when(~full, 1)).alias("literal_windows"))
+    items = (items.join(sizes, ["item_id", "rule"]).where(~full | (F.col("literal_windows") == 0))
+             .select("item_id", "rule", "len", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"),
+                     ((F.col("literal_windows") == 0) & (F.col("len") < width)).alias("only_slots"),
                      F.when(F.col("literal_windows") > 0, F.col("literal_windows")).otherwise(F.col("all_windows")).alias("n_item_windows")))
-    d = _exploded(docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text"), ["doc_id", "text_key"], "text", width)
-    met = d.join(items, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    keys = ["doc_id", "text_key", "item_id", "shift"]
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    d = None
+    for n in lengths:  # one, and one more for each length of short items
+        part = _exploded(source, ["doc_id", "text_key"], "text", n, False).withColumn("len", F.lit(n))
+        d = part if d is None else d.unionByName(part)
+    met = d.join(items, ["len", "rule", "hash"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    keys = ["doc_id", "text_key", "item_id", "rule", "only_slots", "shift"]
     per = met.groupBy(*keys, "n_item_windows").agg(
         F.count_distinct("item_pos").alias("n_windows"),
         F.collect_set(F.when(F.size("slots") > 0, F.struct("item_pos", F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs")))).alias("seen"))
@@ -95,10 +110,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: flo
     per = per.withColumn("pairs", pairs).drop("seen")
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p.i))) == F.size("pairs")
     verbatim = F.forall("pairs", lambda p: p.i == p.d)
-    found = per.where(consistent & (F.col("n_windows") >= F.ceil(F.lit(share) * F.col("n_item_windows"))))
-    return found.groupBy("doc_id", "text_key", "item_id").agg(
-        F.max(F.col("n_windows")).alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"),
-        F.max(verbatim).alias("verbatim")).withColumn("share", F.col("n_windows") / F.col("n_item_windows"))
+    # a short item of placeholders alone, such as a number, would else be found wherever there is one
+    found = per.where(consistent & (~F.col("only_slots") | verbatim) & (F.col("n_windows") >= F.ceil(F.lit(share) * F.col("n_item_windows"))))
+    best = F.max(F.struct((F.col("n_windows") / F.col("n_item_windows")).alias("share"), "n_windows", "n_item_windows")).alias("best")
+    return found.groupBy("doc_id", "text_key", "item_id").agg(best, F.max(verbatim).alias("verbatim")).select(
+        "doc_id", "text_key", "item_id", "best.n_windows", "best.n_item_windows", "verbatim", "best.share")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE) -> DataFrame:

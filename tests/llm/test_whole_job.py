@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from standpoint.llm import secret_scan, tool_calls, toxicity_knn
+from standpoint.llm import secret_scan, template_decontamination, tool_calls, toxicity_knn
 
 
 def test_equal_votes_are_one_point():
@@ -60,3 +60,12 @@ def test_messages_with_calls_keep_their_content(spark):
     out = tool_calls.format_messages(m, tool_calls.TOOLS).orderBy("turn", "depth").collect()
     assert [(r.turn, r.role) for r in out] == [(0, "assistant"), (0, "call"), (1, "assistant"), (2, "assistant"), (3, "call"), (4, "assistant"), (4, "call")]
     assert [json.loads(r.json)["content"] for r in out if r.role == "assistant"] == ["Let me look", "Done", "", '[{"text":"part","type":"text"}]']
+
+
+def test_short_items_and_names_at_sentence_starts(spark):
+    names = "Tom has 5 pens. Tom buys 3 more. Tom sells 2 now. How many has Tom?"
+    b = spark.createDataFrame([(1, "Name the capital of Peru"), (2, names), (3, "42")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "first some words, Name the capital of Chile then more words follow here"), (2, names.replace("Tom", "Zoe").replace("5", "9")),
+                               (3, names.lower()), (4, "of 41 other things not a word is taken from anywhere"), (5, "name the capital")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in template_decontamination.leaks(d, b).collect()} == {(1, 1), (2, 2), (3, 2)}
+    assert [r.doc_id for r in template_decontamination.remove(d, b).orderBy("doc_id").collect()] == [4, 5]
