@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standpoint.llm import kneser_ney, pfair_mixing, quality_rules, secret_scan, simhash_anchors, suffix_dedup, template_decontamination, tool_calls, toxicity_knn, warc_archive
+from standpoint.llm import kneser_ney, pfair_mixing, quality_rules, secret_scan, seekable_fim, simhash_anchors, suffix_dedup, template_decontamination, tool_calls, toxicity_knn, warc_archive
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,8 +56,12 @@ def op10_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "item_id", "n_windows", "n_item_windows", "share", "verbatim")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return seekable_fim.digests(seekable_fim.fill_in_middle(_docs(spark, sf)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_toxicity_knn, op3_suffix_dedup, op4_pfair_mixing, op5_simhash_anchors, op6_secret_scan, op7_tool_calls, op8_warc_archive, op9_kneser_ney, op10_template_decontamination)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity_knn, op3_suffix_dedup, op4_pfair_mixing, op5_simhash_anchors, op6_secret_scan, op7_tool_calls, op8_warc_archive, op9_kneser_ney, op10_template_decontamination, op13_fill_in_middle)
 }
 
 _RULES = " + ".join(f"CASE WHEN {c} THEN {1 << r} ELSE 0 END" for r, (_, c) in enumerate(quality_rules.RULES))
@@ -93,4 +97,26 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op8_warc_archive": _OP8}
+_OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256(concat('1:', doc_id)) AS h
+  FROM documents),
+h AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle)
+                        ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op8_warc_archive": _OP8, "op13_fill_in_middle": _OP13}
