@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standpoint.llm import kneser_ney, pfair_mixing, quality_rules, secret_scan, seekable_fim, simhash_anchors, suffix_dedup, template_decontamination, tool_calls, toxicity_knn, warc_archive
+from standpoint.llm import bit_sliced_topk, conversation_repair, kneser_ney, pfair_mixing, quality_rules, secret_scan, seekable_fim, simhash_anchors, suffix_dedup, template_decontamination, tool_calls, toxicity_knn, warc_archive
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,12 +56,20 @@ def op10_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "item_id", "n_windows", "n_item_windows", "share", "verbatim")
 
 
+def op11_bit_sliced_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return bit_sliced_topk.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_repair.report(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     return seekable_fim.digests(seekable_fim.fill_in_middle(_docs(spark, sf)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_toxicity_knn, op3_suffix_dedup, op4_pfair_mixing, op5_simhash_anchors, op6_secret_scan, op7_tool_calls, op8_warc_archive, op9_kneser_ney, op10_template_decontamination, op13_fill_in_middle)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity_knn, op3_suffix_dedup, op4_pfair_mixing, op5_simhash_anchors, op6_secret_scan, op7_tool_calls, op8_warc_archive, op9_kneser_ney, op10_template_decontamination, op11_bit_sliced_topk, op12_conversation_repair, op13_fill_in_middle)
 }
 
 _RULES = " + ".join(f"CASE WHEN {c} THEN {1 << r} ELSE 0 END" for r, (_, c) in enumerate(quality_rules.RULES))
@@ -97,6 +105,18 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+_OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 20
+"""
+
 _OP13 = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256(concat('1:', doc_id)) AS h
@@ -119,4 +139,4 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM p
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op8_warc_archive": _OP8, "op13_fill_in_middle": _OP13}
+SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op8_warc_archive": _OP8, "op11_bit_sliced_topk": _OP11, "op13_fill_in_middle": _OP13}
