@@ -69,3 +69,25 @@ def test_short_items_and_names_at_sentence_starts(spark):
                                (3, names.lower()), (4, "of 41 other things not a word is taken from anywhere"), (5, "name the capital")], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in template_decontamination.leaks(d, b).collect()} == {(1, 1), (2, 2), (3, 2)}
     assert [r.doc_id for r in template_decontamination.remove(d, b).orderBy("doc_id").collect()] == [4, 5]
+
+
+def test_names_of_several_words_and_verbatim(spark):
+    item = "Maria Lopez drove 120 km in 2 hours from New York to Boston. How fast did Maria Lopez drive on the way to Boston?"
+    b = spark.createDataFrame([(1, item), (2, "A box holds 1 200 pens and 35 books for each of the 12 teachers in the school")], "item_id long, text string")
+    one = item.replace("Maria Lopez", "Ann").replace("New York", "Rome").replace("Boston", "Oslo")
+    docs = [(1, "Before. " + item + " After."), (2, one), (3, one.replace("Ann", "Mary Ann")), (4, item.replace("120 km", "one hundred km").replace("2 hours", "two hours")),
+            (6, "a box holds 7 pens and 9 books for each of the 4 teachers in the school"), (8, "Nothing of the kind stands here at all in this text.")]
+    d = spark.createDataFrame([(i, t, "k", 1) for i, t in docs], "doc_id long, text string, text_key string, leaked_id int")
+    got = {(r.doc_id, r.item_id): (r.verbatim, r.share) for r in template_decontamination.leaks(d, b).collect()}
+    assert {k: v for k, (v, _) in got.items()} == {(1, 1): True, (2, 1): False, (3, 1): False, (4, 1): False, (6, 2): False}
+    assert got[2, 1][1] == got[3, 1][1] == got[1, 1][1] == 1.0 and got[4, 1][1] < 1
+    kept = template_decontamination.remove(d, b)
+    assert kept.columns == d.columns and [r.doc_id for r in kept.orderBy("doc_id").collect()] == [8]
+
+
+def test_one_window_in_many_items_and_documents(spark):
+    line = "choose the right answer from the list given below and"
+    items = [(i, f"{line} mind that item{i} asks a thing of its own number{i} which differs from all the other items{i} in the list by more than a few words{i} of the whole text") for i in range(60)]
+    d = [(i, f"{line} go on with other words x{i}") for i in range(300)] + [(1000 + i, t.upper()) for i, t in items]
+    got = template_decontamination.leaks(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1000 + i, i) for i, _ in items}
