@@ -131,7 +131,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     lengths = sorted({WINDOW} | {r.len for r in items.select("len").distinct().collect()})  # at most WINDOW of them
     source = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     keys = ["doc_id", "text_key", "item_key", "shift"]
-    met = (_by_hash(source.select("doc_id", "text_key", F.explode(windows(tokens(F.col("text")), lengths)).alias("w")), ["doc_id", "text_key"], "w")
+    # the outer form, or Spark would work the windows out twice more to see whether there are any
+    cut = source.select("doc_id", "text_key", F.explode_outer(windows(tokens(F.col("text")), lengths)).alias("w")).where("w.len is not null")
+    met = (_by_hash(cut, ["doc_id", "text_key"], "w")
            .join(item_windows(items.dropDuplicates(["item_key"])), ["len", "hash"])
            .withColumn("rules", F.col("rules").bitwiseAND(F.col("item_rules"))).where("rules > 0"))
     # the windows of one alignment are at most those of one item
@@ -156,8 +158,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         good = some & let(pairs, lambda p: F.size(F.array_distinct(F.transform(p, lambda x: x.i))) == F.size(p)) & (~F.col(f"only{r}") | verbatim)
         this = F.struct((F.size(f"places{r}") / F.col(f"total{r}")).alias("share"), F.size(f"places{r}").alias("n_windows"), F.col(f"total{r}").alias("n_item_windows"))
         best = F.when(good, F.greatest(this, best)).otherwise(best)
-    checked = beside.select("doc_id", "text_key", "item_id", best.alias("best"), verbatim.alias("verbatim")).where("best.n_windows > 0")
-    return checked.groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best"), F.max("verbatim").alias("verbatim")).select(
+    checked = beside.select("doc_id", "text_key", "item_id", best.alias("best"), verbatim.alias("verbatim"))
+    # the condition comes after the grouping: before it, Spark would move it down and work the tokens out again for every use
+    found = checked.groupBy("doc_id", "text_key", "item_id").agg(F.max("best").alias("best"), F.max(F.when(F.col("best.n_windows") > 0, F.col("verbatim"))).alias("verbatim"))
+    return found.where("best.n_windows > 0").select(
         "doc_id", "text_key", "item_id", F.col("best.n_windows").cast("long").alias("n_windows"), "best.n_item_windows", "verbatim", "best.share")
 
 
