@@ -1,46 +1,64 @@
-"""Toxicity from the nearest labelled examples by exact cosine over whole texts.
-
-``fit`` takes at most ``EXAMPLES`` labelled texts (those with the smallest hashes of their ids; equal texts count once) and
-indexes all their words. A word's count in a text (one and its logarithm) is weighted by the word's idf over all documents
-and by its evidence: one and the G-test of how it tells the labels apart over the examples, so telling words weigh most and
-none is dropped. A query is multiplied with all examples in single precision, by postings and, for the commonest words, by a
-table; those that rounding could put among the ``NEIGHBOURS`` nearest are scored again in double precision: the result is that
-of scoring every example. Neighbours vote with weight 1 / (distance + ``SOFT``); the vote is calibrated by isotonic regression
-over the examples, each judged by the others. A text without any word of the examples has the examples' rate of that case.
-Every score names its neighbours as evidence.
-
-The fitted model is bounded by the examples' size, so it is broadcast; scoring is one map over whole texts.
-
-Defined cases: null and empty texts have no words; rows of a null id or a null label are not learned from; of several
-labels of one id the larger counts; equally similar examples rank by their number; repeated rows get equal scores; without any
-label the score is 0; an empty table gives an empty result; other columns are not read.
+"""Toxicity from the nearest labelled examples by exact cosine over whole texts, with a block-max inverted index.
+
+``fit`` takes at most ``EXAMPLES`` labelled texts of at most ``EXAMPLE_CHARS`` characters together (in the order of the hashes of
+their ids; equal texts count once) and indexes all their words. A word's count in a text (one and its logarithm) is weighted
+by the word's idf over all documents and by its evidence: one and the G-test of how it tells the labels apart over the examples,
+so telling words weigh most and none is dropped. Words are told apart by 64-bit hashes.
+
+Examples lie in order of likeness (groups of like common words, by length inside a group) and are cut into blocks. A group's
+commonest words, whose postings are long, are kept as dense rows with the largest weight per block; all other words as postings.
+A text first meets the postings of its rarer words, which gives every example a part of its similarity and every block an upper
+bound: the best part inside it and, for the common words, the block's largest weights. The best blocks are scored first and set
+a threshold; blocks whose bound is below it are skipped. Examples that single precision could put among the ``NEIGHBOURS`` nearest
+are scored again in double precision: the result is that of scoring every example. Neighbours vote with weight
+1 / (distance + ``SOFT``); the vote is calibrated by isotonic regression over the examples, each judged by the others. A text
+without any word of the examples has the examples' rate of that case. Every score names its neighbours as evidence.
+
+The index is built in one task from the bounded sample, stored as arrays in the shared folder and mapped by the workers; the driver
+sees only the examples' votes. Scoring is one map over whole texts.
+
+Defined cases: null and empty texts have no words; rows of a null id or a null label are not learned from, labels without a
+document neither; of several labels of one id the larger counts; equally similar examples rank by their number; repeated rows get
+equal scores; without any label the score is 0; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from standpoint.session import cut_lineage
+from standpoint.llm.shared_files import map_array, save_array
+from standpoint.session import cut_lineage, shared_dir
 
-EXAMPLES, NEIGHBOURS = 20_000, 16
-#: The words of the longest postings are held as a dense table; so many texts are multiplied with it at a time.
-COMMON, TOGETHER = 256, 16
+EXAMPLES, EXAMPLE_CHARS, NEIGHBOURS = 20_000, 200_000_000, 16
+#: Groups of like examples, common words of a group, examples of a block, texts worked on together, blocks that set the threshold.
+GROUPS, COMMON, BLOCK, TOGETHER, FIRST = 8, 512, 64, 64, 3
 SOFT = 0.05
 WORD = re.compile(r"[^\W_]+")
+NAMES = ("vocabulary", "weight", "labels", "ids", "starts", "words", "weights", "groups", "common", "table", "blocks", "largest", "edges", "example", "part")
 
 
 def term_counts(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
+def hashed(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, in order, and their counts."""
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in counts), np.uint64, len(counts))
+    order = np.argsort(h)
+    return h[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
+
+
 def evidence(k: np.ndarray, n: np.ndarray, positive: int, total: int) -> np.ndarray:
     """One and twice the log-likelihood ratio (G-test) of words in ``n`` of ``total`` examples, ``k`` of them among the ``positive``."""
     negative, out = total - positive, np.ones(len(n))
@@ -51,10 +69,6 @@ def evidence(k: np.ndarray, n: np.ndarray, positive: int, total: int) -> np.ndar
     return np.maximum(out, 1.0)
 
 
-def as_arrays(vector) -> tuple[np.ndarray, np.ndarray]:
-    return (np.array(list(vector), np.int32), np.array(list(vector.values()), np.float64)) if isinstance(vector, dict) else vector
-
-
 def spots(edges: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the runs ``which`` of an array cut at ``edges``, and the runs' lengths."""
     lo = edges[which]
@@ -62,108 +76,139 @@ def spots(edges: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
 
 
-def weighted(words: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w = (1 + np.log(counts.astype(np.float64))) * idf[words]
+def weighted(words: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(counts.astype(np.float64))) * weight[words]
     norm = math.sqrt(float((w * w).sum()))
     return (words, w / norm) if norm else (words[:0], w[:0])
 
 
-def counted_words(text: str | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers, in order, and counts of the known words of a text."""
-    known = sorted((i, c) for t, c in term_counts(text).items() if (i := number.get(t)) is not None)
-    return np.array([i for i, _ in known], np.int32), np.array([c for _, c in known], np.int32)
-
-
-def unpacked(parts: list[bytes], sizes: np.ndarray, idf: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> Index:
-    raw = [zstandard.ZstdDecompressor().decompress(x) for x in parts]
-    steps, counts = (np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.int32).ravel() for x in raw[1:])
-    cuts = np.cumsum(sizes)[:-1]
-    counted = list(zip(np.split(np.cumsum(steps, dtype=np.int32), cuts), np.split(counts, cuts), strict=True)) if len(sizes) else []
-    return Index.of_counts(raw[0].decode("utf-8", "surrogatepass").split("\n") if len(idf) else [], idf, counted, labels, ids)
+def likeness(words: np.ndarray, weights: np.ndarray, owner: np.ndarray, many: int, terms: int, groups: int) -> np.ndarray:
+    """Groups of examples with like common words: k-means over the commonest words, from evenly spread examples."""
+    k = max(1, min(groups, many // BLOCK))
+    top = np.argsort(-np.bincount(words, minlength=terms), kind="stable")[:2 * COMMON]
+    at = np.full(terms, -1, np.int64)
+    at[top] = np.arange(len(top))
+    there = at[words] >= 0
+    d = np.zeros((many, len(top)), np.float32)
+    d[owner[there], at[words[there]]] = weights[there]
+    d /= np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-9)
+    centres = d[np.linspace(0, many - 1, k).astype(int)]
+    group = np.zeros(many, np.int64)
+    for _ in range(8):
+        group = (d @ centres.T).argmax(1)
+        centres = np.stack([d[group == g].sum(0) if (group == g).any() else centres[g] for g in range(k)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return group
+
+
+def arrays_of(vocabulary: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+    """The index of examples given as (words, weights); see ``NAMES``."""
+    many, terms = len(vectors), len(weight)
+    sizes = np.array([len(w) for w, _ in vectors], np.int64)
+    words = np.concatenate([np.zeros(0, np.int32), *[w for w, _ in vectors]]).astype(np.int32)
+    weights = np.concatenate([np.zeros(0), *[v for _, v in vectors]])
+    group = likeness(words, weights, np.repeat(np.arange(many), sizes), many, terms, GROUPS) if many else np.zeros(0, np.int64)
+    order = np.lexsort((np.arange(many), sizes, group))
+    at, n = spots(np.concatenate([[0], np.cumsum(sizes)]), order)
+    words, weights, sizes, group = words[at], weights[at], sizes[order], group[order]
+    owner = np.repeat(np.arange(many, dtype=np.int32), sizes)
+    cuts = np.searchsorted(group, np.arange((int(group.max()) if many else 0) + 2))
+    common = np.full((len(cuts) - 1, terms), -1, np.int16)
+    width = min(COMMON, terms)
+    table = np.zeros((many, width), np.float32)
+    for g, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        mine = slice(*np.searchsorted(owner, [lo, hi]))
+        top = np.argsort(-np.bincount(words[mine], minlength=terms), kind="stable")[:width]
+        common[g, top] = np.arange(len(top))
+        place = common[g, words[mine]]
+        table[owner[mine][place >= 0], place[place >= 0]] = weights[mine][place >= 0]
+    blocks = np.unique(np.concatenate([np.arange(lo, hi, BLOCK) for lo, hi in zip(cuts, cuts[1:], strict=False)]) if many else np.zeros(0, np.int64))
+    largest = np.maximum.reduceat(table, blocks, axis=0) if many else table
+    rare = np.flatnonzero(common[group[owner], words] < 0) if many else np.zeros(0, np.int64)
+    rare = rare[np.argsort(words[rare], kind="stable")]
+    edges = np.searchsorted(words[rare], np.arange(terms + 1))
+    return dict(zip(NAMES, (vocabulary, weight, labels[order], ids[order], np.concatenate([[0], np.cumsum(sizes)]), words, weights, cuts, common, table, blocks, largest,
+                            edges, owner[rare], weights[rare].astype(np.float32)), strict=True))
 
 
 class Index:
-    """Examples as normalised vectors over the words of all of them, by example and in postings (of the commonest words a
-    table). ``idf`` holds what a word's count is weighted by; vectors are dictionaries or pairs of arrays (words, weights)."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list, labels: np.ndarray, ids: np.ndarray):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf, self.ids, self.labels = idf, ids, labels
-        pairs = [as_arrays(v) for v in vectors]
-        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in pairs], dtype=np.int64)])
-        self.words = np.concatenate([np.zeros(0, np.int32), *[t for t, _ in pairs]])
-        self.weights = np.concatenate([np.zeros(0), *[w for _, w in pairs]])
-        often = np.argsort(-np.bincount(self.words, minlength=len(terms)), kind="stable")[:COMMON]
-        self.common = np.full(len(terms), -1, np.int32)
-        self.common[often] = np.arange(len(often))
-        example, common = np.repeat(np.arange(len(pairs), dtype=np.int32), np.diff(self.starts)), self.common[self.words]
-        self.table = np.zeros((len(often), len(pairs)), np.float32)
-        self.table[common[common >= 0], example[common >= 0]] = self.weights[common >= 0]
-        rare = np.flatnonzero(common < 0)
-        rare = rare[np.argsort(self.words[rare], kind="stable")]
-        self.edges = np.searchsorted(self.words[rare], np.arange(len(terms) + 1))
-        self.example, self.weight = example[rare], self.weights[rare].astype(np.float32)
-        self.map: tuple[np.ndarray, np.ndarray] | None = None
-        self.silent = 0.0
-        self.counted: list[tuple[np.ndarray, np.ndarray]] | None = None if vectors else []
-        self.sent = None
-
-    @classmethod
-    def of_counts(cls, terms: list[str], idf: np.ndarray, counted: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray) -> Index:
-        """From each example's words and their counts, which is how the index travels."""
-        out = cls(terms, idf, [weighted(w, c, idf) for w, c in counted], labels, ids)
-        out.counted = counted
-        return out
-
-    def __reduce__(self):
-        compress = zstandard.ZstdCompressor().compress
-        sizes, words, counts = np.array([len(w) for w, _ in self.counted], np.int64), *(np.concatenate([np.zeros(0, np.int32), *[v[i] for v in self.counted]]) for i in (0, 1))
-        parts = [compress("\n".join(self.number).encode("utf-8", "surrogatepass")), *(compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in (np.diff(words, prepend=np.int32(0)), counts))]
-        return unpacked, (parts, sizes, self.idf, self.labels, self.ids)
-
-    def shared(self, spark: SparkSession):
-        """One broadcast for all uses; the calibration, which comes later, goes with each use."""
-        if self.sent is None:
-            self.sent = spark.sparkContext.broadcast(self)
-        return self.sent
-
-    def arrays(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        known = [(i, c) for t, c in counts.items() if (i := self.number.get(t)) is not None]
-        return weighted(np.array([i for i, _ in known], np.int32), np.array([c for _, c in known], np.int32), self.idf)
+    """Examples by number and in postings, over arrays in memory or mapped from a folder."""
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        terms, weights = self.arrays(counts)
-        return dict(zip(terms.tolist(), weights.tolist(), strict=True))
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.__dict__.update(arrays)
+        self.query = np.zeros(len(self.weight))
+        self.met = self.skipped = 0
 
-    def nearest(self, vector, but: int = -1, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
+    def arrays(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """A text as (words, weights) over the vocabulary."""
+        h, n = hashed(counts)
+        at = np.searchsorted(self.vocabulary, h)
+        known = at < len(self.vocabulary)
+        known[known] = self.vocabulary[at[known]] == h[known]
+        return weighted(at[known], n[known], self.weight)
+
+    def example_vector(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        mine = slice(self.starts[e], self.starts[e + 1])
+        return np.asarray(self.words[mine]), np.asarray(self.weights[mine])
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], but: int = -1, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
         """The k most similar examples with a similarity above zero, exactly; ``but`` is left out."""
-        return next(self.nearest_of([as_arrays(vector)], [but], k))
+        return next(self.nearest_of([vector], [but], k))
 
     def nearest_of(self, vectors: list, buts: list[int], k: int = NEIGHBOURS):
-        """``nearest`` of each. All examples are scored in single precision; those that its rounding could put among the k
-        best are scored again in double precision."""
-        many, query = len(self.labels), np.zeros(len(self.idf))
+        """``nearest`` of each vector."""
+        many = len(self.labels)
+        ends = np.append(self.blocks[1:], many)
+        group_of = np.searchsorted(self.groups, self.blocks, side="right") - 1
         for at in range(0, len(vectors), TOGETHER):
-            some = vectors[at:at + TOGETHER]
+            some, own = vectors[at:at + TOGETHER], buts[at:at + TOGETHER]
+            if not many:
+                yield from ([] for _ in some)
+                continue
             terms, weights = (np.concatenate([v[i] for v in some]) for i in (0, 1))
             owner = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
-            common = self.common[terms]
-            there = common >= 0
-            dense = np.zeros((len(some), len(self.table)), np.float32)
-            dense[owner[there], common[there]] = weights[there]
-            rough = dense @ self.table
-            where, n = spots(self.edges, terms[~there])
-            if len(where):
-                rough += np.bincount(self.example[where] + np.repeat(owner[~there] * many, n), self.weight[where] * np.repeat(weights[~there], n), rough.size).reshape(rough.shape)
-            for (t, w), row, but in zip(some, rough, buts[at:at + TOGETHER], strict=True):
+            where, n = spots(self.edges, terms)
+            rough = np.bincount(self.example[where] + np.repeat(owner * many, n), self.part[where] * np.repeat(weights, n), len(some) * many).astype(np.float64, copy=False).reshape(len(some), many)
+            bound = np.maximum.reduceat(rough, self.blocks, axis=1)
+            dense = []
+            for g in range(len(self.groups) - 1):
+                place = self.common[g][terms]
+                d = np.zeros((len(some), self.table.shape[1]), np.float32)
+                d[owner[place >= 0], place[place >= 0]] = weights[place >= 0]
+                dense.append(d)
+                bound[:, group_of == g] += d @ self.largest[group_of == g].T
+            least = np.zeros(len(some))
+            for i, b in enumerate(own):
+                first = np.argpartition(-bound[i], FIRST)[:FIRST] if len(self.blocks) > FIRST else np.arange(len(self.blocks))
+                sims = [rough[i, self.blocks[f]:ends[f]] + self.table[self.blocks[f]:ends[f]] @ dense[group_of[f]][i] for f in first]
+                for f, s in zip(first, sims, strict=True):
+                    if self.blocks[f] <= b < ends[f]:
+                        s[b - self.blocks[f]] = 0.0
+                sims = np.concatenate(sims)
+                least[i] = np.partition(sims, len(sims) - k)[len(sims) - k] if len(sims) > k else 0.0
+            alive = (bound > 0) & (bound * (1 + 1e-4) >= least[:, None])  # sums of few hundred products in single precision err by less
+            self.met, self.skipped = self.met + alive.size, self.skipped + int((~alive).sum())
+            for g, d in enumerate(dense):
+                mine = np.flatnonzero(group_of == g)
+                texts = np.flatnonzero(alive[:, mine].any(axis=1))
+                if not len(texts):
+                    continue
+                used = mine[alive[np.ix_(texts, mine)].any(axis=0)]
+                if len(used) > 0.7 * len(mine):
+                    lo, hi = self.blocks[mine[0]], ends[mine[-1]]
+                    rough[texts, lo:hi] += d[texts] @ self.table[lo:hi].T
+                else:
+                    who = np.concatenate([np.arange(self.blocks[b], ends[b]) for b in used])
+                    rough[np.ix_(texts, who)] += d[texts] @ self.table[who].T
+            for (t, w), row, but in zip(some, rough, own, strict=True):
                 if but >= 0:
                     row[but] = 0.0
-                least = float(np.partition(row, many - k)[many - k]) if many > k else 0.0
-                who = np.flatnonzero((row > 0) & (row >= least * (1 - 1e-4)))  # sums of few hundred products of no sign err by less
+                limit = float(np.partition(row, many - k)[many - k]) if many > k else 0.0
+                who = np.flatnonzero((row > 0) & (row >= limit * (1 - 1e-4)))
                 where, n = spots(self.starts, who)
-                query[t] = w
-                sims = np.round(np.bincount(np.repeat(np.arange(len(who)), n), query[self.words[where]] * self.weights[where], len(who)), 12)
-                query[t] = 0.0
+                self.query[t] = w
+                sims = np.round(np.bincount(np.repeat(np.arange(len(who)), n), self.query[self.words[where]] * self.weights[where], len(who)), 12)
+                self.query[t] = 0.0
                 best = np.lexsort((who, -sims))[:k]
                 yield [(int(e), float(s)) for e, s in zip(who[best], sims[best], strict=True) if s > 0]
 
@@ -171,127 +216,163 @@ class Index:
         w = np.array([1 / (1 - min(1.0, s) + SOFT) for _, s in near])
         return float((w * self.labels[[e for e, _ in near]]).sum() / w.sum())
 
-    def calibrate(self, pairs: list[tuple[float, float]], silent_rate: float) -> None:
-        """Isotonic regression of (vote, label), in any order; equal votes are one point."""
-        self.silent = silent_rate
-        points: dict[float, list[float]] = {}
-        for x, y in pairs:
-            p = points.setdefault(round(x, 9), [0.0, 0.0])
-            p[0] += y
-            p[1] += 1.0
-        stack: list[list[float]] = []
-        for x in sorted(points):
-            stack.append([*points[x], x])
-            while len(stack) > 1 and stack[-2][0] / stack[-2][1] >= stack[-1][0] / stack[-1][1]:
-                y2, n2, x2 = stack.pop()
-                stack[-1] = [stack[-1][0] + y2, stack[-1][1] + n2, x2]
-        rate = float(self.labels.mean()) if len(self.labels) else 0.0
-        if stack:
-            self.map = np.array([s[2] for s in stack]), np.array([(s[0] + rate) / (s[1] + 1) for s in stack])
-
-    def scores(self, texts: list[str | None], silent: float, steps: tuple[np.ndarray, np.ndarray] | None):
+
+_LOADED: dict[str, Index] = {}
+
+
+def load(folder: str) -> Index:
+    """The index of a folder, mapped once a worker."""
+    if folder not in _LOADED:
+        _LOADED.clear()
+        _LOADED[folder] = Index({n: map_array(folder, f"{n}.npy") for n in NAMES})
+    return _LOADED[folder]
+
+
+def calibrated(pairs: list[tuple[float, float]], rate: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Isotonic regression of (vote, label), in any order; equal votes are one point. Steps as (votes, scores)."""
+    points: dict[float, list[float]] = {}
+    for x, y in pairs:
+        p = points.setdefault(round(x, 9), [0.0, 0.0])
+        p[0] += y
+        p[1] += 1.0
+    stack: list[list[float]] = []
+    for x in sorted(points):
+        stack.append([*points[x], x])
+        while len(stack) > 1 and stack[-2][0] / stack[-2][1] >= stack[-1][0] / stack[-1][1]:
+            y2, n2, x2 = stack.pop()
+            stack[-1] = [stack[-1][0] + y2, stack[-1][1] + n2, x2]
+    return (np.array([s[2] for s in stack]), np.array([(s[0] + rate) / (s[1] + 1) for s in stack])) if stack else None
+
+
+@dataclass
+class Model:
+    """Where the index lies, the score of texts without neighbours, and the calibration."""
+
+    folder: str | None
+    silent: float = 0.0
+    steps: tuple[np.ndarray, np.ndarray] | None = None
+
+    def scores(self, index: Index, texts: list[str | None]):
         """(score, neighbours) of each text."""
-        for near in self.nearest_of([self.arrays(term_counts(t)) for t in texts], [-1] * len(texts)):
+        for near in index.nearest_of([index.arrays(term_counts(t)) for t in texts], [-1] * len(texts)):
             if not near:
-                yield silent, []
+                yield self.silent, []
                 continue
-            v = self.vote(near)
-            yield v if steps is None else float(steps[1][min(np.searchsorted(steps[0], round(v, 9)), len(steps[0]) - 1)]), near
+            v = index.vote(near)
+            yield v if self.steps is None else float(self.steps[1][min(np.searchsorted(self.steps[0], round(v, 9)), len(self.steps[0]) - 1)]), near
 
 
-def votes(spark: SparkSession, index: Index) -> list[tuple[float, float]]:
-    """(vote, label) of each example, judged by the others; as many rows as examples at most."""
-    shared = index.shared(spark)
+def sample(docs: DataFrame, labels: DataFrame, examples: int, chars: int) -> DataFrame:
+    """The labelled texts to learn from (id, y, text)."""
+    label = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
+    d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
+    distinct = (d.select("id", "h", F.length("text").alias("n")).join(label, "id").groupBy("h").agg(F.min_by(F.struct("id", "y", "n"), "id").alias("r"))
+                .select("h", "r.*").orderBy(F.xxhash64("id"), "id").limit(examples))
+    so_far = F.sum(F.coalesce("n", F.lit(0))).over(W.orderBy(F.xxhash64("id"), "id"))  # over at most ``examples`` rows
+    chosen = distinct.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("id", "h", "y")
+    return cut_lineage(d.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["h"]).select("id", "y", "text"))
 
-    def run(batches):
-        ix = shared.value
-        for b in batches:
-            of = b.column(0).to_pylist()
-            own = [tuple(a[ix.starts[e]:ix.starts[e + 1]] for a in (ix.words, ix.weights)) for e in of]
-            got = [(ix.vote(near), float(ix.labels[e])) for e, near in zip(of, ix.nearest_of(own, of), strict=True) if near]
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)], names=["vote", "label"])
-
-    return [tuple(r) for r in spark.range(len(index.labels)).repartition(16).mapInArrow(run, "vote double, label double").collect()]
 
+def _vectors(batches):
+    for b in batches:
+        got = [hashed(term_counts(t)) for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([v[i].tobytes() for v in got], pa.binary()) for i in (0, 1)]], names=["id", "y", "hashes", "counts"])
 
-def document_counts(docs: DataFrame, shared) -> np.ndarray:
-    """In how many rows of ``docs`` each of the words of a shared dictionary occurs."""
 
+def _gather(folder: str):
+    """One task: all examples, by id, with their words numbered in a common vocabulary."""
     def run(batches):
-        known, n = shared.value, np.zeros(len(shared.value), np.int64)
+        rows = sorted(((i, y, np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)) for b in batches for i, y, h, c in zip(*(x.to_pylist() for x in b.columns), strict=True)), key=lambda r: r[0])
+        every = np.concatenate([np.zeros(0, np.uint64), *[r[2] for r in rows]])
+        vocabulary, words = np.unique(every, return_inverse=True)
+        for name, a in (("vocabulary", vocabulary), ("all_words", words.astype(np.int32)), ("all_counts", np.concatenate([np.zeros(0, np.int32), *[r[3] for r in rows]])),
+                        ("all_sizes", np.array([len(r[2]) for r in rows], np.int64)), ("all_ids", np.array([r[0] for r in rows], np.int64)), ("all_labels", np.array([r[1] for r in rows], float))):
+            save_array(folder, f"{name}.npy", a)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int64())})
+    return run
+
+
+def document_counts(docs: DataFrame, folder: str) -> DataFrame:
+    """In how many rows of ``docs`` each word of the vocabulary occurs: (term, n)."""
+    def run(batches):
+        vocabulary = np.asarray(map_array(folder, "vocabulary.npy"))
+        n = np.zeros(len(vocabulary), np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                n[[i for w in set(WORD.findall((t or "").lower())) if (i := known.get(w)) is not None]] += 1
+                h = np.fromiter((xxhash.xxh64_intdigest(w) for w in set(WORD.findall((t or "").lower()))), np.uint64)
+                at = np.searchsorted(vocabulary, h)
+                at[at == len(vocabulary)] = 0
+                n[at[vocabulary[at] == h]] += 1
         some = np.flatnonzero(n)
         for i in range(0, len(some), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[i:i + 50_000].astype(np.int32)), pa.array(n[some[i:i + 50_000]])], names=["term", "n"])
 
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(shared.value), np.int64)
-    out[got["term"].to_numpy()] = got["n"].to_numpy()
-    return out
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
-    """``labels``: doc_id, toxic (0 or 1). Learns from all its rows that have a document."""
-    spark = docs.sparkSession
-    chosen = (labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).dropna()
-              .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(examples))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    texts = texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.min_by(F.struct("id", "y", "text"), "id").alias("r")).select("r.*")
-    texts = cut_lineage(texts.select("id", "y", "text"))
-
-    def spread(batches):
-        n: dict[str, list[int]] = {"": [0, 0]}  # counts the examples
+def _build(folder: str, documents: int):
+    """One task: document counts in, the index out."""
+    def run(batches):
+        vocabulary, words, counts, sizes, ids, y = (np.asarray(map_array(folder, f"{n}.npy")) for n in ("vocabulary", "all_words", "all_counts", "all_sizes", "all_ids", "all_labels"))
+        df = np.ones(len(vocabulary), np.int64)
         for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in {"", *WORD.findall((t or "").lower())}:
-                    c = n.setdefault(w, [0, 0])
-                    c[0] += 1
-                    c[1] += y
-        yield pa.RecordBatch.from_arrays([pa.array(list(n)), *[pa.array([c[i] for c in n.values()], pa.int64()) for i in (0, 1)]], names=["term", "n", "k"])
-
-    # as many rows as the examples have words
-    words = (texts.select("y", "text").mapInArrow(spread, "term string, n long, k long").groupBy("term")
-             .agg(F.sum("n").alias("n"), F.sum("k").alias("k")).orderBy("term").toArrow())
-    names, n, k = words["term"].to_pylist(), words["n"].to_numpy(), words["k"].to_numpy()
-    if not names or not n[0]:
-        return Index([], np.zeros(0), [], np.zeros(0), np.zeros(0, np.int64))
-    total, positive = int(n[0]), int(k[0])
-    names = names[1:]
-    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})
-    idf = np.log(1 + docs.count() / np.maximum(document_counts(docs, shared), 1)) * evidence(k[1:], n[1:], positive, total)
-
-    def count(batches):
+            df[b.column(0).to_numpy()] = np.maximum(b.column(1).to_numpy(), 1)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        toxic = np.repeat(y, sizes)
+        n, k = np.bincount(words, minlength=len(vocabulary)).astype(float), np.bincount(words, toxic, len(vocabulary))
+        weight = np.log(1 + documents / df) * evidence(k, n, int(y.sum()), len(y))
+        heard = np.flatnonzero(sizes > 0)
+        vectors = [weighted(words[starts[e]:starts[e + 1]], counts[starts[e]:starts[e + 1]], weight) for e in heard]
+        for name, a in arrays_of(vocabulary, weight, vectors, y[heard], ids[heard]).items():
+            save_array(folder, f"{name}.npy", np.ascontiguousarray(a))
+        yield pa.RecordBatch.from_pydict({"heard": pa.array([len(heard)], pa.int64()), "toxic": pa.array([float(y[heard].sum())]), "positive": pa.array([float(y.sum())])})
+    return run
+
+
+def votes(spark: SparkSession, folder: str, many: int) -> list[tuple[float, float]]:
+    """(vote, label) of each example, judged by the others; as many rows as examples at most."""
+    def run(batches):
+        ix = load(folder)
         for b in batches:
-            got = [counted_words(t, shared.value) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([v[i].tobytes() for v in got], pa.binary()) for i in (0, 1)]], names=["id", "y", "terms", "counts"])
+            of = b.column(0).to_pylist()
+            got = [(ix.vote(near), float(ix.labels[e])) for e, near in zip(of, ix.nearest_of([ix.example_vector(e) for e in of], of), strict=True) if near]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)], names=["vote", "label"])
 
-    rows = texts.mapInArrow(count, "id long, y int, terms binary, counts binary").toArrow()
-    ids, y = rows["id"].to_numpy(), rows["y"].to_numpy().astype(float)
-    counted = [(np.frombuffer(t.as_py(), np.int32), np.frombuffer(c.as_py(), np.int32)) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
-    order = sorted((i for i, v in enumerate(counted) if len(v[0])), key=lambda i: ids[i])
-    index = Index.of_counts(names, idf, [counted[i] for i in order], y[order], ids[order])
-    heard, toxic = len(order), int(index.labels.sum())
-    index.calibrate(votes(spark, index), (positive - toxic) / (total - heard) if total > heard else positive / total)
-    return index
+    return [tuple(r) for r in spark.range(many).repartition(16).mapInArrow(run, "vote double, label double").collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> Model:
+    """``labels``: doc_id, toxic (0 or 1). Learns from its rows that have a document."""
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/nearest-{uuid.uuid4().hex}"
+    vectors = cut_lineage(sample(docs, labels, examples, chars).mapInArrow(_vectors, "id long, y int, hashes binary, counts binary"))
+    total = vectors.repartition(1).mapInArrow(_gather(folder), "n long").agg(F.sum("n")).first()[0]
+    if not total:
+        return Model(None)
+    counts = cut_lineage(document_counts(docs, folder))
+    built = counts.repartition(1).mapInArrow(_build(folder, docs.count()), "heard long, toxic double, positive double").collect()
+    heard, toxic, positive = built[0] if built else (0, 0.0, 0.0)
+    if not heard:
+        return Model(None, positive / total)
+    steps = calibrated(votes(spark, folder, heard), toxic / heard)
+    return Model(folder, (positive - toxic) / (total - heard) if total > heard else positive / total, steps)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 
 
-def score(docs: DataFrame, index: Index) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence), one row per row of ``docs(doc_id, held_out, text)``."""
-    shared, silent, steps = index.shared(docs.sparkSession), index.silent, index.map
-    evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+    evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
-        ix = shared.value
-        for b in batches:
-            got = list(ix.scores(b.column(2).to_pylist(), silent, steps))
+        ix = None if model.folder is None else load(model.folder)
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            texts = b.column(2).to_pylist()
+            got = [(model.silent, [])] * len(texts) if ix is None else list(model.scores(ix, texts))
             near = [[{"doc_id": int(ix.ids[e]), "similarity": s, "toxic": int(ix.labels[e])} for e, s in n] for _, n in got]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()),
-                                              pa.array(near, evidence)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+                                              pa.array(near, evidence_type)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     return docs.select("doc_id", "held_out", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

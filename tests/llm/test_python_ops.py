@@ -204,15 +204,35 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity_knn.score_documents(docs(spark, rows), labels.limit(0)).collect()} == {0.0}
 
 
-def test_block_max_is_exact():
-    rng = random.Random(6)
-    terms = [f"t{i}" for i in range(12)]
-    index = toxicity_knn.Index(terms, np.array([1.0 + i / 5 for i in range(12)]), [], np.zeros(0), np.zeros(0))
-    vectors = [index.vector(Counter(rng.choices(terms, k=rng.randint(1, 6)))) for _ in range(700)]
-    index = toxicity_knn.Index(terms, index.idf, vectors, np.zeros(700), np.arange(700))
-    for e in range(0, 700, 23):
-        sims = sorted((-round(sum(w * v.get(t, 0) for t, w in vectors[e].items()), 12), i) for i, v in enumerate(vectors) if i != e)
-        assert [i for i, _ in index.nearest(vectors[e], but=e)] == [i for s, i in sims if s < 0][:16]
+def test_few_words_and_many_ties_are_exact():
+    from tests.llm.test_whole_job import assert_exact, vectors_over
+    assert_exact(*vectors_over(np.array([1.0 + i / 5 for i in range(12)]), 700, 6), 23)
+
+
+def test_toxicity_against_scoring_all_examples(spark):
+    """The query's votes and neighbours from every example, recounted in plain Python."""
+    rng = random.Random(9)
+    word = lambda: rng.choice("alpha beta gamma delta rho sigma tau phi chi psi".split()) + str(rng.randint(0, 9))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(1, 12))) + (" grub" if i % 7 == 0 else "") + f" own{i}") for i in range(90)] + [(200, None)]
+    toxic = {i: int(i % 7 == 0) for i in range(90)}
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity_knn.score_documents(docs(spark, rows), labels).collect()}
+    counts = {i: Counter(re.findall(r"[a-z0-9]+", t or "")) for i, t in rows}
+    train = [i for i in range(90) if zlib.crc32(str(i).encode()) % 5]
+    positive, weight = sum(toxic[i] for i in train), {}
+    for w in {w for i in train for w in counts[i]}:
+        n, k = sum(w in counts[i] for i in train), sum(w in counts[i] and toxic[i] for i in train)
+        g = 2 * sum(s * math.log(s / e) for s, e in ((k, n * positive / len(train)), (n - k, n * (len(train) - positive) / len(train)), (positive - k, (len(train) - n) * positive / len(train)),
+                                                     (len(train) - positive - n + k, (len(train) - n) * (len(train) - positive) / len(train))) if s > 0)
+        weight[w] = math.log(1 + len(rows) / sum(w in c for c in counts.values())) * max(1, 1 + g)
+    vec = {i: {w: (1 + math.log(n)) * weight[w] for w, n in c.items() if w in weight} for i, c in counts.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) or 1 for i, v in vec.items()}
+    for i, v in vec.items():
+        sims = {e: sum(x * vec[e].get(w, 0) for w, x in v.items()) / norm[i] / norm[e] for e in train}
+        best = sorted((s for s in sims.values() if s > 0), reverse=True)[:16]
+        assert np.allclose(best, [e.similarity for e in got[i].evidence], atol=1e-9)
+        assert all(abs(sims[e.doc_id] - e.similarity) < 1e-9 and e.toxic == toxic[e.doc_id] for e in got[i].evidence)
+    assert toxicity_knn.score_documents(docs(spark, rows).limit(0), labels).count() == 0
 
 
 def test_pipeline(spark):

@@ -10,10 +10,9 @@ from standpoint.llm import secret_scan, template_decontamination, tool_calls, to
 
 
 def test_equal_votes_are_one_point():
-    index = toxicity_knn.Index(["x"], np.array([1.0]), [{0: 1.0}], np.array([1.0]), np.array([7]))
-    index.calibrate([(0.0, 0.0)] * 1000 + [(1.0, 0.0)] + [(1.0, 1.0)] * 100, 0.0)
-    assert len(index.map[0]) == len(set(index.map[0].tolist())) == 2
-    assert abs(index.map[1][np.searchsorted(index.map[0], 1.0 - 1e-9)] - 100 / 101) < 0.02
+    votes, scores = toxicity_knn.calibrated([(0.0, 0.0)] * 1000 + [(1.0, 0.0)] + [(1.0, 1.0)] * 100, 1.0)
+    assert len(votes) == len(set(votes.tolist())) == 2
+    assert abs(scores[np.searchsorted(votes, 1.0 - 1e-9)] - 100 / 101) < 0.02
 
 
 def test_no_word_is_dropped(spark):
@@ -23,23 +22,51 @@ def test_no_word_is_dropped(spark):
     rows = [(i, plain() + (" foul grubworm" if i < 4 else "")) for i in range(40)] + [(100, plain() + " grubworm"), (101, plain()), (102, None)]
     labels = spark.createDataFrame([(i, int(i < 4)) for i in range(40)], "doc_id long, toxic int")
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    index = toxicity_knn.fit(d, labels)
-    assert {"grubworm", "foul", "tree", "road"} <= set(index.number)
-    got = {r.doc_id: r for r in toxicity_knn.score(d.selectExpr("doc_id", "false AS held_out", "text"), index).collect()}
+    model = toxicity_knn.fit(d, labels)
+    known = toxicity_knn.load(model.folder).vocabulary
+    assert set(toxicity_knn.hashed(Counter(["grubworm", "foul", "tree", "road"]))[0].tolist()) <= set(known.tolist())
+    got = {r.doc_id: r for r in toxicity_knn.score(d.selectExpr("doc_id", "false AS held_out", "text"), model).collect()}
     assert all(r.evidence for i, r in got.items() if i != 102) and not got[102].evidence
     assert got[100].score > got[101].score and sum(e.toxic for e in got[100].evidence[:4]) == 4
 
 
 def test_nearest_with_rare_words_is_exact(monkeypatch):
     monkeypatch.setattr(toxicity_knn, "COMMON", 5)
-    rng = random.Random(2)
-    terms = [f"t{i}" for i in range(60)]
-    index = toxicity_knn.Index(terms, np.linspace(1, 4, 60), [], np.zeros(0), np.zeros(0))
-    vectors = [index.vector(Counter(rng.choices(terms, k=rng.randint(1, 9)))) for _ in range(500)]
-    index = toxicity_knn.Index(terms, index.idf, vectors, np.zeros(500), np.arange(500))
-    for e in range(0, 500, 17):
-        sims = sorted((-round(sum(w * v.get(t, 0) for t, w in vectors[e].items()), 12), i) for i, v in enumerate(vectors) if i != e)
-        assert [i for i, _ in index.nearest(vectors[e], but=e)] == [i for s, i in sims if s < 0][:16]
+    index, vectors = vectors_over(np.linspace(1, 4, 60), 500, 9)
+    assert_exact(index, vectors, 17)
+    assert 0 < len(index.example) < len(index.words)
+
+
+def vectors_over(weight, many, longest):
+    """An index of random texts over numbered words, and the vector behind each of its example ids."""
+    rng = random.Random(len(weight))
+    terms = len(weight)
+    counts = [sorted(Counter(rng.choices(range(terms), k=rng.randint(1, longest))).items()) for _ in range(many)]
+    vectors = [toxicity_knn.weighted(np.array([t for t, _ in c]), np.array([n for _, n in c]), weight) for c in counts]
+    return toxicity_knn.Index(toxicity_knn.arrays_of(np.arange(terms, dtype=np.uint64), weight, vectors, np.zeros(many), np.arange(many))), vectors
+
+
+def assert_exact(index, vectors, step):
+    numbers = index.ids.tolist()
+    asked = list(range(0, len(vectors), step))
+    for e, near in zip(asked, index.nearest_of([vectors[numbers[e]] for e in asked], asked), strict=True):
+        own = dict(zip(*(x.tolist() for x in vectors[numbers[e]]), strict=True))
+        sims = sorted((-round(sum(own.get(t, 0) * w for t, w in zip(*(x.tolist() for x in vectors[i]), strict=True)), 12), n) for n, i in enumerate(numbers) if n != e)
+        assert [n for n, _ in near] == [n for s, n in sims if s < 0][:16]
+
+
+def test_block_max_skips_blocks_and_is_exact(monkeypatch):
+    for name, value in (("BLOCK", 8), ("GROUPS", 4), ("COMMON", 12), ("TOGETHER", 10)):
+        monkeypatch.setattr(toxicity_knn, name, value)
+    rng = random.Random(6)
+    vectors, weight = [], np.array([1.0 + i % 7 for i in range(160)])
+    for i in range(700):  # four kinds of texts with words of their own, so that most blocks are out of reach
+        words = Counter(40 * (i % 4) + min(int(rng.expovariate(0.15)), 39) for _ in range(rng.randint(2, 30)))
+        words = sorted((words + Counter([rng.randrange(160)])).items())
+        vectors.append(toxicity_knn.weighted(np.array([t for t, _ in words]), np.array([n for _, n in words]), weight))
+    index = toxicity_knn.Index(toxicity_knn.arrays_of(np.arange(160, dtype=np.uint64), weight, vectors, np.zeros(700), np.arange(700)))
+    assert_exact(index, vectors, 13)
+    assert index.skipped > index.met / 3
 
 
 def test_keys_behind_an_unquoted_name(spark):
