@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standpoint.functions import scalars as S
+from standpoint.operators import diagrams
 
-MAX_CONDITIONED, MAX_CORNERS = 8, 12
+#: Up to so many repeated leaves are conditioned on inside the row; beyond, a decision diagram gives the same result.
+MAX_CONDITIONED = 8
 MAX_PREDICATES = 200  # fixed value: the most predicates a task may declare, which bounds its document
 
 
@@ -231,9 +233,14 @@ def with_leaves(compiled: DataFrame, beliefs: DataFrame, extra: list[str] | None
 
 def assess(compiled: DataFrame, beliefs: DataFrame, ready: float | Column = 0.5, block: float = 0.5,
            extra: list[str] | None = None) -> DataFrame:
-    """Every action's status distribution, belief, chance of success, expected utility and disposition."""
-    ev = with_leaves(compiled, beliefs, extra).withColumn(
-        "ev", evaluate(F.col("prog"), F.col("root"), F.col("reps"), F.col("ls"), F.col("lb")))
+    """Every action's status distribution, belief, chance of success, expected utility and disposition, exact at any number of
+    leaves that are reached on several paths."""
+    keep = ["task_id", *(extra or []), "action_id", "reliability", "leak", "value_success", "cost_failure", "needs_approval"]
+    rows = with_leaves(compiled, beliefs, extra)
+    few = rows.filter(F.size("reps") <= MAX_CONDITIONED).select(
+        *keep, evaluate(F.col("prog"), F.col("root"), F.col("reps"), F.col("ls"), F.col("lb")).alias("ev"))
+    many = diagrams.per_action(rows.filter(F.size("reps") > MAX_CONDITIONED), keep, diagrams.evaluated, "struct<s:double,v:double,u:double,belief:double>")
+    ev = few.unionByName(many.select(*keep, F.struct("out.*", F.lit(True).alias("exact")).alias("ev")))
     p = S.p_success("ev.belief", "reliability", "leak")
     return ev.select("task_id", *(extra or []), "action_id", "ev.s", "ev.v", "ev.u", "ev.belief", "ev.exact", p.alias("p_success"),
                      S.expected_utility(p, "value_success", "cost_failure").alias("expected_utility"),
@@ -252,29 +259,15 @@ def node_values(documents: DataFrame, leaf_value: Column, gate, type_name: str,
     return d.select("task_id", F.explode(out).alias("x")).select("task_id", "x.*")
 
 
-def belief_interval(compiled: DataFrame, beliefs: DataFrame, free: DataFrame, max_corners: int = MAX_CORNERS) -> DataFrame:
-    """Range of each action's belief while the predicates in ``free`` (task_id, predicate_id) may take any value. The
-    belief is linear in each leaf, so the corners of the box hold the extremes."""
-    f = free.groupBy("task_id").agg(F.collect_set("predicate_id").alias("free"))
-    d = with_leaves(compiled, beliefs).join(f, "task_id", "left").withColumn(
-        "free", F.coalesce("free", F.array().cast("array<string>")))
-    d = d.withColumn("fpos", F.filter(F.transform("leaves", lambda x, i: F.when(F.array_contains("free", x), i)
-                                                  .otherwise(F.lit(-1))), lambda i: i >= 0))
-    few = F.size("fpos") <= max_corners
-
-    def corner(w):
-        def fix(b, i):
-            place = F.array_position("fpos", i).cast("int") - 1
-            return F.when(place >= 0, _digit(w, place, 2).cast("double")).otherwise(b)
-
-        return evaluate(F.col("prog"), F.col("root"), F.col("reps"), F.col("ls"), F.transform("lb", fix))["belief"]
-
-    corners = F.when(few, F.transform(F.sequence(F.lit(0), F.pow(F.lit(2.0), F.size("fpos")).cast("int") - 1), corner)
-                     ).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
-    d = d.withColumn("_c", corners)
-    zero, one = F.lit(0.0), F.lit(1.0)
-    return d.select("task_id", "action_id", F.least(F.greatest(F.array_min("_c"), zero), one).alias("low"),
-                    F.least(F.greatest(F.array_max("_c"), zero), one).alias("high"), few.alias("exact"))
+def belief_interval(compiled: DataFrame, beliefs: DataFrame, free: DataFrame) -> DataFrame:
+    """Range of each action's belief while the predicates in ``free`` (task_id, predicate_id) may take any value, exact at any
+    number of them."""
+    f = free.groupBy("task_id").agg(F.array_sort(F.collect_set("predicate_id")).alias("free"))
+    d = with_leaves(compiled, beliefs).join(f, "task_id", "left")
+    inside = F.filter(F.coalesce("free", F.array().cast("array<string>")), lambda x: F.array_contains("leaves", x))
+    d = d.withColumn("fpos", F.transform(inside, lambda x: F.array_position("leaves", x).cast("int")))
+    out = diagrams.per_action(d, ["task_id", "action_id"], diagrams.interval, "struct<low:double,high:double>")
+    return out.select("task_id", "action_id", "out.low", "out.high", F.lit(True).alias("exact"))
 
 
 # ---------------------------------------------------------------- definitions as data

@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standpoint.functions import scalars as S
+from standpoint.operators import diagrams
 from standpoint.operators.logic import _digit, evaluate, let, with_leaves
 from standpoint.operators.scan import spread
 from standpoint.schemas import READY
 
 SETTLED, MIN_OPEN = 0.999, 0.2
-MAX_SET, MAX_FREE, MAX_OPEN = 3, 10, 8
+MAX_SET = 3
 
 
 def open_predicates(beliefs: DataFrame, min_open: float = MIN_OPEN) -> DataFrame:
@@ -138,73 +139,24 @@ def best_question(tasks: DataFrame, candidates: DataFrame, max_set: int = MAX_SE
     return best.select("task_id", "b.*").filter(F.col("value") > 1e-12)
 
 
-def _settled(ls: Column, lb: Column, priors: Column, positions: Column, world: Column, n: Column):
-    """Leaf values when the predicates at ``positions`` are settled as the base-3 digits of ``world``, the first one
-    the leading digit: 0 satisfied, 1 violated, 2 open with its prior."""
-    def digit(i):
-        place = F.array_position(positions, i + 1).cast("int") - 1
-        return F.when(place >= 0, _digit(world, n - 1 - place, 3)).otherwise(F.lit(-1))
-
-    st = F.transform(ls, lambda x, i: let(digit(i), lambda d: F.when(d >= 0, _certain(d)).otherwise(x)))
-    be = F.transform(lb, lambda x, i: let(digit(i), lambda d: F.when(d == 0, F.lit(1.0)).when(d == 1, F.lit(0.0))
-                                          .when(d == 2, F.element_at(priors, i + 1)).otherwise(x)))
-    return st, be
-
-
-def _settlement_dispositions(d: DataFrame, positions: str, ready: float, block: float) -> Column:
-    """Disposition codes of an action in all 3^k settlements of its leaves at ``positions``."""
-    n = F.size(positions)
-
-    def one(w):
-        st, be = _settled(F.col("ls"), F.col("lb"), F.col("priors"), F.col(positions), w, n)
-        ev = evaluate(F.col("prog"), F.col("root"), F.col("reps"), st, be)
-        return let(ev, lambda e: S.disposition(e["s"], e["v"], ready, block))
-
-    return F.transform(F.sequence(F.lit(0), F.pow(F.lit(3.0), n.cast("double")).cast("int") - 1), one)
-
-
 def _action_rows(compiled: DataFrame, beliefs: DataFrame, free: DataFrame) -> DataFrame:
     f = free.groupBy("task_id").agg(F.array_sort(F.collect_set("predicate_id")).alias("fnames"))
-    d = spread(with_leaves(compiled, beliefs).join(f, "task_id", "left"), "task_id", "action_id")
+    d = with_leaves(compiled, beliefs).join(f, "task_id", "left")
     inside = F.filter(F.coalesce("fnames", F.array().cast("array<string>")), lambda x: F.array_contains("leaves", x))
     return d.withColumn("fnames", inside).withColumn("fpos", F.transform("fnames", lambda x: F.array_position("leaves", x).cast("int")))
 
 
-def certify_stable(compiled: DataFrame, beliefs: DataFrame, free: DataFrame, max_free: int = MAX_FREE, ready: float = 0.5,
-                   block: float = 0.5) -> DataFrame:
-    """Does each action keep its disposition however the free predicates are settled? All 3^k settlements are tried;
-    the first that differs is the counterexample. Above ``max_free`` none is attempted."""
-    d = _action_rows(compiled, beliefs, free)
-    now = let(evaluate(F.col("prog"), F.col("root"), F.col("reps"), F.col("ls"), F.col("lb")),
-              lambda e: S.disposition(e["s"], e["v"], ready, block))
-    d = d.withColumn("current", now)
-    few = F.size("fpos") <= max_free
-    d = d.withColumn("all", F.when(few, _settlement_dispositions(d, "fpos", ready, block)))
-    d = d.withColumn("bad", F.array_position(F.transform("all", lambda x: x != F.col("current")), True).cast("int"))
-    n = F.size("fnames")
-    words = F.array(F.lit("satisfied"), F.lit("violated"), F.lit("open"))
-    counter = F.when(F.col("bad") > 0, F.array_join(F.transform("fnames", lambda p, i: F.concat(
-        p, F.lit("="), F.element_at(words, _digit(F.col("bad") - 1, n - 1 - i, 3) + 1))), ","))
-    return d.select("task_id", "action_id", F.array_join("fnames", ",").alias("free"), "current",
-                    F.coalesce(F.col("bad") == 0, F.lit(False)).alias("stable"),
-                    F.when(~few, F.lit(0)).when(F.col("bad") > 0, F.col("bad")).otherwise(F.size("all")).alias("checked"),
-                    counter.alias("counterexample"), F.when(F.col("bad") > 0, F.element_at("all", F.col("bad"))).alias("becomes"))
-
-
-def unnecessary_questions(compiled: DataFrame, beliefs: DataFrame, max_open: int = MAX_OPEN, min_open: float = MIN_OPEN,
-                          ready: float = 0.5, block: float = 0.5) -> DataFrame:
+def certify_stable(compiled: DataFrame, beliefs: DataFrame, free: DataFrame, ready: float = 0.5, block: float = 0.5) -> DataFrame:
+    """Does each action keep its disposition however the free predicates are settled (satisfied, violated, open)? ``checked``
+    settlements are covered: all 3^k, or those up to the first that differs, which is the counterexample."""
+    schema = "struct<current:string,stable:boolean,checked:int,counterexample:string,becomes:string>"
+    out = diagrams.per_action(_action_rows(compiled, beliefs, free), ["task_id", "action_id", "fnames"], lambda row: diagrams.certificate(row, ready, block), schema)
+    return out.select("task_id", "action_id", F.array_join("fnames", ",").alias("free"), "out.*")
+
+
+def unnecessary_questions(compiled: DataFrame, beliefs: DataFrame, min_open: float = MIN_OPEN, ready: float = 0.5, block: float = 0.5) -> DataFrame:
     """Open predicates under an action whose answer never changes its disposition, whatever the other open ones turn
-    out to be: in the table of all settlements, the three that differ only in this predicate always agree."""
-    d = _action_rows(compiled, beliefs, open_predicates(beliefs, min_open))
-    d = d.filter((F.size("fpos") > 0) & (F.size("fpos") <= max_open))
-    d = d.withColumn("all", _settlement_dispositions(d, "fpos", ready, block))
-    n = F.size("fpos")
-
-    def irrelevant(i):
-        stride = F.pow(F.lit(3.0), (n - 1 - i).cast("double")).cast("int")
-        lows = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda w: _digit(w, n - 1 - i, 3) == 0)
-        return F.forall(lows, lambda w: (F.element_at("all", w + 1) == F.element_at("all", w + stride + 1))
-                        & (F.element_at("all", w + 1) == F.element_at("all", w + 2 * stride + 1)))
-
-    marks = F.transform("fnames", lambda p, i: F.when(irrelevant(i), p))
-    return d.select("task_id", "action_id", F.explode(F.array_compact(marks)).alias("predicate_id"))
+    out to be."""
+    d = _action_rows(compiled, beliefs, open_predicates(beliefs, min_open)).filter(F.size("fpos") > 0)
+    out = diagrams.per_action(d, ["task_id", "action_id"], lambda row: diagrams.irrelevant(row, ready, block), "array<string>")
+    return out.select("task_id", "action_id", F.explode("out").alias("predicate_id"))

@@ -91,11 +91,12 @@ def test_reused_leaf_and_excluded_middle(spark):
     assert [r["middle"][c] for c in ("s", "v", "u", "belief")] == pytest.approx([0.5, 0.0, 0.5, 1.0])
 
 
-def test_too_many_reused_leaves_are_flagged(spark):
+def test_nine_reused_leaves_are_exact(spark):
     preds = [f"p{i}" for i in range(9)]
     gates = [("a", "AND", preds, 0), ("b", "OR", preds, 0), ("top", "AND", ["a", "b"], 0)]
     p, g, a, b = frames(spark, {"t": (preds, gates, {x: (0.9, 0.1, 0.0, 0.9) for x in preds})})
-    assert G.assess(G.compile_actions(p, g, a), b).first()["exact"] is False
+    r = G.assess(G.compile_actions(p, g, a), b).first()
+    assert r["exact"] and [r[c] for c in ("s", "v", "u", "belief")] == pytest.approx([0.9 ** 9, 1 - 0.9 ** 9, 0.0, 0.9 ** 9])
 
 
 @pytest.mark.parametrize("op,k,vals,want", [
@@ -177,3 +178,69 @@ def test_sums_do_not_depend_on_partitioning(spark):
     a = B.precedence(spark.createDataFrame(rows, E).repartition(3)).first()
     b = B.precedence(spark.createDataFrame(rows[::-1], E).repartition(7, "record_id")).first()
     assert tuple(a) == tuple(b)
+
+
+def deep_task(seed, n=20):
+    """Gates over ``n`` leaves, every one of which is reached on several paths."""
+    g = random.Random(seed)
+    preds = [f"p{i:02d}" for i in range(n)]
+    gates = [(f"a{i}", g.choice(["AND", "OR", "ATLEAST"]), g.sample(preds, 4), g.randint(1, 4)) for i in range(n // 2)]
+    gates.append(("n", "NOT", ["a0"], 0))
+    gates += [(f"b{i}", g.choice(["AND", "OR", "ATLEAST"]), g.sample([x[0] for x in gates], 4), g.randint(1, 4)) for i in range(4)]
+    gates.append(("top", "ATLEAST", ["b0", "b1", "b2", "b3", "n"], 3))
+    values = {x: [(lambda s, v: (s, v, 1 - s - v, s + (1 - s - v) * 0.5))(*(y / 2 for y in (g.random(), g.random()))) for _ in "x"][0] for x in preds}
+    return preds, gates, values
+
+
+def test_many_repeated_leaves_are_exact(spark):
+    """Enumerates the leaves that have any chance of two outcomes: the others are certain, so all worlds can be tried."""
+    tasks, want = {}, {}
+    for seed in range(4):
+        preds, gates, values = deep_task(seed)
+        g = random.Random(seed)
+        loose = set(g.sample(preds, 7))
+        values = {x: v if x in loose else ((1.0, 0.0, 0.0, 1.0) if g.random() < 0.5 else (0.0, 1.0, 0.0, 0.0)) for x, v in values.items()}
+        tasks[f"t{seed}"] = (preds, gates, values)
+        total, belief = [0.0, 0.0, 0.0], 0.0
+        for world in itertools.product(range(3), repeat=len(loose)):
+            leaf = {x: 0 if v[0] == 1.0 else 1 for x, v in values.items()} | dict(zip(sorted(loose), world))
+            total[settle(gates, leaf, "top")] += math.prod(values[x][w] for x, w in zip(sorted(loose), world))
+            if 2 not in world and settle(gates, leaf, "top") == 0:
+                belief += math.prod(values[x][3] if w == 0 else 1 - values[x][3] for x, w in zip(sorted(loose), world))
+        want[f"t{seed}"] = (*total, belief)
+    p, gt, a, b = frames(spark, tasks)
+    compiled = G.compile_actions(p, gt, a)
+    assert min(r["n"] for r in compiled.select(F.size("reps").alias("n")).collect()) > G.MAX_CONDITIONED
+    for r in G.assess(compiled, b).collect():
+        assert r["exact"] and all(abs(x - y) < 1e-9 for x, y in zip((r["s"], r["v"], r["u"], r["belief"]), want[r["task_id"]]))
+    free, ranges = [], {}
+    for t, (preds, gates, values) in tasks.items():
+        loose = [x for x in preds if 0 < values[x][0] < 1]
+        free += [(t, x) for x in loose[:4]]
+        corners = []
+        for corner in itertools.product(range(2), repeat=4):
+            total = 0.0
+            for rest in itertools.product(range(2), repeat=len(loose) - 4):
+                leaf = {x: 0 if v[0] == 1.0 else 1 for x, v in values.items()} | dict(zip(loose, corner + rest))
+                if settle(gates, leaf, "top") == 0:
+                    total += math.prod(values[x][3] if w == 0 else 1 - values[x][3] for x, w in zip(loose[4:], rest))
+            corners.append(total)
+        ranges[t] = (min(corners), max(corners))
+    for r in G.belief_interval(compiled, b, spark.createDataFrame(free, "task_id string, predicate_id string")).collect():
+        assert r["exact"] and (r["low"], r["high"]) == pytest.approx(ranges[r["task_id"]], abs=1e-9)
+
+
+def test_diagram_equals_every_world():
+    from standpoint.operators import diagrams as D
+    for seed in range(150):
+        preds, gates, g = random_task(seed)
+        nodes = preds + [x[0] for x in gates]
+        prog = [{"op": op, "k": k, "kids": [nodes.index(c) for c in kids]} for _, op, kids, k in gates]
+        order = list(range(len(preds)))
+        g.shuffle(order)
+        d = D.Diagram(prog, len(nodes) - 1, order)
+        for world in itertools.product(range(3), repeat=len(preds)):
+            x = d.root
+            while x > 2:
+                x = d.branches[x][world[order[d.asks[x]]]]
+            assert x == settle(gates, dict(zip(preds, world)), nodes[-1])

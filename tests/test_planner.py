@@ -56,3 +56,30 @@ def test_certificates_agree_with_trying_everything(spark):
         if not r["stable"]:
             i = next(i for i, s in enumerate(seen) if s != r["current"])
             assert r["checked"] == i + 1 and r["becomes"] == seen[i]
+
+
+def test_certificates_of_twelve_open_leaves(spark):
+    """More open leaves than could once be tried: against plain reasoning about thresholds."""
+    names = [f"q{i:02d}" for i in range(12)]
+    gates = [("g", "ATLEAST", names, 7), ("h", "OR", ["yes", *names[:11]], 0), ("m", "AND", ["g", "h"], 0), ("n", "AND", ["no", "m"], 0)]
+    comp, b, _ = build(spark, gates, {"yes": YES, "no": (0.0, 1.0, 0.0, 0.0, 0.0)} | dict.fromkeys(names, OPEN), [("x", "m"), ("y", "h"), ("z", "n")])
+    got = {r["action_id"]: r for r in P.certify_stable(comp, b, P.open_predicates(b)).collect()}
+    assert got["y"]["stable"] and got["y"]["current"] == "READY" and got["y"]["checked"] == 3**11
+    assert got["z"]["stable"] and got["z"]["current"] == "BLOCKED" and got["z"]["checked"] == 3**12
+    assert not got["x"]["stable"] and got["x"]["becomes"] == "READY" and got["x"]["checked"] == 1
+    assert got["x"]["counterexample"] == ",".join(f"{n}=satisfied" for n in names)
+    useless = {(r["action_id"], r["predicate_id"]) for r in P.unnecessary_questions(comp, b).collect()}
+    assert useless == {("y", n) for n in names[:11]} | {("z", n) for n in names}
+
+
+def test_unnecessary_questions_agree_with_trying_everything(spark):
+    gates = [("g", "OR", ["a", "b"], 0), ("h", "AND", ["g", "c"], 0), ("k", "ATLEAST", ["h", "a", "d"], 2)]
+    comp, b, _ = build(spark, gates, {"a": OPEN, "b": OPEN, "c": YES, "d": OPEN}, [("x", "h"), ("y", "k")])
+    got = {(r["action_id"], r["predicate_id"]) for r in P.unnecessary_questions(comp, b).collect()}
+    want = set()
+    for act, root, names in (("x", "h", "ab"), ("y", "k", "abd")):
+        for n in names:
+            rest = [m for m in names if m != n]
+            if all(len({settle(gates, {"c": 0, n: v} | dict(zip(rest, combo)), root) for v in range(3)}) == 1 for combo in itertools.product(range(3), repeat=len(rest))):
+                want.add((act, n))
+    assert got == want
