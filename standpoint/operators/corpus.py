@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
-from standpoint.operators.scan import dense_index, running_before
+from standpoint.operators.scan import dense_index, ordered_index, running_before
 from standpoint.schemas import NEI, NOT_SUPPORTS, REFUTES, SUPPORTS
 from standpoint.session import cut_lineage
 
@@ -33,7 +33,7 @@ def normalise_source(df: DataFrame, source: str, label: str = "label") -> DataFr
     without text is dropped."""
     claim, evidence, group, page, labels = SOURCES[source]
     lookup = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    g = F.substring(group, 1, 64) if source == "docnli" else F.col(group)
+    g = S.text_hash(group) if source == "docnli" else F.col(group)  # a whole premise is its group
     key = F.coalesce(F.col(page).cast("string"), g.cast("string")) if page else g.cast("string")
     out = df.select(S.clean_text(claim).alias("claim"), S.clean_text(evidence).alias("evidence"),
                     F.try_element_at(lookup, F.col(label).cast("string")).alias("label"), F.lit(source).alias("source"),
@@ -67,10 +67,10 @@ def revision_atoms(rows: DataFrame, tag: str = "") -> DataFrame:
     two = pairs.withColumn("i", place).filter(F.col("i") <= 2)
     v = two.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("evidence").alias("text"), "label"))),
                                           lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))).alias("versions"))
-    number = running_before(n, ["case_id"], [F.substring("claim", 1, 8)], [F.col("claim")], {"ci": F.lit(1)})
+    number = ordered_index(n, ["case_id"], ["claim"], "ci")
     page = rows.groupBy("case_id").agg(F.min_by("page", "ord").alias("page"))
     return (number.join(v, key).join(page, "case_id").select(
-        F.concat(F.lit(f"vitc:{tag}:"), F.col("case_id").cast("string"), F.lit(":"), F.coalesce("ci", F.lit(0)).cast("string")).alias("atom_id"),
+        F.concat(F.lit(f"vitc:{tag}:"), F.col("case_id").cast("string"), F.lit(":"), F.col("ci").cast("string")).alias("atom_id"),
         F.when(F.col("n_versions") >= 2, F.lit("revision")).otherwise(F.lit("static")).alias("kind"), "claim", "versions",
         F.coalesce(F.col("page"), F.col("case_id").cast("string")).alias("page"), F.lit("vitaminc").alias("source")))
 

@@ -3,19 +3,17 @@ reading side must pass."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
 from standpoint.operators import metrics as M
+from standpoint.operators.neighbours import MEMORY_BLOCK, QUERY_BLOCK, search
 from standpoint.operators.scan import running_before, skew_join
 from standpoint.session import cut_lineage
 
 EXACT_CONFIDENCE = 0.995
-QUERY_BLOCK, MEMORY_BLOCK = 4096, 16384
 TAUS, LAMS = (0.6, 0.7, 0.8, 0.9, 0.95), (0.2, 0.4, 0.6, 0.8, 0.95)
 
 
@@ -70,46 +68,11 @@ def export_feedback(verified_items: DataFrame, audit: DataFrame, records: DataFr
 # ---------------------------------------------------------------- similar verified pairs
 
 
-def top_neighbours(queries: DataFrame, memory: DataFrame, k: int = 8, exclude_self: bool = False,
+def top_neighbours(queries: DataFrame, memory: DataFrame, k: int = 8, exclude_self: bool = False, least: float = -1.0,
                    query_block: int = QUERY_BLOCK, memory_block: int = MEMORY_BLOCK) -> DataFrame:
-    """The k most similar memory items of each query: (qid, item_id, label, sim). Vectors (``vec``) have unit length.
-
-    Exact search by blocked matrix products: queries and memory are cut by hash into blocks of bounded
-    size, every block pair is one task, and a task returns only its k best per query; the best of those
-    are kept by a limited ranking before the final shuffle. Neither side is broadcast or collected."""
-    from math import ceil
-
-    nq = max(1, ceil(queries.count() / query_block))
-    nm = max(1, ceil(memory.count() / memory_block))
-    q = (queries.select("qid", "vec").withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int"))
-         .withColumn("mb", F.explode(F.sequence(F.lit(0), F.lit(nm - 1)))))
-    m = (memory.select("item_id", "label", "vec").withColumn("mb", F.pmod(F.xxhash64("item_id"), F.lit(nm)).cast("int"))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"qid": [], "item_id": [], "label": [], "sim": []}
-        if len(a) and len(b):
-            b = b.sort_values("item_id")
-            mat, ids, labs = np.stack(b["vec"].to_numpy()), b["item_id"].to_numpy(), b["label"].to_numpy()
-            for start in range(0, len(a), 512):
-                part = a.iloc[start:start + 512]
-                sims = np.stack(part["vec"].to_numpy()) @ mat.T
-                if exclude_self:
-                    sims[part["qid"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                for qid, row, s in zip(part["qid"], top, sims):
-                    keep = [j for j in row if s[j] > -np.inf]
-                    out["qid"] += [qid] * len(keep)
-                    out["item_id"] += list(ids[keep])
-                    out["label"] += list(labs[keep])
-                    out["sim"] += list(s[keep])
-        return pd.DataFrame(out)
-
-    qt, it = dict(queries.dtypes)["qid"], dict(memory.dtypes)["item_id"]
-    found = q.groupBy("qb", "mb").cogroup(m.groupBy("qb", "mb")).applyInPandas(
-        best, f"qid {qt}, item_id {it}, label int, sim double")
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "item_id"))
-    return found.withColumn("_p", place).filter(F.col("_p") <= k).drop("_p")
+    """The k most similar memory items of each query: (qid, item_id, label, sim). Vectors (``vec``) have unit length. Exact
+    for all similarities of ``least`` or more; a query meets only the parts of the memory that can hold one."""
+    return search(queries, memory, k, exclude_self, least, query_block, memory_block)[0]
 
 
 def _weight(tau) -> Column:
@@ -139,7 +102,8 @@ def knn_blend(queries: DataFrame, memory: DataFrame, k: int = 8, tau: float = 0.
     starting value, nothing is compared at all: generalising has to be earned at the gate first."""
     if lam_max <= 0:
         return queries.withColumn("touched", F.lit(False))
-    near = neighbours if neighbours is not None else top_neighbours(queries, memory, k, exclude_self)
+    # what is no more similar than tau has no weight
+    near = neighbours if neighbours is not None else top_neighbours(queries, memory, k, exclude_self, least=tau)
     v = _votes(near, ["qid"], tau, lam_max)
     j = queries.join(v, "qid", "left").withColumns({"votes": F.coalesce("votes", F.lit(0)), "wsum": F.coalesce("wsum", F.lit(0.0))})
     new = {n: _blended(n, c, min_votes) for c, n in enumerate(("p_s", "p_r", "p_n"))}
@@ -202,7 +166,7 @@ def tune_memory(fit: DataFrame, k: int = 8, taus=TAUS, lams=LAMS, min_votes: int
     """Leave-one-out NLL of every (tau, lam_max) over verified items (qid, vec, label, p_s, p_r, p_n), beside the NLL
     without memory; ``adopt`` marks the first best setting if it is better at all. Neighbours are found once."""
     memory = fit.select(F.col("qid").alias("item_id"), "label", "vec")
-    near = cut_lineage(top_neighbours(fit, memory, k, exclude_self=True))
+    near = cut_lineage(top_neighbours(fit, memory, k, exclude_self=True, least=min(taus)))
     grid = F.array(*[F.struct(F.lit(i).alias("g"), F.lit(float(t)).alias("tau"), F.lit(float(lam)).alias("lam_max"))
                      for i, (t, lam) in enumerate((t, lam) for t in taus for lam in lams)])
     n = near.withColumn("c", F.explode(grid)).select("qid", "label", "sim", "c.*")
@@ -348,20 +312,19 @@ def usage_by_day(events: DataFrame, max_events: int, max_chars: int, block_rows:
     return u.drop("_n", "_c").withColumn("refused", (F.col("events_used") > max_events) | (F.col("chars_used") > max_chars))
 
 
-def prequential_eval(readings: DataFrame, blocks: int, **knn) -> DataFrame:
+def prequential_eval(readings: DataFrame, blocks: int, k: int = 8, tau: float = 0.8, **knn) -> DataFrame:
     """Accuracy over time of a frozen reading and of one helped by the verified items of earlier blocks.
-    ``readings``: (qid, seq, vec, label, p_s, p_r, p_n). One pass per block, each against everything before it."""
+    ``readings``: (qid, seq, vec, label, p_s, p_r, p_n). One search serves all blocks: a reading finds its nearest among the
+    items of earlier blocks only."""
     lo, hi = readings.agg(F.min("seq"), F.max("seq")).first()
+    if lo is None:
+        return readings.sparkSession.createDataFrame([], "block int, n long, frozen double, with_memory double, touched double")
     width = (hi - lo + 1) / blocks
-    r = readings.withColumn("block", F.least(F.lit(blocks - 1), F.floor((F.col("seq") - lo) / width)).cast("int"))
-    out = None
-    for b in range(blocks):
-        part = r.filter(F.col("block") == b)
-        past = r.filter(F.col("block") < b).select(F.col("qid").alias("item_id"), "label", "vec")
-        helped = knn_blend(part, past, **knn) if b else part.withColumn("touched", F.lit(False))
-        frozen = part.select("qid", S.top_label().alias("_f"))
-        row = helped.join(frozen, "qid").agg(
-            F.lit(b).alias("block"), F.count("*").alias("n"), F.avg((F.col("_f") == F.col("label")).cast("double")).alias("frozen"),
-            F.avg((S.top_label() == F.col("label")).cast("double")).alias("with_memory"), F.avg(F.col("touched").cast("double")).alias("touched"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    r = cut_lineage(readings.withColumn("turn", F.least(F.lit(blocks - 1), F.floor((F.col("seq") - lo) / width)).cast("long")))
+    past = r.select(F.col("qid").alias("item_id"), "label", "vec", "turn")
+    near = search(r, past, k, least=tau)[0] if knn.get("lam_max", 0.0) > 0 else None
+    helped = knn_blend(r, past, k, tau, neighbours=near, **knn).select("qid", S.top_label().alias("_h"), "touched")
+    j = r.select("qid", "turn", "label", S.top_label().alias("_f")).join(helped, "qid")
+    return j.groupBy(F.col("turn").cast("int").alias("block")).agg(
+        F.count("*").alias("n"), F.avg((F.col("_f") == F.col("label")).cast("double")).alias("frozen"),
+        F.avg((F.col("_h") == F.col("label")).cast("double")).alias("with_memory"), F.avg(F.col("touched").cast("double")).alias("touched"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from standpoint.functions import scalars as S
 from standpoint.functions.passages import split_passages
 from standpoint.schemas import WITHDRAWN_KEY
+from standpoint.session import cut_lineage
 
 
 def ingest_documents(docs: DataFrame, state: DataFrame, max_chars: int = 600) -> DataFrame:
@@ -16,7 +17,7 @@ def ingest_documents(docs: DataFrame, state: DataFrame, max_chars: int = 600) ->
     theirs is lower and they are not withdrawn yet. ``state`` is the ledger's. Ids with '#' are refused."""
     checked = docs.withColumn("doc_id", F.when(F.col("doc_id").contains("#"), F.raise_error(
         F.concat(F.lit("doc_id may not contain '#': "), "doc_id")).cast("string")).otherwise(F.col("doc_id")))
-    p = split_passages(checked, max_chars)
+    p = cut_lineage(split_passages(checked, max_chars))  # cut once: events and sizes both read them
     events = p.select(
         "task_id", F.concat("doc_id", F.lit("#"), F.col("pos").cast("string")).alias("record_id"), "revision",
         S.attribute("passage", "attribution").alias("text"), "source_id", "authority", "valid_from",
@@ -59,7 +60,7 @@ def form_sections(body) -> Column:
                      F.array().cast("array<struct<h:string,line:string>>").alias("rows"))
 
     def step(acc, line):
-        head = F.when(line.startswith("### "), F.trim(F.substring(line, 5, 100000)))
+        head = F.when(line.startswith("### "), F.trim(F.substr(line, F.lit(5))))
         opens = F.coalesce(F.array_contains(known, head) & ~F.array_contains(acc["seen"], head), F.lit(False))
         inside = acc["now"] != ""
         return F.when(opens, F.struct(head.alias("now"), F.concat(acc["seen"], F.array(head)).alias("seen"), acc["rows"].alias("rows"))).when(

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from standpoint.session import cut_lineage
+
 SALTS = 16
 
 
@@ -86,6 +88,18 @@ def dense_index(df: DataFrame, keys: list[str], name: str = "idx", within: list[
             .withColumn(name, (F.col("_off") + inside - 1).cast("bigint")).drop("_h", "_bucket", "_off"))
 
 
+def ordered_index(df: DataFrame, keys: list[str], order: list[str], name: str = "idx") -> DataFrame:
+    """Number the rows of a key 0..n-1 in the order of ``order``, whatever its values share: rows are dealt by sampled ranges of
+    (keys, order), so a hot key, or values with one beginning, spread over many tasks. The ranges are written, since a task that is
+    repeated must find the same ones."""
+    ranged = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_off", F.coalesce(before, F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
+    return (ranged.withColumn("_inside", inside).join(offsets, [*keys, "_range"])
+            .withColumn(name, (F.col("_off") + F.col("_inside") - 1).cast("bigint")).drop("_off", "_inside", "_range"))
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Even rows over all configured partitions by the hash of ``cols``. For steps whose rows are few bytes but much
     work, which the optimizer would otherwise put together in one task for their size."""

@@ -216,8 +216,8 @@ def set_suite_scores(spark, sf):
 cte("tune_fit", "select * from vecs where vec_id % 5 = 0")
 cte("tune_grid", f"""
   select tau, lam, g, row_number() over (order by g) as o from (
-    select t.tau, l.lam, (t.i * 10 + l.i) as g from (values (0, 0.05::double), (1, 0.1), (2, 0.2)) t(i, tau),
-      (values (0, 0.2::double), (1, 0.6)) l(i, lam))""")
+    select t.tau, l.lam, (t.i * 10 + l.i) as g from (values (0, 0.1::double), (1, 0.2), (2, 0.3), (3, 0.4), (4, 0.5)) t(i, tau),
+      (values (0, 0.2::double), (1, 0.4), (2, 0.6), (3, 0.8), (4, 0.95)) l(i, lam))""")
 cte("tune_near", near_sql("self_pairs"))
 cte("tuned", f"""
   select tau, lam, g, avg(-ln(least(greatest(py / ps, 1e-12), 1))) as loo, avg(-ln(greatest(p0, 1e-12))) as base,
@@ -236,7 +236,7 @@ cte("tuned", f"""
   from (select *, min(round(loo, 9)) over () as best from tuned)""")
 def tune_memory(spark, sf):
     fit = vectors(spark, sf).filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "qid")
-    return K.tune_memory(fit, taus=(0.05, 0.1, 0.2), lams=(0.2, 0.6)).select("tau", "lam_max", r("loo_nll"), r("no_memory_nll"), r("touched"), "adopt")
+    return K.tune_memory(fit, taus=(0.1, 0.2, 0.3, 0.4, 0.5)).select("tau", "lam_max", r("loo_nll"), r("no_memory_nll"), r("touched"), "adopt")
 
 
 # The gate: model b against model a, suites by language; "cool" is model a at another temperature.
@@ -444,10 +444,23 @@ def usage_by_day(spark, sf):
     return K.usage_by_day(e, 10, 6000).select("workspace", "seq", "events_used", "chars_used", "refused")
 
 
-@query("prequential_eval")
+cte("timed", """select *, least(3, floor((vec_id - min(vec_id) over ()) / ((max(vec_id) over () - min(vec_id) over () + 1) / 4.0)))::int as block from vecs""")
+cte("timed_near", near_sql("""(
+  select q.vec_id as qid, m.vec_id as item_id, m.label,
+    list_inner_product(q.e, m.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(m.e, m.e))) as sim
+  from timed q join timed m on m.block < q.block)"""))
+TOP = "case when {0} >= {1} and {0} >= {2} then 0 when {1} >= {2} then 1 else 2 end"
+
+
+@query("prequential_eval", f"""
+  select block, count(*) as n, {r6("avg((frozen = label)::int)")} as frozen, {r6("avg((helped = label)::int)")} as with_memory, {r6("avg(touched::int)")} as touched from (
+    select block, label, touched, {TOP.format('p_s', 'p_r', 'p_n')} as frozen, {TOP.format('b0', 'b1', 'b2')} as helped from (
+      select q.block, q.label, p_s, p_r, p_n, coalesce(votes, 0) >= 1 and coalesce(wsum, 0) > 0 as touched,
+        {blend('p_s', 0)} as b0, {blend('p_r', 1)} as b1, {blend('p_n', 2)} as b2
+      from timed q left join ({votes_sql('timed_near', '0.2::double', '0.6::double')}) v on v.qid = q.vec_id)) group by 1""")
 def prequential_eval(spark, sf):
     v = vectors(spark, sf).withColumnRenamed("vec_id", "qid").withColumn("seq", F.col("qid"))
-    return K.prequential_eval(v, 4, tau=0.2, lam_max=0.6)
+    return K.prequential_eval(v, 4, tau=0.2, lam_max=0.6).select("block", "n", r("frozen"), r("with_memory"), r("touched"))
 
 
 _ = L

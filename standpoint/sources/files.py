@@ -5,6 +5,7 @@ from __future__ import annotations
 import email
 import email.policy
 import email.utils
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -64,14 +65,20 @@ def decode_mail(messages: DataFrame) -> DataFrame:
     return messages.mapInPandas(run, f"{kept}, {MIME}")
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, root: str | None = None) -> DataFrame:
     """Files (path, content) to attributed messages; a file of another type gives a row with ``error``. A mailbox is cut into
-    one row per message before any of them is decoded, and only decoding runs in Python. Ids are kept whole."""
+    one row per message before any of them is decoded, and only decoding runs in Python. Ids are kept whole; a text file's is
+    its path below ``root`` (not given: its name), so that files of one name in two folders stay two documents."""
     part = F.regexp_extract("path", r"[^/]*\z", 0)
     has_suffix = F.col("title").rlike(r"(?s)^.+\.[^.]*\z")
     f = (files.select(F.col("path").alias("file"), part.alias("title"), "content")
          .withColumn("suffix", F.when(has_suffix, F.lower(F.concat(F.lit("."), F.substring_index("title", ".", -1)))).otherwise(""))
          .withColumn("stem", F.when(has_suffix, F.regexp_replace("title", r"\.[^.]*\z", "")).otherwise(F.col("title"))))
+    if root is not None:
+        below = F.regexp_replace("file", r"^[a-z0-9]+:/+", "/")
+        top = re.sub(r"^[a-z0-9]+:/+", "/", root).rstrip("/") + "/"
+        folder = F.when(below.startswith(top), F.substr(below, F.lit(len(top) + 1))).otherwise(below)
+        f = f.withColumn("stem", F.concat(F.regexp_replace(folder, r"[^/]*\z", ""), "stem"))
     letters = F.decode("content", "ISO-8859-1")  # one letter per byte, so that bytes can be cut by pattern
     box = F.transform(F.filter(F.split(letters, MAILBOX_LINE, -1), lambda _, i: i > 0),
                       lambda m: F.encode(F.concat(F.rtrim(m, F.lit("\r\n")), F.lit("\n")), "ISO-8859-1"))
@@ -104,7 +111,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def import_messages(spark: SparkSession, path: str) -> DataFrame:
-    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), path)
 
 
 # ---------------------------------------------------------------- labelled pairs

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from standpoint.operators import feedback as K
+from standpoint.operators import neighbours as N
 
 
 def test_retracting_restores_the_verdict_before(spark):
@@ -95,3 +96,54 @@ def test_gate_reasons(spark):
     ok = spark.createDataFrame([("a", 0.2, 0.1), ("b", 0.3, 0.02)], "candidate string, gain double, lo double")
     assert K.choose_candidate(gate.filter("suite = 's1'"), ok, hold, 500, 300, 200).first()["chosen"] == "a"
     assert K.choose_candidate(gate, gain, hold, 50, 30, 20).first()["reason"].startswith("only 50")
+
+
+def clustered(rng, n, dim, spread):
+    centres = rng.normal(size=(12, dim))
+    x = centres[rng.integers(0, 12, n)] + spread * rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("least", [-1.0, 0.8])
+def test_pivots_are_exact_and_skip(spark, least):
+    rng = np.random.default_rng(4)
+    mem, q = clustered(rng, 1500, 8, 0.08), clustered(rng, 300, 8, 0.08)
+    mem[200:700] = mem[0]  # copies of one vector: a third of the memory
+    q[:5] = mem[:5]
+    m = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(mem)], "item_id long, label int, vec array<double>")
+    a = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, vec array<double>")
+    near, work = N.search(a, m, 8, least=least, query_block=40, memory_block=100)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["qid"], []).append((-round(r["sim"], 9), r["item_id"]))
+    sims = np.round(q @ mem.T, 9)
+    for i in range(300):
+        want = sorted((-s, j) for j, s in enumerate(sims[i].tolist()) if s >= least)[:8]
+        assert [x for x in sorted(got.get(i, [])) if -x[0] >= least] == want
+    assert sum(r["compared"] for r in work.collect()) < 300 * 1500 / 2
+
+
+def test_growth_stays_below_the_square(spark):
+    rng = np.random.default_rng(5)
+    compared = []
+    for n in (500, 2000):
+        x = clustered(rng, n, 4, 0.3)
+        m = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "item_id long, label int, vec array<double>")
+        _, work = N.search(m.withColumnRenamed("item_id", "qid"), m, 4, exclude_self=True)
+        compared.append(sum(r["compared"] for r in work.collect()))
+    assert compared[1] < 16 * compared[0] * 0.7
+
+
+def test_memory_over_time_by_hand(spark):
+    rng = np.random.default_rng(6)
+    x = clustered(rng, 160, 6, 0.2)
+    lab, p = rng.integers(0, 3, 160), rng.dirichlet([1, 1, 1], 160)
+    rows = [(i, i, x[i].tolist(), int(lab[i]), *p[i].tolist()) for i in range(160)]
+    df = spark.createDataFrame(rows, "qid long, seq long, vec array<double>, label int, p_s double, p_r double, p_n double")
+    got = {r["block"]: r for r in K.prequential_eval(df, 4, tau=0.6, lam_max=0.7).collect()}
+    for b in range(4):
+        part = slice(40 * b, 40 * b + 40)
+        helped = knn_by_hand(x[part], p[part], x[:40 * b], lab[:40 * b], 8, 0.6, 0.7) if b else p[part]
+        assert got[b]["n"] == 40 and got[b]["frozen"] == pytest.approx((p[part].argmax(1) == lab[part]).mean())
+        assert got[b]["with_memory"] == pytest.approx((np.array(helped).argmax(1) == lab[part]).mean())
+    assert got[0]["touched"] == 0.0 and K.prequential_eval(df.limit(0), 4, tau=0.6, lam_max=0.7).count() == 0

@@ -136,3 +136,27 @@ def test_task_documents_round_trip(spark, tmp_path):
     assert (p.first()["prior"], p.first()["ask_cost"], a.first()["reliability"], g.first()["k"]) == (0.5, 1.0, 1.0, 0)
     again = TS.parse_tasks(TS.document_json(p, g, a), "document")
     assert again[0].collect() == p.collect() and again[2].first()["requires"] == "g"
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder, words in (("a", "first words"), ("b/c", "other words"), ("", "top words")):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / "notes.txt").write_text(words)
+    (tmp_path / "b" / "one.eml").write_bytes(MAIL)
+    got = {r["text"]: r["doc_id"] for r in FS.import_messages(spark, str(tmp_path)).filter("error is null").collect()}
+    assert (got["first words"], got["other words"], got["top words"]) == ("a-notes", "b-c-notes", "notes") and len(got) == 4
+
+
+def test_claims_with_one_beginning_are_numbered_in_order(spark):
+    rows = [(1, f"the same beginning of a claim {i:03d}", f"evidence {j}", j % 3, f"page{i}", 10 * i + j) for i in range(120) for j in range(3)]
+    df = spark.createDataFrame(rows, "case_id long, claim string, evidence string, label int, page string, ord long")
+    atoms = C.revision_atoms(df, "x").collect()
+    assert {a["atom_id"]: a["claim"] for a in atoms} == {f"vitc:x:1:{i}": f"the same beginning of a claim {i:03d}" for i in range(120)}
+    assert all(a["kind"] == "revision" and [v["text"] for v in a["versions"]] == ["evidence 0", "evidence 1"] and a["page"] == "page0" for a in atoms)
+
+
+def test_premises_with_one_beginning_are_two_groups(spark):
+    long = "The beginning that these two premises have in common is longer than sixty-four letters, "
+    df = spark.createDataFrame([("h", long + "one.", "entailment"), ("h", long + "two.", "entailment"), ("g", long + "one.", "not_entailment")], "hypothesis string, premise string, label string")
+    got = C.normalise_source(df, "docnli").collect()
+    assert len({r["group"] for r in got}) == len({r["page"] for r in got}) == 2 and got[0]["group"] == got[2]["group"]
