@@ -1,9 +1,10 @@
 """Keeping decisions current: apply a batch of deliveries to stored tables and recompute only what it reaches.
 
 Stored per run: the merged ledger, declared links, links, readings, edges, beliefs and assessments. A refresh touches
-records named by the new deliveries (or whose validity the clock passed), drops those that did not really
-change, and follows record -> predicate -> action, cutting off again where a belief came out the same. Sums are
-exact and order-free, so a refreshed table equals a rebuilt one bit for bit.
+records named by the new deliveries (or whose validity the clock passed, or whose task has another definition), drops those
+that did not really change, and follows record -> predicate -> action, cutting off again where a belief came out the same. Sums
+are exact and order-free, so a refreshed table equals a rebuilt one bit for bit. ``delta`` gives the changes alone, which is what
+``state_store`` writes.
 """
 
 from __future__ import annotations
@@ -71,10 +72,6 @@ class Tables:
     assessments: DataFrame
     now: float | None = None
 
-    def written(self) -> "Tables":
-        names = ("state", "declared", "links", "readings", "edges", "beliefs", "assessments")
-        return Tables(*[cut_lineage(getattr(self, n)) for n in names], now=self.now)
-
 
 def full_run(f: Flow) -> Tables:
     edges = cut_lineage(f.edges.select(*EDGE))
@@ -87,63 +84,119 @@ def _usable(state: DataFrame, now: float | None) -> DataFrame:
     return L.active_records(state, now)
 
 
-def refresh(prev: Tables, new_events: DataFrame, f: Flow, now: float | None = None) -> tuple[Tables, dict[str, DataFrame]]:
-    """(new tables, report). ``f`` supplies predicates, gates, actions, scorer, calibration and bars."""
+#: What a delta replaces in each table: all rows of a key at once. Readings are only ever added. A joint edge goes by its own name
+#: (``joint:`` and the predicate), so it is replaced like a record's.
+KEYS = {"state": REC, "declared": REC, "links": REC, "edges": REC, "beliefs": PRED, "assessments": ["task_id", "action_id"], "readings": ["pair"]}
+
+
+@dataclass
+class Delta:
+    """What a batch changes: per table the keys whose rows go and the rows that come."""
+
+    gone: dict[str, DataFrame]
+    rows: dict[str, DataFrame]
+    report: dict[str, DataFrame]
+    now: float | None
+
+
+def changed_definitions(old: tuple[DataFrame, DataFrame, DataFrame], f: Flow) -> DataFrame:
+    """Tasks whose definition (predicates, gates, actions) is not the one stored."""
+    a, b = G.schema_version(*old).withColumnRenamed("version", "_was"), G.schema_version(f.predicates, f.gates, f.actions)
+    return a.join(b, "task_id", "full_outer").filter(~F.col("version").eqNullSafe(F.col("_was"))).select("task_id")
+
+
+def passed_by(prev_state: DataFrame, before: float | None, now: float | None) -> DataFrame:
+    """Records whose validity the clock alone has changed. Only those with a boundary between the two clocks can be among them,
+    a filter that reaches the files."""
+    if now == before:
+        return prev_state.limit(0).select(*REC)
+    if before is None or now is None:
+        return prev_state.select(*REC).distinct()
+    lo, hi = min(before, now), max(before, now)
+    near = F.col("valid_from").between(lo, hi) | F.col("valid_until").between(lo, hi)
+    return L.clock_changes(prev_state.filter(near), before, now).select(*REC)
+
+
+def delta(prev: Tables, new_events: DataFrame, f: Flow, now: float | None = None, redefined: DataFrame | None = None) -> Delta:
+    """What a batch of deliveries, a moved clock and new definitions change. Every frame is as large as what the batch reaches;
+    ``prev`` needs only the tasks concerned. ``redefined`` (task_id): tasks whose definition in ``f`` is another than before."""
     now = prev.now if now is None else now
     # 1. the ledger, for touched records only: merging is a semilattice, so their stored payloads count as deliveries
-    named = new_events.select(*REC).distinct()
+    named = cut_lineage(new_events.select(*REC).distinct())
     old = prev.state.join(named, REC, "left_semi").join(prev.declared, REC, "left")
     cols = [*REC, "seq", "revision", "payload_key", *L.PAYLOAD, "about"]
     log = cut_lineage(old.withColumn("seq", F.col("first_seq")).select(*cols).unionByName(L.keyed(new_events).select(*cols)))
     state_part = cut_lineage(L.ledger_state(log))
     declared_part = cut_lineage(K.declared_links(log))
-    # the clock alone may have made others valid or expired
-    passed = prev.state.limit(0).select(*REC) if now == prev.now else L.clock_changes(
-        prev.state, prev.now, now).select(*REC).join(named, REC, "left_anti") if prev.now is not None else prev.state.select(*REC).distinct()
-    seen = named.unionByName(passed)
-    state = state_part.unionByName(prev.state.join(named, REC, "left_anti"))
-    declared = declared_part.unionByName(prev.declared.join(named, REC, "left_anti"))
+    others = passed_by(prev.state, prev.now, now)
+    if redefined is not None:
+        redefined = cut_lineage(redefined.select("task_id").distinct())
+        others = others.unionByName(prev.state.join(redefined, "task_id", "left_semi").select(*REC))
+    others = cut_lineage(others.distinct().join(named, REC, "left_anti"))
+    seen = named.unionByName(others)
     # 2. links of records that really changed
-    look = seen.join(_usable(state, now), REC, "left_semi")
-    part = _usable(state.join(look, REC, "left_semi"), now)
-    links_new = f.link(part, declared)
+    current = state_part.unionByName(prev.state.join(others, REC, "left_semi"))
+    declared = declared_part.unionByName(prev.declared.join(others, REC, "left_semi"))
+    links_new = cut_lineage(f.link(_usable(current, now), declared).select(*K.LINK))
     links_old = prev.links.join(seen, REC, "left_semi")
-    both = links_new.select(*K.LINK).withColumn("_side", F.lit(1)).unionByName(links_old.select(*K.LINK).withColumn("_side", F.lit(0)))
-    ident = [*PRED, "record_id", "payload_key"]
+    both = links_new.withColumn("_side", F.lit(1)).unionByName(links_old.select(*K.LINK).withColumn("_side", F.lit(0)))
+    ident = [*PRED, "record_id", "payload_key", "claim", "joint"]
     moved = cut_lineage(both.groupBy(*ident).agg(F.min("_side").alias("lo"), F.max("_side").alias("hi")).filter("lo = hi")
                         .select(*PRED, "record_id").distinct())
-    changed_records = moved.select(*REC).distinct()
-    links = cut_lineage(links_new.join(changed_records, REC, "left_semi").select(*K.LINK).unionByName(
-        prev.links.join(changed_records, REC, "left_anti").select(*K.LINK)))
+    changed_records = cut_lineage(moved.select(*REC).distinct())
+    links_part = links_new.join(changed_records, REC, "left_semi").select(*K.LINK)
     touched = moved.select(*PRED).distinct()
-    # 3. readings: only pairs that were never read
-    of_touched = links.join(touched, PRED, "left_semi")
-    single = of_touched.filter(~F.col("joint")).join(changed_records, REC, "left_semi")
-    pairs = cut_lineage(K.reading_pairs(single.unionByName(of_touched.filter("joint"))))
+    if redefined is not None:
+        touched = (touched.unionByName(f.predicates.join(redefined, "task_id", "left_semi").select(*PRED))
+                   .unionByName(prev.beliefs.join(redefined, "task_id", "left_semi").select(*PRED)).distinct())
+    touched = cut_lineage(touched)
+    # 3. readings: all links of changed records, joint texts of touched predicates, of which only pairs never read are read
+    joint_kept = prev.links.filter("joint").join(touched, PRED, "left_semi").join(changed_records, REC, "left_anti").select(*K.LINK)
+    pairs = cut_lineage(K.reading_pairs(links_part.filter(~F.col("joint")).unionByName(joint_kept).unionByName(
+        links_part.filter("joint").join(touched, PRED, "left_semi"))))
+    known = prev.readings.join(pairs.select("pair").distinct(), "pair", "left_semi")
     new_readings = cut_lineage(f.scorer(R.distinct_pairs(pairs).join(prev.readings, "pair", "left_anti")).select("pair", "logits"))
-    readings = prev.readings.unionByName(new_readings)
     # 4. edges and beliefs of touched predicates
-    fresh = R.attach(pairs, readings.join(pairs.select("pair").distinct(), "pair", "left_semi"), f.temperature, f.bias).select(*EDGE)
-    stale_single = prev.edges.join(changed_records, REC, "left_anti")
-    joint_gone = stale_single.filter(~F.col("record_id").startswith("joint:")).unionByName(
-        stale_single.filter(F.col("record_id").startswith("joint:")).join(touched, PRED, "left_anti"))
-    edges = cut_lineage(joint_gone.select(*EDGE).unionByName(fresh))
-    mine = f.predicates.join(touched, PRED, "left_semi")
-    b_part = cut_lineage(B.beliefs(edges.join(touched, PRED, "left_semi"), mine).select(*BELIEF))
-    b_moved = early_cutoff(prev.beliefs, b_part, PRED, ["s", "v", "u", "c", "belief"])
-    beliefs = cut_lineage(b_part.unionByName(prev.beliefs.join(touched, PRED, "left_anti").select(*BELIEF)))
-    # 5. actions above beliefs that moved
-    acts = cut_lineage(G.leaves_of(f.compiled).join(b_moved.select(*PRED), PRED, "left_semi").select("task_id", "action_id").distinct())
+    fresh = cut_lineage(R.attach(pairs, known.select("pair", "logits").unionByName(new_readings), f.temperature, f.bias).select(*EDGE))
+    old_edges = prev.edges.join(touched, PRED, "left_semi")
+    edges_gone = cut_lineage(changed_records.unionByName(old_edges.filter(F.col("record_id").startswith("joint:")).select(*REC)).distinct())
+    edges = old_edges.join(edges_gone, REC, "left_anti").select(*EDGE).unionByName(fresh.join(touched, PRED, "left_semi"))
+    b_part = cut_lineage(B.beliefs(edges, f.predicates.join(touched, PRED, "left_semi")).select(*BELIEF))
+    b_old = prev.beliefs.join(touched, PRED, "left_semi")
+    b_moved = early_cutoff(b_old, b_part, PRED, ["s", "v", "u", "c", "belief"])
+    # 5. actions above beliefs that moved, compiled for their tasks alone
+    tasks = b_moved.select("task_id") if redefined is None else b_moved.select("task_id").unionByName(redefined)
+    tasks = cut_lineage(tasks.distinct())
+    mine = [d.join(tasks, "task_id", "left_semi") for d in (f.predicates, f.gates, f.actions)]
+    compiled = cut_lineage(G.compile_actions(*mine))
     ak = ["task_id", "action_id"]
-    todo = f.compiled.join(acts, ak, "left_semi")
-    a_part = G.assess(todo, beliefs.join(acts.select("task_id").distinct(), "task_id", "left_semi"), f.ready, f.block)
-    assessments = cut_lineage(a_part.unionByName(prev.assessments.join(acts, ak, "left_anti")))
+    acts = G.leaves_of(compiled).join(b_moved.select(*PRED), PRED, "left_semi").select(*ak)
+    if redefined is not None:
+        acts = acts.unionByName(compiled.join(redefined, "task_id", "left_semi").select(*ak)).unionByName(
+            prev.assessments.join(redefined, "task_id", "left_semi").select(*ak))
+    acts = cut_lineage(acts.distinct())
+    beliefs = b_part.unionByName(prev.beliefs.join(touched, PRED, "left_anti").select(*BELIEF)).join(acts.select("task_id").distinct(), "task_id", "left_semi")
+    a_part = cut_lineage(G.assess(compiled.join(acts, ak, "left_semi"), beliefs, f.ready, f.block))
     report = {
         "changed_records": changed_records, "touched_predicates": touched, "touched_actions": acts, "read_pairs": new_readings,
-        "predicates": change_report(prev.beliefs, beliefs, PRED, "status", "UNRESOLVED"),
-        "actions": change_report(prev.assessments, assessments, ak, "disposition", "NEEDS_INFO"),
+        "predicates": change_report(b_old, b_part, PRED, "status", "UNRESOLVED"),
+        "actions": change_report(prev.assessments.join(acts, ak, "left_semi"), a_part, ak, "disposition", "NEEDS_INFO"),
     }
-    return Tables(state, declared, links, readings, edges, beliefs, assessments, now), report
+    gone = {"state": named, "declared": named, "links": changed_records, "edges": edges_gone, "beliefs": touched, "assessments": acts}
+    rows = {"state": state_part, "declared": declared_part, "links": links_part, "edges": fresh, "beliefs": b_part, "assessments": a_part, "readings": new_readings}
+    return Delta(gone, rows, report, now)
+
+
+def refresh(prev: Tables, new_events: DataFrame, f: Flow, now: float | None = None, redefined: DataFrame | None = None) -> tuple[Tables, dict[str, DataFrame]]:
+    """(new tables, report). ``f`` supplies predicates, gates, actions, scorer, calibration and bars. Tables stay lazy over what
+    was stored; ``state_store`` keeps them over many batches."""
+    d = delta(prev, new_events, f, now, redefined)
+    new = {}
+    for n, keys in KEYS.items():
+        was = getattr(prev, n)
+        kept = was.join(d.gone[n], keys, "left_anti") if n in d.gone else was
+        new[n] = kept.select(*d.rows[n].columns).unionByName(d.rows[n])
+    return Tables(**new, now=d.now), d.report
 
 
 def recalibrate(t: Tables, f: Flow, temperature: float, bias=(0.0, 0.0, 0.0)) -> tuple[DataFrame, DataFrame]:

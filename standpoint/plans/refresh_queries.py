@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from standpoint.operators import beliefs as B
@@ -10,32 +12,37 @@ from standpoint.plans import refresh as X
 from standpoint.plans.flow import derived_flow
 from standpoint.plans.link_queries import r
 from standpoint.plans.registry import cte, query
+from standpoint.plans.state_store import StateStore
 from standpoint.plans.sqltext import assess_sql, beliefs_sql, leafrow_sql, precedence_sql, r6, softmax3
 from standpoint.plans.sqltext import status_at
+from standpoint.session import shared_dir
 from standpoint.sources import derive as D
 
 ASSESS = f"task_id, action_id, {r6('s')} as s, {r6('belief')} as belief, disposition"
 
 
 def refreshed(spark, sf):
-    """The first four fifths of the log as a stored run, then the rest applied to it."""
+    """The first four fifths of the log as a stored run, then the rest applied to it in two batches."""
     f = derived_flow(spark, sf)
     n = D.table(spark, sf, "events").agg(F.max("event_id")).first()[0]
-    old = F.col("seq") < int(n * 0.8)
-    before = X.full_run(derived_flow(spark, sf, events=f.events.filter(old)))
-    return f, *X.refresh(before, f.events.filter(~old), f), before
+    first, second = int(n * 0.8), int(n * 0.99)
+    store = StateStore(spark, f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}")
+    store.create(derived_flow(spark, sf, events=f.events.filter(F.col("seq") < first)))
+    store.advance(f.events.filter((F.col("seq") >= first) & (F.col("seq") < second)), f)
+    store.advance(f.events.filter(F.col("seq") >= second), f)
+    return f, store
 
 
 @query("refresh", f"select {ASSESS} from assessments")
 def refresh(spark, sf):
-    _, t, _, _ = refreshed(spark, sf)
-    return t.assessments.select("task_id", "action_id", r("s"), r("belief"), "disposition")
+    _, store = refreshed(spark, sf)
+    return store.table("assessments").select("task_id", "action_id", r("s"), r("belief"), "disposition")
 
 
 @query("verify", "select count(*) as rows, 0 as unequal, 0.0::double as max_difference from predicates")
 def verify(spark, sf):
-    f, t, _, _ = refreshed(spark, sf)
-    return X.verify(t.beliefs, f.beliefs, X.PRED, ["s", "v", "u", "c", "belief", "status"]).select("rows", "unequal", "max_difference")
+    f, store = refreshed(spark, sf)
+    return X.verify(store.table("beliefs"), f.beliefs, X.PRED, ["s", "v", "u", "c", "belief", "status"]).select("rows", "unequal", "max_difference")
 
 
 cte("hard_beliefs", beliefs_sql(precedence_sql("hard_edges")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from standpoint.plans.flow import derived_flow
 from standpoint.plans.link_queries import r
 from standpoint.plans.registry import query
+from standpoint.plans.state_store import StateStore
 from standpoint.plans.sqltext import r6
 from standpoint.session import cut_lineage, shared_dir
 from standpoint.sources import derive as D
@@ -68,8 +69,7 @@ def decision_stream(spark, sf):
     f = derived_flow(spark, sf)
     path = f"{shared_dir(spark)}/decisions-{uuid.uuid4().hex}"
     DS.decision_stream(as_stream(f.events, "seq", 2), f, path).trigger(availableNow=True).start().awaitTermination()
-    t = DS.load_tables(spark, f"{path}/run=1", f.now)
-    return t.assessments.select("task_id", "action_id", r("s"), r("belief"), "disposition")
+    return StateStore(spark, f"{path}/store").table("assessments").select("task_id", "action_id", r("s"), r("belief"), "disposition")
 
 
 @query("correction_stream", f"select task_id, action_id, {r6('s')} as s, {r6('belief')} as belief, disposition from fixed_acts")
