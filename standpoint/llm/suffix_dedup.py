@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from standpoint.llm.common import partitions
 from standpoint.llm.kneser_ney import mix
-from standpoint.session import cut_lineage
+from standpoint.session import cut_lineage, shared_dir
 
 LENGTH, PERIOD, COVER = 50, 31, (0, 1, 3, 8, 12, 18)
 SAMPLE = LENGTH - PERIOD + 1
@@ -331,7 +331,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # one row per distinct text, that of its smallest id; the others are settled by their hash alone
     distinct = d.select("k", "hash", "text").join(firsts, ["k", "hash"], "left_semi").dropDuplicates(["k", "hash"])
     table = f"suffix_chunks_{uuid.uuid4().hex}"
-    distinct.select("k", "hash", "text").mapInArrow(_chunks, CHUNKS).write.bucketBy(width, "chunk").saveAsTable(table)
+    distinct.select("k", "hash", "text").mapInArrow(_chunks, CHUNKS).write.option("path", f"{shared_dir(spark).rstrip('/')}/{table}").bucketBy(width, "chunk").saveAsTable(table)
     try:
         chunks = spark.table(table)
         samples = cut_lineage(chunks.mapInArrow(_send_samples(buckets), PACKED).repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_rank_samples, PACKED))
