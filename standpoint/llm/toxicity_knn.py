@@ -44,6 +44,7 @@ EXAMPLES, EXAMPLE_CHARS, NEIGHBOURS = 20_000, 200_000_000, 16
 #: Groups of like examples, common words of a group, examples of a block, texts worked on together, blocks that set the threshold.
 GROUPS, COMMON, BLOCK, TOGETHER, FIRST = 8, 512, 64, 64, 3
 SOFT = 0.05
+REMEMBERED = 200_000
 WORD = re.compile(r"[^\W_]+")
 NAMES = ("vocabulary", "weight", "labels", "ids", "starts", "words", "weights", "groups", "common", "table", "blocks", "largest", "edges", "example", "part")
 
@@ -131,22 +132,50 @@ def arrays_of(vocabulary: np.ndarray, weight: np.ndarray, vectors: list[tuple[np
                             edges, owner[rare], weights[rare].astype(np.float32)), strict=True))
 
 
+class Numbers:
+    """Numbers of words in a sorted vocabulary of hashes, -1 for others; words met before are remembered, up to ``REMEMBERED``."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary, self.seen = vocabulary, {}
+
+    def of(self, words) -> np.ndarray:
+        seen = self.seen
+        new = [w for w in words if w not in seen]
+        if new:
+            if len(seen) > REMEMBERED:
+                seen.clear()
+                new = list(words)
+            h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+            at = np.searchsorted(self.vocabulary, h)
+            at[at == len(self.vocabulary)] = 0
+            seen.update(zip(new, np.where(self.vocabulary[at] == h, at, -1).tolist() if len(self.vocabulary) else [-1] * len(new), strict=True))
+        return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+
+
 class Index:
     """Examples by number and in postings, over arrays in memory or mapped from a folder."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.__dict__.update(arrays)
         self.query = np.zeros(len(self.weight))
+        self.numbers = Numbers(self.vocabulary)
         self.met = self.skipped = 0
 
     def arrays(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """A text as (words, weights) over the vocabulary."""
-        h, n = hashed(counts)
-        at = np.searchsorted(self.vocabulary, h)
-        known = at < len(self.vocabulary)
-        known[known] = self.vocabulary[at[known]] == h[known]
+        at, n = self.numbers.of(counts), np.fromiter(counts.values(), np.int64, len(counts))
+        known = np.flatnonzero(at >= 0)
+        known = known[np.argsort(at[known])]
         return weighted(at[known], n[known], self.weight)
 
+    def homes(self, vectors: list) -> np.ndarray:
+        """The group whose common words a text has most of."""
+        if not len(self.labels):
+            return np.zeros(len(vectors), np.int64)
+        terms, weights = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
+        owner = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        return np.stack([np.bincount(owner, np.where(c[terms] >= 0, weights, 0.0), len(vectors)) for c in self.common]).argmax(axis=0)
+
     def example_vector(self, e: int) -> tuple[np.ndarray, np.ndarray]:
         mine = slice(self.starts[e], self.starts[e + 1])
         return np.asarray(self.words[mine]), np.asarray(self.weights[mine])
@@ -200,11 +229,14 @@ class Index:
                 else:
                     who = np.concatenate([np.arange(self.blocks[b], ends[b]) for b in used])
                     rough[np.ix_(texts, who)] += d[texts] @ self.table[who].T
-            for (t, w), row, but in zip(some, rough, own, strict=True):
+            reached = np.stack([alive[:, group_of == g].any(axis=1) for g in range(len(dense))], axis=1)
+            for i, ((t, w), but) in enumerate(zip(some, own, strict=True)):
                 if but >= 0:
-                    row[but] = 0.0
-                limit = float(np.partition(row, many - k)[many - k]) if many > k else 0.0
-                who = np.flatnonzero((row > 0) & (row >= limit * (1 - 1e-4)))
+                    rough[i, but] = 0.0
+                who = [(self.groups[g], rough[i, self.groups[g]:self.groups[g + 1]]) for g in np.flatnonzero(reached[i])]
+                row = np.concatenate([np.zeros(0), *[r for _, r in who]])
+                limit = max(float(np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else 0.0, 0.0) * (1 - 1e-4)
+                who = np.concatenate([np.zeros(0, np.int64), *[lo + np.flatnonzero((r > 0) & (r >= limit)) for lo, r in who]])
                 where, n = spots(self.starts, who)
                 self.query[t] = w
                 sims = np.round(np.bincount(np.repeat(np.arange(len(who)), n), self.query[self.words[where]] * self.weights[where], len(who)), 12)
@@ -253,8 +285,11 @@ class Model:
     steps: tuple[np.ndarray, np.ndarray] | None = None
 
     def scores(self, index: Index, texts: list[str | None]):
-        """(score, neighbours) of each text."""
-        for near in index.nearest_of([index.arrays(term_counts(t)) for t in texts], [-1] * len(texts)):
+        """(score, neighbours) of each text. Texts of one home group are worked on together, since they skip the same blocks."""
+        vectors = [index.arrays(term_counts(t)) for t in texts]
+        order = np.argsort(index.homes(vectors), kind="stable") if vectors else []
+        found = dict(zip(order, index.nearest_of([vectors[i] for i in order], [-1] * len(order)), strict=True))
+        for near in (found[i] for i in range(len(texts))):
             if not near:
                 yield self.silent, []
                 continue
@@ -296,13 +331,11 @@ def document_counts(docs: DataFrame, folder: str) -> DataFrame:
     """In how many rows of ``docs`` each word of the vocabulary occurs: (term, n)."""
     def run(batches):
         vocabulary = np.asarray(map_array(folder, "vocabulary.npy"))
-        n = np.zeros(len(vocabulary), np.int64)
+        n, numbers = np.zeros(len(vocabulary), np.int64), Numbers(vocabulary)
         for b in batches:
             for t in b.column(0).to_pylist():
-                h = np.fromiter((xxhash.xxh64_intdigest(w) for w in set(WORD.findall((t or "").lower()))), np.uint64)
-                at = np.searchsorted(vocabulary, h)
-                at[at == len(vocabulary)] = 0
-                n[at[vocabulary[at] == h]] += 1
+                at = numbers.of(set(WORD.findall((t or "").lower())))
+                n[at[at >= 0]] += 1
         some = np.flatnonzero(n)
         for i in range(0, len(some), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[i:i + 50_000].astype(np.int32)), pa.array(n[some[i:i + 50_000]])], names=["term", "n"])
