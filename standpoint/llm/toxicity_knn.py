@@ -45,12 +45,17 @@ EXAMPLES, EXAMPLE_CHARS, NEIGHBOURS = 20_000, 200_000_000, 16
 GROUPS, COMMON, BLOCK, TOGETHER, FIRST = 8, 512, 64, 64, 3
 SOFT = 0.05
 REMEMBERED = 200_000
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"\w+")
 NAMES = ("vocabulary", "weight", "labels", "ids", "starts", "words", "weights", "groups", "common", "table", "blocks", "largest", "edges", "example", "part")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters and digits, in small letters."""
+    return WORD.findall((text or "").lower().replace("_", " "))
+
+
 def term_counts(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
+    return Counter(words_of(text))
 
 
 def hashed(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +339,7 @@ def document_counts(docs: DataFrame, folder: str) -> DataFrame:
         n, numbers = np.zeros(len(vocabulary), np.int64), Numbers(vocabulary)
         for b in batches:
             for t in b.column(0).to_pylist():
-                at = numbers.of(set(WORD.findall((t or "").lower())))
+                at = numbers.of(set(words_of(t)))
                 n[at[at >= 0]] += 1
         some = np.flatnonzero(n)
         for i in range(0, len(some), 50_000):
