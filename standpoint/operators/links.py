@@ -10,7 +10,7 @@ from standpoint.functions import scalars as S
 from standpoint.operators.scan import running_before, salted_join, skew_join
 
 REC = ["task_id", "record_id"]
-MAX_RECORDS_PER_TASK = 5000  # fixed value: the most records a task may hold, so the most texts read jointly
+MAX_RECORDS_PER_TASK = 5000  # fixed value: the most records a task may hold; here the size of a piece that is ranked at once
 LINK = [*REC, "predicate_id", "claim", "joint", "text", "authority", "valid_from", "payload_key", "revision"]
 
 
@@ -84,19 +84,17 @@ def _rank_text() -> Column:
 
 
 def joint_pairs(links: DataFrame, max_members: int = MAX_RECORDS_PER_TASK) -> DataFrame:
-    """Predicates that weigh all their texts together: the linked texts joined highest rank first, as one pair.
-    A task within its limit of records gives one part; should a group be larger, it is read in several
-    parts of bounded size by record hash, so no text is left out and no task gathers an unbounded group."""
+    """Predicates that weigh all their texts together: the linked texts joined highest rank first, as one pair whatever their
+    number. Pieces of at most about ``max_members`` are ranked apart, by record hash, and then merged by rank."""
     group = ["task_id", "predicate_id"]
     rows = links.filter("joint")
     sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(max_members)).cast("int").alias("parts"))
     rows = (salted_join(rows, sizes, group, ["record_id"])
             .withColumn("part", F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int")))
-    return (rows.groupBy(*group, "claim", "part")
-            .agg(_rank_text().alias("m"), F.max("authority").alias("authority"), F.max("valid_from").alias("valid_from"))
-            .select(*group, "claim",
-                    F.concat(F.lit("joint:"), "predicate_id",
-                             F.when(F.col("part") > 0, F.concat(F.lit("/"), F.col("part"))).otherwise(F.lit(""))).alias("record_id"),
+    pieces = rows.groupBy(*group, "claim", "part").agg(_rank_text().alias("m"), F.max("authority").alias("authority"), F.max("valid_from").alias("valid_from"))
+    return (pieces.groupBy(*group, "claim")
+            .agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"), F.max("authority").alias("authority"), F.max("valid_from").alias("valid_from"))
+            .select(*group, "claim", F.concat(F.lit("joint:"), "predicate_id").alias("record_id"),
                     F.array_join(F.transform("m", lambda x: x["t"]), " ").alias("text"), "authority", "valid_from",
                     F.transform("m", lambda x: x["r"]).alias("members"),
                     F.array_join(F.transform("m", lambda x: x["k"]), "|").alias("member_keys")))
@@ -131,18 +129,17 @@ def link_quality(sims: DataFrame, threshold: float, keys: tuple = ("task_id",))
 
 
 def render_context(records: DataFrame, max_records: int = MAX_RECORDS_PER_TASK) -> DataFrame:
-    """All usable records of a task as one text, highest rank first. A task holds at most ``max_records``; a larger one
-    comes out in several numbered parts by record hash, so that no row gathers an unbounded group."""
+    """All usable records of a task as one text, highest rank first, whatever their number. Pieces of at most about
+    ``max_records`` are ranked apart, by record hash, and then merged by rank."""
     sizes = records.groupBy("task_id").agg(F.ceil(F.count("*") / F.lit(max_records)).cast("int").alias("parts"))
     rows = (salted_join(records, sizes, ["task_id"], ["record_id"])
             .withColumn("part", F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int")))
     item = F.struct((-F.col("authority")).alias("a"), (-F.coalesce("valid_from", F.lit(float("-inf")))).alias("v"),
                     F.col("record_id").alias("r"), F.col("authority").alias("au"),
                     S.short_number("valid_from").alias("t"), F.col("text").alias("x"))
-    out = rows.groupBy("task_id", "part").agg(F.array_sort(F.collect_list(item)).alias("m"))
+    pieces = rows.groupBy("task_id", "part").agg(F.array_sort(F.collect_list(item)).alias("m"))
+    out = pieces.groupBy("task_id").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
     line = F.transform("m", lambda x, i: F.concat(
         F.lit("[record "), (i + 1).cast("string"), F.lit(" | authority "), x["au"].cast("string"), F.lit(" | time "), x["t"],
         F.lit("] "), x["x"]))
-    text = F.array_join(line, " ")
-    return out.select(F.when(F.col("part") == 0, F.col("task_id")).otherwise(F.concat("task_id", F.lit("/"), "part")).alias("task_id"),
-                      text.alias("context"))
+    return out.select("task_id", F.array_join(line, " ").alias("context"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from standpoint.functions import scalars as S
@@ -13,6 +15,7 @@ from standpoint.plans.feedback_queries import hash32
 from standpoint.plans.link_queries import r
 from standpoint.plans.registry import cte, query
 from standpoint.plans.sqltext import r6, th
+from standpoint.session import shared_dir
 from standpoint.sources import derive as D
 from standpoint.sources import files as FS
 
@@ -110,13 +113,13 @@ def import_messages(spark, sf):
 
 @query("read_labelled_pairs", """
   select 'good' as part, count(*) as n, sum(label) as labels from doc_pairs where doc_id % 7 <> 0
-  union all select 'bad', count(*), sum(7) from doc_pairs where doc_id % 7 = 0""")
+  union all select 'bad', count(*), sum(case when doc_id % 14 <> 0 then 7 end) from doc_pairs where doc_id % 7 = 0""")
 def read_labelled_pairs(spark, sf):
+    """Lines of a file: good ones, ones with a label that does not exist, and ones cut off."""
     line = F.to_json(F.struct("claim", "evidence", F.when(F.col("doc_id") % 7 == 0, 7).otherwise(F.col("label")).alias("label"), "page"))
-    from standpoint.schemas import LABELLED_PAIR
-
-    raw = pairs(spark, sf).select(F.from_json(line, LABELLED_PAIR).alias("x")).select("x.*")
-    good, bad = FS.clean_pairs(raw)
+    path = f"{shared_dir(spark).rstrip('/')}/pairs-{uuid.uuid4().hex}"
+    pairs(spark, sf).select(F.when(F.col("doc_id") % 14 == 0, F.concat(F.substring(line, 1, 20), F.lit('"'))).otherwise(line).alias("value")).write.text(path)
+    good, bad = FS.read_labelled_pairs(spark, path)
     agg = lambda d, n: d.agg(F.lit(n).alias("part"), F.count("*").alias("n"), F.sum("label").alias("labels"))
     return agg(good, "good").unionByName(agg(bad, "bad"))
 

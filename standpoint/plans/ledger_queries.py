@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from standpoint.functions import scalars as S
 from standpoint.operators import ledger as L
 from standpoint.plans.registry import query
 from standpoint.plans.sqltext import status_at, th
+from standpoint.session import shared_dir
 from standpoint.sources import derive as D
+from standpoint.sources import files as FS
 
 NOW = D.NOW
 
@@ -16,7 +20,9 @@ NOW = D.NOW
 @query("read_events", "select task_id, count(*) as deliveries, sum(revision) as revisions, "
                       "count(text) as with_text, sum(len(about)) as declared from ev group by 1")
 def read_events(spark, sf):
-    return D.event_log(spark, sf).groupBy("task_id").agg(
+    path = f"{shared_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    FS.write_table(D.event_log(spark, sf), path)
+    return FS.read_events(spark, path).groupBy("task_id").agg(
         F.count("*").alias("deliveries"), F.sum("revision").alias("revisions"), F.count("text").alias("with_text"),
         F.sum(F.when(F.col("about").isNotNull(), F.size("about"))).alias("declared"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from standpoint.functions import scalars as S
@@ -11,6 +14,7 @@ from standpoint.plans.flow import derived_flow, disposition_counts
 from standpoint.plans.link_queries import r
 from standpoint.plans.registry import cte, query
 from standpoint.plans.sqltext import G0, G1, NODES, at_least_2, r6, th, values
+from standpoint.session import shared_dir
 from standpoint.sources import derive as D
 from standpoint.sources import tasks as TS
 
@@ -263,8 +267,13 @@ def read_tasks(spark, sf):
     aj = a.groupBy("task_id").agg(F.collect_list(F.struct(
         aid.alias("id"), "description", "requires", "value_success", "cost_failure",
         F.when(aid != "a0", F.col("reliability")).alias("reliability"), F.when(aid != "a0", F.col("leak")).alias("leak"))).alias("actions"))
-    docs = pj.join(gj, "task_id").join(aj, "task_id").select(F.to_json(F.struct("task_id", "predicates", "gates", "actions")).alias("doc"))
-    p2, g2, a2 = TS.parse_tasks(docs, "doc")
+    docs = pj.join(gj, "task_id").join(aj, "task_id").select("task_id", F.to_json(F.struct("task_id", "predicates", "gates", "actions")).alias("doc"))
+    files = max(1, ceil(p.select("task_id").distinct().count() / 100))
+    path = f"{shared_dir(spark).rstrip('/')}/tasks-{uuid.uuid4().hex}"
+    whole = docs.groupBy(F.pmod(F.xxhash64("task_id"), F.lit(files)).alias("file")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("doc"), ",\n"), F.lit("\n]")).alias("value"))
+    whole.write.partitionBy("file").text(path)  # about a hundred tasks a file, each a list over many lines
+    p2, g2, a2 = TS.read_tasks(spark, path)
     return (p2.select("task_id", F.lit("predicate").alias("kind"), F.col("predicate_id").alias("id"), F.col("prior").alias("x"), F.col("ask_cost").alias("y"))
             .unionByName(g2.select("task_id", F.lit("gate").alias("kind"), F.col("gate_id").alias("id"), F.col("k").cast("double").alias("x"),
                                    F.size("children").cast("double").alias("y")))
