@@ -22,14 +22,13 @@ ASSESS = f"task_id, action_id, {r6('s')} as s, {r6('belief')} as belief, disposi
 
 
 def refreshed(spark, sf):
-    """The first four fifths of the log as a stored run, then the rest applied to it in two batches."""
+    """The first four fifths of the log as a stored run, then the rest applied to it."""
     f = derived_flow(spark, sf)
     n = D.table(spark, sf, "events").agg(F.max("event_id")).first()[0]
-    first, second = int(n * 0.8), int(n * 0.99)
-    store = StateStore(spark, f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}")
-    store.create(derived_flow(spark, sf, events=f.events.filter(F.col("seq") < first)))
-    store.advance(f.events.filter((F.col("seq") >= first) & (F.col("seq") < second)), f)
-    store.advance(f.events.filter(F.col("seq") >= second), f)
+    old = F.col("seq") < int(n * 0.8)
+    store = StateStore(spark, f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}", buckets=8, compact=1.0)
+    store.create(derived_flow(spark, sf, events=f.events.filter(old)))
+    store.advance(f.events.filter(~old), f)
     return f, store
 
 
