@@ -123,6 +123,21 @@ def test_pivots_are_exact_and_skip(spark, least):
     assert sum(r["compared"] for r in work.collect()) < 300 * 1500 / 2
 
 
+def test_queries_travel_once_to_a_block_and_gaps_take_no_part(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    mem, q = unit(rng.normal(size=(900, 16))), unit(rng.normal(size=(100, 16)))  # no clusters: bounds skip next to nothing
+    m = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(mem)] + [(900, 0, None)], "item_id long, label int, vec array<double>")
+    a = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(100, None)], "qid long, vec array<double>")
+    written = []
+    cut = N.cut_lineage
+    monkeypatch.setattr(N, "cut_lineage", lambda df: (out := cut(df), written.append(out.count() if "qid" in out.columns else 0))[0])
+    near, _ = N.search(a, m, 8, memory_block=300)
+    got = {(r["qid"], r["item_id"]) for r in near.collect()}
+    assert got == {(i, j) for i, s in enumerate(q @ mem.T) for j in np.argsort(-s)[:8].tolist()}
+    assert sum(written) <= 100 * (2 + 6)  # homes, nearest blocks, and a row for each other block of at least 150 items
+
+
 def test_growth_stays_below_the_square(spark):
     rng = np.random.default_rng(5)
     compared = []
