@@ -6,10 +6,11 @@ only where time itself changes a status.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,6 +18,7 @@ from standpoint.operators.ledger import keyed
 from standpoint.schemas import WITHDRAWN_KEY
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 1024  # fixed for a checkpoint: records keep their bucket
 RECEIPT = "task_id string, seq long, record_id string, revision int, payload_key string, outcome string, changed boolean, status string"
 
 
@@ -28,64 +30,73 @@ def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A key's rows of a micro-batch by ``seq``: they come in several Arrow chunks, cut anywhere."""
     chunks = list(rows)
     if chunks:
-        yield pd.concat(chunks, ignore_index=True).sort_values("seq")
+        yield pd.concat(chunks, ignore_index=True).sort_values("seq", kind="stable")
 
 
 class _Merge(StatefulProcessor):
-    """Keeps a record's top revision and the payload keys seen at it."""
+    """Keeps of every record of a bucket its top revision and the payload keys seen at it. A bucket's records are one state value, read
+    once and written once a micro-batch, however many deliveries it brings."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.top = handle.getValueState("top", "revision int, n int, only string")
-        self.keys = handle.getMapState("keys", "key string", "seen boolean")
+        self.handle = handle
+        self.state = handle.getValueState("records", "records binary")
+
+    def load(self) -> dict:
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else {}
+
+    def save(self, records: dict) -> None:
+        self.state.update((pickle.dumps(records, 5),))
 
-    def merge(self, revision: int, key: str) -> tuple[str, str]:
+    @staticmethod
+    def merge(record: dict, revision: int, key: str) -> tuple[str, str]:
         """(outcome, status afterwards) of one delivery."""
-        top, n, only = self.top.get() if self.top.exists() else (None, 0, "")
+        top = record.get("top")
         if top is None or revision > top:
-            outcome, top, n, only = "applied", revision, 1, key
-            self.keys.clear()
+            outcome = "applied"
+            record["top"], record["keys"] = revision, {key}
         elif revision < top:
             outcome = "stale"
-        elif self.keys.containsKey((key,)):
+        elif key in record["keys"]:
             outcome = "duplicate"
         else:
-            outcome, n = "conflict", n + 1
-        if outcome in ("applied", "conflict"):
-            self.keys.updateValue((key,), (True,))
-            self.top.update((top, n, only))
-        return outcome, "conflicted" if n > 1 else "withdrawn" if only == WITHDRAWN_KEY else "active"
+            outcome = "conflict"
+            record["keys"].add(key)
+        return outcome, "conflicted" if len(record["keys"]) > 1 else "withdrawn" if WITHDRAWN_KEY in record["keys"] else "active"
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        records = self.load()
         for chunk in in_order(rows):
-            got = [self.merge(int(r), k) for r, k in zip(chunk["revision"], chunk["payload_key"])]
+            got = [self.merge(records.setdefault((t, r), {}), int(n), k)
+                   for t, r, n, k in zip(chunk["task_id"], chunk["record_id"], chunk["revision"], chunk["payload_key"])]
             yield pd.DataFrame({
-                "task_id": key[0], "seq": chunk["seq"].to_numpy(), "record_id": key[1], "revision": chunk["revision"].to_numpy(),
-                "payload_key": chunk["payload_key"].to_numpy(), "outcome": [o for o, _ in got],
+                "task_id": chunk["task_id"].to_numpy(), "seq": chunk["seq"].to_numpy(), "record_id": chunk["record_id"].to_numpy(),
+                "revision": chunk["revision"].to_numpy(), "payload_key": chunk["payload_key"].to_numpy(), "outcome": [o for o, _ in got],
                 "changed": [o in ("applied", "conflict") for o, _ in got], "status": [s for _, s in got]})
+        self.save(records)
 
     def close(self) -> None:
         pass
 
 
+def bucket() -> Column:
+    """The bucket of a record: a group of the streams, so that Python meets few large groups instead of a small one a record."""
+    return F.pmod(F.xxhash64("task_id", "record_id"), F.lit(BUCKETS)).alias("bucket")
+
+
 def ledger_stream(events: DataFrame) -> DataFrame:
     """A receipt per delivery of a stream, in whatever order deliveries come."""
     use_rocksdb(events.sparkSession)
-    slim = keyed(events).select("task_id", "record_id", "seq", "revision", "payload_key")
-    return slim.groupBy("task_id", "record_id").transformWithStateInPandas(
+    slim = keyed(events).select("task_id", "record_id", "seq", "revision", "payload_key", bucket())
+    return slim.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Merge(), outputStructType=RECEIPT, outputMode="Append", timeMode="None")
 
 
 class _Validity(_Merge):
-    """Also keeps when the single payload becomes and stops being valid, with a timer for each."""
+    """Also keeps when the single payload of a record becomes and stops being valid, with a timer for each time."""
 
     def __init__(self, base_ms: int):
         self.base_ms = base_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.handle = handle
-        self.span = handle.getValueState("span", "valid_from double, valid_until double, last string")
-
     def _status(self, stored: str, vf, vu, now_ms: int) -> str:
         now = (now_ms - self.base_ms) / 1000.0
         if stored != "active":
@@ -94,38 +105,49 @@ class _Validity(_Merge):
             return "not_yet_valid"
         return "expired" if vu is not None and now >= vu else "active"
 
-    def _row(self, key, at_ms: int, was, now) -> pd.DataFrame:
-        return pd.DataFrame({"task_id": [key[0]], "record_id": [key[1]], "at": [(at_ms - self.base_ms) / 1000.0], "was": [was], "now": [now]})
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(t, r, (at - self.base_ms) / 1000.0, was, now) for (t, r), at, was, now in rows],
+                            columns=["task_id", "record_id", "at", "was", "now"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now_ms = max(0, timerValues.getCurrentWatermarkInMs())
+        records, touched = self.load(), {}
         for chunk in in_order(rows):
+            out = []
             for row in chunk.itertuples():
-                outcome, stored = self.merge(int(row.revision), row.payload_key)
+                name = (row.task_id, row.record_id)
+                record = records.setdefault(name, {})
+                outcome, stored = self.merge(record, int(row.revision), row.payload_key)
                 if outcome not in ("applied", "conflict"):
                     continue
-                last = self.span.get()[2] if self.span.exists() else "absent"
                 vf = None if pd.isna(row.valid_from) else float(row.valid_from)
                 vu = None if pd.isna(row.valid_until) else float(row.valid_until)
                 at = max(now_ms, int(row.clock_ms))
-                status = self._status(stored, vf, vu, at)
-                for old in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(old)
-                if stored == "active":
-                    for t in (vf, vu):
-                        if t is not None and self.base_ms + int(t * 1000) > at:
-                            self.handle.registerTimer(self.base_ms + int(t * 1000))
-                self.span.update((vf, vu, status))
+                status, last = self._status(stored, vf, vu, at), record.get("last", "absent")
+                due = {self.base_ms + int(t * 1000) for t in (vf, vu) if t is not None} if stored == "active" else set()
+                record.update(vf=vf, vu=vu, last=status, due={t for t in due if t > at})
+                touched[name] = record
                 if status != last:
-                    yield self._row(key, at, last, status)
+                    out.append((name, at, last, status))
+            if out:
+                yield self._rows(out)
+        self.save(records)
+        for t in set().union(*(r["due"] for r in touched.values())):  # records share the timers of a bucket
+            self.handle.registerTimer(t)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        vf, vu, last = self.span.get()
-        status = self._status("active", vf, vu, at)
-        if status != last:
-            self.span.update((vf, vu, status))
-            yield self._row(key, at, last, status)
+        records, out = self.load(), []
+        for name, record in records.items():
+            if at in record.get("due", ()):
+                record["due"].discard(at)
+                status = self._status("active", record["vf"], record["vu"], at)
+                if status != record["last"]:
+                    out.append((name, at, record["last"], status))
+                    record["last"] = status
+        self.save(records)
+        if out:
+            yield self._rows(out)
 
 
 def validity_stream(events: DataFrame, base_seconds: float, delay: str = "0 seconds") -> DataFrame:
@@ -133,8 +155,8 @@ def validity_stream(events: DataFrame, base_seconds: float, delay: str = "0 seco
     a timestamp; validity times are seconds after ``base_seconds`` of the epoch."""
     use_rocksdb(events.sparkSession)
     slim = keyed(events).select("task_id", "record_id", "seq", "revision", "payload_key", "valid_from", "valid_until", "clock",
-                                F.unix_millis("clock").alias("clock_ms"))
-    return (slim.withWatermark("clock", delay).groupBy("task_id", "record_id").transformWithStateInPandas(
+                                F.unix_millis("clock").alias("clock_ms"), bucket())
+    return (slim.withWatermark("clock", delay).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Validity(int(base_seconds * 1000)), outputStructType="task_id string, record_id string, at double, was string, now string",
         outputMode="Append", timeMode="EventTime"))
 
