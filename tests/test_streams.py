@@ -50,3 +50,28 @@ def test_order_holds_across_arrow_chunks(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     want = L.delivery_outcomes(df)
     assert sorted(tuple(r[c] for c in want.columns) for r in got) == sorted(map(tuple, want.collect()))
+
+
+def test_a_micro_batch_is_several_files_and_records_share_a_bucket(spark, monkeypatch):
+    from standpoint.plans import stream_queries as Q
+
+    monkeypatch.setattr(LS, "BUCKETS", 1)
+    monkeypatch.setattr(Q, "FILE_ROWS", 10)
+    rows = [("t", i, f"r{i % 7}", i // 7 % 3, f"text {i // 21}") for i in range(100)]
+    df = spark.createDataFrame(rows, "task_id string, seq long, record_id string, revision int, text string").selectExpr(
+        "*", "'s' as source_id", "0 as authority", "0.0D as valid_from", "cast(null as double) as valid_until", "cast(null as string) as span")
+    seen = []
+    Q.as_stream(df, "seq", 2).writeStream.foreachBatch(
+        lambda b, i: seen.append((b.select(F.input_file_name()).distinct().count(), sorted(r["seq"] for r in b.collect())))).trigger(availableNow=True).start().awaitTermination()
+    assert [s for _, s in seen] == [list(range(50)), list(range(50, 100))] and all(n > 1 for n, _ in seen)
+    got = {r["seq"]: (r["outcome"], r["status"]) for r in run_to_end(LS.ledger_stream(as_stream(df, "seq", 2))).collect()}
+    state, want = {}, {}
+    for _, seq, name, rev, text in rows:
+        top, texts = state.get(name, (-1, set()))
+        outcome = "applied" if rev > top else "stale" if rev < top else "duplicate" if text in texts else "conflict"
+        if outcome == "applied":
+            state[name] = (rev, {text})
+        elif outcome == "conflict":
+            texts.add(text)
+        want[seq] = (outcome, "conflicted" if len(state[name][1]) > 1 else "active")
+    assert got == want
