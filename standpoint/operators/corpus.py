@@ -92,30 +92,40 @@ def unrelated_pairs(pairs: DataFrame, key: str, n: int, seed: int = 0, candidate
     first. More draws are made than needed, twice as many again while too few worked, and the first ``n``
     that worked are kept; rows (t, claim, evidence, ...)."""
     many = 2 * n + 64
-    best = cut_lineage(_crossings(pairs, key, many, seed, candidates, mined))
+    index = cut_lineage(dense_index(pairs.select(key, "claim", "evidence", "page"), [key]))
+    total = index.count()
+    best = cut_lineage(_crossings(index, total, many, seed, candidates, mined))
     while best.count() < n and many < 256 * n:
         many *= 2
-        best = cut_lineage(_crossings(pairs, key, many, seed, candidates, mined))
+        best = cut_lineage(_crossings(index, total, many, seed, candidates, mined))
     kept = position(best, "t", "i").filter(F.col("i") < n)
+    kept = (kept.join(index.select(F.col("idx").alias("_ia"), "claim"), "_ia")
+            .join(index.select(F.col("idx").alias("_ib"), "evidence"), "_ib"))
     return kept.select("t", "i", "claim", "evidence", F.lit(NEI).alias("label"), F.lit("unrelated").alias("source"), "shared",
                        F.concat(F.lit("unrelated:"), "_pa", F.lit("|"), "_pb").alias("page"))
 
 
-def _crossings(pairs: DataFrame, key: str, many: int, seed: int, candidates: int, mined: bool) -> DataFrame:
-    """The draws among the first ``many`` for which some candidate counted, each with the one it takes."""
-    spark = pairs.sparkSession
-    idx = dense_index(pairs.select(key, "claim", "evidence", "page"), [key])
-    total = pairs.agg(F.count("*")).scalar()
-    t = spark.range(0, many).withColumnRenamed("id", "t").withColumn("_n", total)
-    a = (t.withColumn("idx", _number(seed, "a", F.col("t")) % F.col("_n")).join(idx, "idx")
-         .select("t", "_n", F.col("claim").alias("claim"), F.col("page").alias("_pa"), F.col("evidence").alias("_ea")))
+def _crossings(index: DataFrame, total: int, many: int, seed: int, candidates: int, mined: bool) -> DataFrame:
+    """The draws among the first ``many`` for which some candidate counted, each with the two rows (``_ia``, ``_ib``) it takes. Texts stay
+    where they are: a draw carries their 128-bit hashes and the claim's words, and meets the words of each candidate's evidence."""
+    def digest(c):
+        return F.unhex(F.substring(F.sha2(c, 256), 1, 32))
+
+    n = F.lit(max(total, 1))
+    t = index.sparkSession.range(0, many).withColumnRenamed("id", "t")
+    slim = index.select("idx", "page", digest("claim").alias("_claim"), digest("evidence").alias("_evidence"),
+                        *([S.content_words("claim").alias("_claim_words")] if mined else []))
+    a = t.withColumn("idx", _number(seed, "a", F.col("t")) % n).join(slim, "idx").select(
+        "t", F.col("idx").alias("_ia"), F.col("page").alias("_pa"), F.col("_claim").alias("_ca"), F.col("_evidence").alias("_ea"),
+        *([F.col("_claim_words").alias("_wa")] if mined else []))
     c = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn(
-        "idx", _number(seed, "b", F.col("t"), F.col("j")) % F.col("_n"))
-    b = idx.select("idx", F.col("claim").alias("_cb"), F.col("evidence").alias("evidence"), F.col("page").alias("_pb"))
-    ok = (F.col("_pa") != F.col("_pb")) & (F.col("claim") != F.col("_cb")) & (F.col("_ea") != F.col("evidence"))
+        "idx", _number(seed, "b", F.col("t"), F.col("j")) % n)
+    b = index.select("idx", F.col("page").alias("_pb"), digest("claim").alias("_cb"), digest("evidence").alias("_eb"),
+                     *([S.content_words("evidence").alias("_wb")] if mined else []))
+    ok = (F.col("_pa") != F.col("_pb")) & (F.col("_ca") != F.col("_cb")) & (F.col("_ea") != F.col("_eb"))
     j = c.join(b, "idx").filter(ok)
-    shared = F.size(F.array_intersect(S.content_words("claim"), S.content_words("evidence"))) if mined else F.lit(0)
-    return (j.withColumn("shared", shared).groupBy("t").agg(F.max_by(F.struct("claim", "evidence", "shared", "_pa", "_pb"),
+    shared = F.size(F.array_intersect("_wa", "_wb")) if mined else F.lit(0)
+    return (j.withColumn("shared", shared).groupBy("t").agg(F.max_by(F.struct("_ia", F.col("idx").alias("_ib"), "shared", "_pa", "_pb"),
                                                                     F.struct("shared", (-F.col("j")).alias("j"))).alias("x")).select("t", "x.*"))
 
 

@@ -122,6 +122,18 @@ def test_unrelated_pairs_reach_their_number(spark):
     assert all(r["label"] == 2 and not r["page"].endswith("hot|hot") and page[r["evidence"]] for r in got)
 
 
+def test_draws_carry_no_texts(spark):
+    """What is ranked per candidate holds numbers, pages and hashes; the texts are those of the rows it names."""
+    rows = [(i, f"claim words {i % 4} a{i % 7}", f"evidence words a{i % 7} {i}", f"p{i % 5}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, claim string, evidence string, page string")
+    index = C.dense_index(df, ["id"])
+    assert C._crossings(index, 40, 64, 1, 4, True).columns == ["t", "_ia", "_ib", "shared", "_pa", "_pb"]
+    got = C.mined_negatives(df, "id", 30, seed=1, candidates=4).collect()
+    claims, evidence = {r[1] for r in rows}, {r[2] for r in rows}
+    assert len(got) == 30 and all(r["claim"] in claims and r["evidence"] in evidence for r in got)
+    assert all(r["shared"] == len((set(r["claim"].split()) & set(r["evidence"].split())) - {str(i) for i in range(10)}) for r in got)
+
+
 def test_mixture_repeats_small_sources(spark):
     df = spark.range(110).selectExpr("id", "case when id < 10 then 'small' else 'big' end as source")
     got = {(r["source"]): r["count"] for r in C.weighted_mixture(df, "id", {"small": 1, "big": 3}, 100).groupBy("source").count().collect()}
