@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
-from standpoint.operators.scan import dense_index, ordered_index, running_before
+from standpoint.operators.ledger import SMALL_TASK, as_of_sides, change_intervals, in_force
+from standpoint.operators.links import ranked_item, rendered
+from standpoint.operators.logic import let
+from standpoint.operators.scan import dense_index, ordered_index, running_before, skew_join, spread
 from standpoint.schemas import NEI, NOT_SUPPORTS, REFUTES, SUPPORTS
 from standpoint.session import cut_lineage
 
@@ -244,30 +247,47 @@ def steps_in_force(events: DataFrame, steps: DataFrame, spans: DataFrame | None
     return ledger_as_of(events, steps, spans=spans).filter((F.col("status") == "active") & (F.coalesce("text", F.lit("")) != ""))
 
 
-def status_at_steps(live: DataFrame, predicates: DataFrame, label) -> DataFrame:
-    """Gold status of every predicate at each step that has a decisive record; ``label`` maps (text, predicate_id) to 0-2.
-    The top rank and its labels are a maximum over structs, so rows combine before the shuffle."""
-    p = predicates.groupBy("task_id").agg(F.collect_list("predicate_id").alias("pids"))
-    e = live.join(p, "task_id").withColumn("predicate_id", F.explode("pids")).withColumn("_l", label("text", "predicate_id")).filter(F.col("_l") < 2)
-    never = F.lit(float("-inf"))
-    top = (e.withColumn("vf", F.coalesce("valid_from", never)).groupBy("task_id", "step", "predicate_id", "authority", "vf")
-           .agg(F.min("_l").alias("lo"), F.max("_l").alias("hi"))
-           .groupBy("task_id", "step", "predicate_id").agg(F.max(F.struct("authority", "vf", "lo", "hi")).alias("t")))
-    status = F.when(F.col("t.lo") != F.col("t.hi"), F.lit("CONFLICT")).when(F.col("t.lo") == 0, F.lit("SATISFIED")).otherwise(F.lit("VIOLATED"))
-    return top.select("task_id", "step", "predicate_id", status.alias("status"))
-
-
-def disposition_contexts(events: DataFrame, steps: DataFrame, predicates: DataFrame, label, spans: DataFrame | None = None) -> DataFrame:
-    """One row per changed step and predicate: claim, all usable records rendered highest rank first, gold status. A task holds
-    at most 5,000 records, which bounds a context."""
-    from standpoint.operators.links import render_context
-    live = cut_lineage(steps_in_force(events, steps, spans))
-    key = F.concat(F.col("task_id"), F.lit("@"), F.col("step").cast("string"))
-    ctx = render_context(live.withColumn("task_id", key)).withColumnRenamed("task_id", "_at")
-    grid = steps.join(predicates.select("task_id", "predicate_id", F.col("text").alias("claim")), "task_id").withColumn("_at", key)
-    return (grid.join(ctx, "_at", "left").join(status_at_steps(live, predicates, label), ["task_id", "step", "predicate_id"], "left")
-            .select("task_id", "step", "predicate_id", "claim", F.coalesce("context", F.lit("(no records)")).alias("context"),
-                    F.coalesce("status", F.lit("UNRESOLVED")).alias("status")))
+def _status_of(items: Column, i: Column) -> Column:
+    """Gold status of the i-th predicate under the records in force: the decisive labels of the top rank; disagreement is a conflict."""
+    decisive = F.filter(items, lambda x: F.get(x["labels"], i) < 2)
+
+    def read(d):
+        top = F.array_max(F.transform(d, lambda x: F.struct(x["au"].alias("au"), x["vf"].alias("vf"))))
+        first = F.filter(d, lambda x: x["au"].eqNullSafe(top["au"]) & x["vf"].eqNullSafe(top["vf"]))
+        return let(F.transform(first, lambda x: F.get(x["labels"], i)), lambda labels: F.when(F.size(labels) == 0, F.lit("UNRESOLVED"))
+                   .when(F.array_min(labels) != F.array_max(labels), F.lit("CONFLICT")).when(F.array_min(labels) == 0, F.lit("SATISFIED"))
+                   .otherwise(F.lit("VIOLATED")))
+
+    return let(decisive, read)
+
+
+def disposition_contexts(events: DataFrame, steps: DataFrame, predicates: DataFrame, label, spans: DataFrame | None = None,
+                         bucket: int = 4096, small: int = SMALL_TASK) -> DataFrame:
+    """One row per changed step and predicate: claim, all usable records rendered highest rank first, gold status; ``label`` maps columns
+    (text, predicate_id) to 0-2. A task holds at most 5,000 records, which bounds a context. Records are labelled once a span and ranked once a
+    bucket of steps; a step then takes those in force from its bucket's list, inside its row, so records are never shuffled once a step."""
+    spans = change_intervals(events) if spans is None else spans
+    claims = predicates.groupBy("task_id").agg(F.collect_list(F.struct("predicate_id", F.col("text").alias("claim"))).alias("_claims"))
+    live = skew_join(spans.filter((F.col("status") == "active") & (F.coalesce("text", F.lit("")) != "")), claims, ["task_id"])
+    item = F.struct(ranked_item().alias("o"), F.coalesce("valid_from", F.lit(float("-inf"))).alias("vf"), "seq_from", "seq_to",
+                    F.transform("_claims", lambda c: label(F.col("text"), c["predicate_id"])).alias("labels"))
+    live = live.select("task_id", "seq_from", "seq_to", item.alias("item"))
+    times = steps.groupBy("task_id", "step").agg(F.count("*").cast("int").alias("_times"))
+    at, listed = as_of_sides(skew_join(times, claims, ["task_id"]), live, bucket, small)
+    # few bytes, much work in the row: dealt over all partitions
+    at, listed = spread(at, "task_id", "_bk"), spread(listed, "task_id", "_bk")
+    lists = listed.groupBy("task_id", "_bk").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = F.transform(F.filter("items", lambda x: in_force(F.col("step"), x["seq_from"], x["seq_to"])), lambda x: F.struct(
+        *[x["o"][n].alias(n) for n in ("au", "t", "x")], x["vf"].alias("vf"), x["labels"].alias("labels")))
+    none = F.col("items").isNull() | (F.size("m") == 0)
+    rows = at.join(lists, ["task_id", "_bk"], "left").withColumn("m", F.when(F.col("items").isNotNull(), found))
+    again = F.when(F.col("_times") == 1, F.col("m")).otherwise(F.flatten(F.transform("m", lambda x: F.array_repeat(x, F.col("_times")))))
+    read = F.transform("_claims", lambda c, i: F.struct(c["predicate_id"].alias("predicate_id"), c["claim"].alias("claim"), F.when(
+        none, F.lit("UNRESOLVED")).otherwise(_status_of(F.col("m"), i)).alias("status")))
+    rows = rows.select("task_id", "step", F.when(none, F.lit("(no records)")).otherwise(rendered(again)).alias("context"),
+                       F.flatten(F.array_repeat(read, F.col("_times"))).alias("read"))
+    return rows.select("task_id", "step", "context", F.explode("read").alias("r")).select(
+        "task_id", "step", "r.predicate_id", "r.claim", "context", "r.status")
 
 
 def set_suite_from_trace(events: DataFrame, steps: DataFrame, predicates: DataFrame, limit: int, seed: int = 0,

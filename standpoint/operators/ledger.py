@@ -22,6 +22,7 @@ from standpoint.session import cut_lineage
 REC = ["task_id", "record_id"]
 PAYLOAD = ["text", "source_id", "authority", "valid_from", "valid_until", "span"]
 BLOCK_ROWS = 65536
+SMALL_TASK = 256
 
 
 def keyed(events: DataFrame) -> DataFrame:
@@ -184,20 +185,30 @@ def change_intervals(events: DataFrame) -> DataFrame:
                       *[F.when(live, F.col(c)).alias(c) for c in PAYLOAD if c != "span"])
 
 
+def as_of_sides(steps: DataFrame, spans: DataFrame, bucket: int = BLOCK_ROWS, small: int = SMALL_TASK) -> tuple[DataFrame, DataFrame]:
+    """Steps and spans under common keys (task_id, _bk), so that a range condition becomes an equi-join. A task of up to ``small`` steps is one
+    bucket, however far apart its steps lie; of others the sequence axis is cut into buckets of equal width, and a span is listed once per bucket
+    it touches that holds a step of its task."""
+    used = steps.groupBy("task_id", F.floor(F.col("step") / bucket).alias("_bk")).agg(F.count("*").alias("_n"))
+    by_task = used.groupBy("task_id").agg(F.sort_array(F.collect_set("_bk")).alias("_bks"), (F.sum("_n") <= small).alias("_small"))
+    first, last = F.floor(F.col("seq_from") / bucket), F.floor((F.col("seq_to") - 1) / bucket)
+    touched = F.when(F.col("_small"), F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter("_bks", lambda b: (b >= first) & (last.isNull() | (b <= last))))
+    listed = skew_join(spans, by_task, ["task_id"]).withColumn("_bk", F.explode(touched)).drop("_bks", "_small")
+    own = F.when(F.col("_small"), F.lit(0).cast("long")).otherwise(F.floor(F.col("step") / bucket))
+    return skew_join(steps, by_task.select("task_id", "_small"), ["task_id"]).withColumn("_bk", own).drop("_small"), listed
+
+
+def in_force(step, seq_from, seq_to):
+    return (step >= seq_from) & (seq_to.isNull() | (step < seq_to))
+
+
 def ledger_as_of(events: DataFrame, steps: DataFrame, bucket: int = BLOCK_ROWS, spans: DataFrame | None = None) -> DataFrame:
     """State of every record of a task at each step (task_id, step); ``spans`` may hand in ``change_intervals`` that are
-    known already. Equal-width buckets of the sequence
-    axis turn the range condition into an equi-join: an interval is listed once per bucket it touches
-    that holds a step of its task."""
+    known already."""
     spans = change_intervals(events) if spans is None else spans
-    used = steps.select("task_id", F.floor(F.col("step") / bucket).alias("_bk")).distinct()
-    by_task = used.groupBy("task_id").agg(F.sort_array(F.collect_set("_bk")).alias("_bks"))
-    first, last = F.floor(F.col("seq_from") / bucket), F.floor((F.col("seq_to") - 1) / bucket)
-    touched = F.filter("_bks", lambda b: (b >= first) & (last.isNull() | (b <= last)))
-    listed = skew_join(spans, by_task, ["task_id"]).withColumn("_bk", F.explode(touched)).drop("_bks")
-    at = steps.withColumn("_bk", F.floor(F.col("step") / bucket))
-    inside = (F.col("step") >= F.col("seq_from")) & (F.col("seq_to").isNull() | (F.col("step") < F.col("seq_to")))
-    return at.join(listed, ["task_id", "_bk"]).filter(inside).drop("_bk")
+    at, listed = as_of_sides(steps, spans, bucket)
+    return at.join(listed, ["task_id", "_bk"]).filter(in_force(F.col("step"), F.col("seq_from"), F.col("seq_to"))).drop("_bk")
 
 
 def records_view(state: DataFrame, now: float | None = None) -> DataFrame:

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from standpoint.operators import beliefs as B
+from standpoint.operators import corpus as C
 from standpoint.operators import ledger as L
 from standpoint.operators import links as K
 from standpoint.operators import metrics as M
+from standpoint.sources import derive as D
 from tests.test_ledger import SCHEMA
 
 
@@ -64,3 +66,29 @@ def test_previous_value_over_blocks(spark):
     df = spark.range(300).select(F.lit("e").alias("k"), F.col("id").alias("t"), (F.col("id") % 7).cast("string").alias("x"))
     got = M.previous_value(df, ["k"], "t", "x", "none", block_rows=16).orderBy("t").collect()
     assert [r["previous"] for r in got] == ["none"] + [str(i % 7) for i in range(299)]
+
+
+def test_contexts_do_not_depend_on_the_buckets(spark):
+    """Far apart steps of one task are one bucket; cut into many, each step twice, the rows are the same."""
+    log = hot_log(spark, 400).withColumn("seq", F.col("seq") * 10**9).withColumn("authority", (F.col("revision") % 3).cast("int"))
+    spans = L.change_intervals(log)
+    steps = spans.select("task_id", F.col("seq_from").alias("step"))
+    preds = spark.createDataFrame([("t", f"p{i}", f"claim {i}") for i in range(3)], "task_id string, predicate_id string, text string")
+    lone = spark.createDataFrame([("t", -5)], "task_id string, step long")
+    steps = steps.unionByName(steps.limit(7)).unionByName(lone)
+    whole = C.disposition_contexts(log, steps, preds, D.gold_label, spans, small=10**6)
+    cut = C.disposition_contexts(log, steps, preds, D.gold_label, spans, small=0)
+    assert whole.count() == 3 * steps.count() and whole.exceptAll(cut).count() == 0 == cut.exceptAll(whole).count()
+    assert {tuple(r) for r in whole.filter("step = -5").select("context", "status").collect()} == {("(no records)", "UNRESOLVED")}
+    # the listing of spans by bucket does not grow with the distance of steps
+    at, listed = L.as_of_sides(steps.filter("step < 200e9"), spans)
+    assert listed.count() == spans.count() and at.select("_bk").distinct().count() == 1
+    # gold status from the records in force, step by step
+    live = C.steps_in_force(log, steps.distinct(), spans).crossJoin(preds.select("predicate_id")).withColumn("l", D.gold_label("text", "predicate_id"))
+    top = {}
+    for r in live.filter("l < 2").collect():
+        top.setdefault((r["step"], r["predicate_id"]), []).append((r["authority"], r["l"]))
+    for r in whole.collect():
+        got = top.get((r["step"], r["predicate_id"]), [])
+        labels = {x for a, x in got if a == max(got)[0]}
+        assert r["status"] == ("UNRESOLVED" if not labels else "CONFLICT" if len(labels) > 1 else "VIOLATED" if labels == {1} else "SATISFIED")
