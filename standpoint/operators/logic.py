@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from standpoint.functions import scalars as S
 from standpoint.operators import diagrams
+from standpoint.operators.scan import spread
+from standpoint.session import cut_lineage
 
 #: Up to so many repeated leaves are conditioned on inside the row; beyond, a decision diagram gives the same result.
 MAX_CONDITIONED = 8
@@ -23,8 +25,9 @@ MAX_PREDICATES = 200  # fixed value: the most predicates a task may declare, whi
 
 
 def task_documents(predicates: DataFrame, gates: DataFrame, actions: DataFrame) -> DataFrame:
-    """One row per task: sorted predicates, gates ordered children first (``topo``, with levels), actions."""
-    p = predicates.groupBy("task_id").agg(F.array_sort(F.collect_list(
+    """One row per task: sorted predicates, gates ordered children first (``topo``, with levels), actions. Tasks are dealt evenly:
+    a document is a few bytes but much work."""
+    p = spread(predicates, "task_id").groupBy("task_id").agg(F.array_sort(F.collect_list(
         F.struct("predicate_id", F.col("text").alias("claim"), "prior", "ask_cost"))).alias("preds"))
     g = gates.groupBy("task_id").agg(F.array_sort(F.collect_list(
         F.struct(F.col("gate_id").alias("id"), "op", "k", "children"))).alias("gs"))
@@ -62,7 +65,8 @@ def gate_levels(gates: DataFrame) -> DataFrame:
 
 
 def compile_actions(predicates: DataFrame, gates: DataFrame, actions: DataFrame) -> DataFrame:
-    """One row per action: its leaves, how often each is reached, the gates under it as positions."""
+    """One row per action: its leaves, how often each is reached, the gates under it as positions. A table of its own: a
+    condition on a compiled column would otherwise bring the compiling along, once more for each time the column occurs."""
     doc = task_documents(predicates, gates, actions)
     one = doc.select("task_id", "preds", "topo", F.explode("acts").alias("a")).select("task_id", "preds", "topo", "a.*")
     reach = F.aggregate(F.reverse("topo"), F.array("requires"), lambda acc, g: F.when(
@@ -91,8 +95,8 @@ def compile_actions(predicates: DataFrame, gates: DataFrame, actions: DataFrame)
     one = one.withColumn("reps", F.filter(F.transform("n_paths", lambda n, i: F.when(n > 1, i).otherwise(F.lit(-1))),
                                           lambda i: i >= 0))
     order = F.transform("leaves", lambda x: F.filter("preds", lambda p: p["predicate_id"] == x)[0])
-    return (one.withColumn("priors", F.transform(order, lambda p: p["prior"]))
-            .drop("preds", "topo", "_reach", "_under", "_nodes", "_counts"))
+    return cut_lineage(one.withColumn("priors", F.transform(order, lambda p: p["prior"]))
+                       .drop("preds", "topo", "_reach", "_under", "_nodes", "_counts"))
 
 
 def leaves_of(compiled: DataFrame) -> DataFrame:
@@ -234,10 +238,10 @@ def with_leaves(compiled: DataFrame, beliefs: DataFrame, extra: list[str] | None
 def assess(compiled: DataFrame, beliefs: DataFrame, ready: float | Column = 0.5, block: float = 0.5,
            extra: list[str] | None = None) -> DataFrame:
     """Every action's status distribution, belief, chance of success, expected utility and disposition, exact at any number of
-    leaves that are reached on several paths."""
+    leaves that are reached on several paths. Actions are dealt evenly: a row is a few bytes but much work."""
     keep = ["task_id", *(extra or []), "action_id", "reliability", "leak", "value_success", "cost_failure", "needs_approval"]
     rows = with_leaves(compiled, beliefs, extra)
-    few = rows.filter(F.size("reps") <= MAX_CONDITIONED).select(
+    few = spread(rows.filter(F.size("reps") <= MAX_CONDITIONED).drop("leaf"), "task_id", "action_id").select(
         *keep, evaluate(F.col("prog"), F.col("root"), F.col("reps"), F.col("ls"), F.col("lb")).alias("ev"))
     many = diagrams.per_action(rows.filter(F.size("reps") > MAX_CONDITIONED), keep, diagrams.evaluated, "struct<s:double,v:double,u:double,belief:double>")
     ev = few.unionByName(many.select(*keep, F.struct("out.*", F.lit(True).alias("exact")).alias("ev")))

@@ -168,7 +168,7 @@ def delta(prev: Tables, new_events: DataFrame, f: Flow, now: float | None = None
     tasks = b_moved.select("task_id") if redefined is None else b_moved.select("task_id").unionByName(redefined)
     tasks = cut_lineage(tasks.distinct())
     mine = [d.join(tasks, "task_id", "left_semi") for d in (f.predicates, f.gates, f.actions)]
-    compiled = cut_lineage(G.compile_actions(*mine))
+    compiled = G.compile_actions(*mine)
     ak = ["task_id", "action_id"]
     acts = G.leaves_of(compiled).join(b_moved.select(*PRED), PRED, "left_semi").select(*ak)
     if redefined is not None:

@@ -244,3 +244,19 @@ def test_diagram_equals_every_world():
             while x > 2:
                 x = d.branches[x][world[order[d.asks[x]]]]
             assert x == settle(gates, dict(zip(preds, world)), nodes[-1])
+
+
+def test_compiling_is_done_once_and_actions_are_dealt_evenly(spark):
+    """A condition on a compiled column must not bring the compiling along, nor may all actions land in one task for their size."""
+    p = spark.createDataFrame([(f"t{i}", x, x, 0.5, 1.0, False) for i in range(200) for x in "abc"],
+                              "task_id string, predicate_id string, text string, prior double, ask_cost double, join boolean")
+    g = p.select("task_id").distinct().selectExpr("task_id", "'g' as gate_id", "'AND' as op", "array('a', 'b') as children", "0 as k")
+    a = p.select("task_id").distinct().selectExpr("task_id", "'x' as action_id", "'do' as description", "'g' as requires", "1.0D as value_success", "1.0D as cost_failure",
+                                                  "1.0D as reliability", "0.0D as leak", "false as needs_approval")
+    b = p.selectExpr("task_id", "predicate_id", "0.9D as s", "0.05D as v", "0.05D as u", "0.0D as c", "0.925D as belief")
+    out = G.assess(G.compile_actions(p, g, a), b)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan
+    assert len({r.p for r in out.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
+    got = out.collect()
+    assert len(got) == 200 and all(abs(r.s - 0.81) < 1e-12 and r.disposition == "READY" for r in got)
