@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from standpoint.functions import scalars as S
 from standpoint.operators import diagrams
-from standpoint.operators.scan import spread
+from standpoint.operators.scan import deal
 from standpoint.session import cut_lineage
 
 #: Up to so many repeated leaves are conditioned on inside the row; beyond, a decision diagram gives the same result.
@@ -27,14 +27,14 @@ MAX_PREDICATES = 200  # fixed value: the most predicates a task may declare, whi
 def task_documents(predicates: DataFrame, gates: DataFrame, actions: DataFrame) -> DataFrame:
     """One row per task: sorted predicates, gates ordered children first (``topo``, with levels), actions. Tasks are dealt evenly:
     a document is a few bytes but much work."""
-    p = spread(predicates, "task_id").groupBy("task_id").agg(F.array_sort(F.collect_list(
+    p = predicates.groupBy("task_id").agg(F.array_sort(F.collect_list(
         F.struct("predicate_id", F.col("text").alias("claim"), "prior", "ask_cost"))).alias("preds"))
     g = gates.groupBy("task_id").agg(F.array_sort(F.collect_list(
         F.struct(F.col("gate_id").alias("id"), "op", "k", "children"))).alias("gs"))
     a = actions.groupBy("task_id").agg(F.array_sort(F.collect_list(
         F.struct("action_id", "description", "requires", "value_success", "cost_failure", "reliability", "leak",
                  "needs_approval"))).alias("acts"))
-    doc = p.join(a, "task_id", "left").join(g, "task_id", "left")
+    doc = deal(p.join(a, "task_id", "left").join(g, "task_id", "left"), "task_id")
     none = F.array().cast("array<struct<id:string,op:string,k:int,children:array<string>>>")
     return doc.withColumn("gs", F.coalesce("gs", none)).withColumn("topo", _topological("gs"))
 
@@ -241,7 +241,7 @@ def assess(compiled: DataFrame, beliefs: DataFrame, ready: float | Column = 0.5,
     leaves that are reached on several paths. Actions are dealt evenly: a row is a few bytes but much work."""
     keep = ["task_id", *(extra or []), "action_id", "reliability", "leak", "value_success", "cost_failure", "needs_approval"]
     rows = with_leaves(compiled, beliefs, extra)
-    few = spread(rows.filter(F.size("reps") <= MAX_CONDITIONED).drop("leaf"), "task_id", "action_id").select(
+    few = deal(rows.filter(F.size("reps") <= MAX_CONDITIONED).drop("leaf"), "task_id", "action_id").select(
         *keep, evaluate(F.col("prog"), F.col("root"), F.col("reps"), F.col("ls"), F.col("lb")).alias("ev"))
     many = diagrams.per_action(rows.filter(F.size("reps") > MAX_CONDITIONED), keep, diagrams.evaluated, "struct<s:double,v:double,u:double,belief:double>")
     ev = few.unionByName(many.select(*keep, F.struct("out.*", F.lit(True).alias("exact")).alias("ev")))

@@ -1,5 +1,6 @@
 """Statistics against numpy and hand-worked tables."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -105,3 +106,22 @@ def test_confusion_and_contrast(spark):
     assert (r["n_sets"], r["set_accuracy"]) == (2, 0.5)
     rep = M.classification_report(df).first()
     assert rep["accuracy"] == pytest.approx(0.8) and rep["macro_f1"] == pytest.approx((4 / 5 + 2 / 3 + 1) / 3)
+
+
+def test_replicates_add_up_in_the_tasks_that_draw_them(spark):
+    """Weights are those of md5, for texts of any length; clusters are dealt over many tasks, however few bytes they are."""
+    names = ["|1", "|22", "|" + "é" * 40, "", "|a|b"]
+    w = M.weights_of(names, 1200, 7)
+    for i, n in enumerate(names):
+        for b in (0, 9, 10, 99, 100, 1000, 1199):
+            h = hashlib.md5(f"7|{b}{n}".encode()).hexdigest()
+            assert w[i, b] == sum(h >= t for t in M.POISSON)
+    rows = [(i, m, float(i % 5) if i % 7 else None, 2.0) for i in range(300) for m in ("x", "y")] + [(None, "y", float("inf"), 1.0)]
+    parts = spark.createDataFrame(rows, "k int, m string, num double, den double")
+    d = M.replicate_sums(parts.groupBy("k", "m").agg(F.sum("num").alias("num"), F.sum("den").alias("den")), ["k"], ["m"], ["num", "den"], 40)
+    got = {(r.m, r.b): (r.num, r.den) for r in d.collect()}
+    w = M.weights_of([f"|{i}" if i is not None else "" for i in [*range(300), None]], 40, 0)
+    for b in range(40):
+        assert got["x", b][0] == sum(w[i, b] * (i % 5) for i in range(300) if i % 7)
+        assert got["y", b] == (float("inf") if w[300, b] else got["x", b][0], got["x", b][1] + w[300, b])
+    assert "xxhash64" in d._jdf.queryExecution().optimizedPlan().toString()
