@@ -1,23 +1,31 @@
 """What is worth asking: requirements evaluated under assumed answers.
 
 All actions of a task sit in one row (a bounded document), so a scenario is a changed copy of the leaf
-values inside that row. Question sets become rows; answers are folded within them. Nothing is joined or
-shuffled per scenario.
+values inside that row. Question sets of a task go together in pieces of bounded size; their answers are worked out side by
+side. Nothing is joined or shuffled per scenario.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from standpoint.functions import scalars as S
 from standpoint.operators import diagrams
-from standpoint.operators.logic import _digit, evaluate, let, with_leaves
-from standpoint.operators.scan import spread
+from standpoint.operators.logic import MAX_CONDITIONED, evaluate, let, with_leaves
+from standpoint.operators.scan import deal
 from standpoint.schemas import READY
 
 SETTLED, MIN_OPEN = 0.999, 0.2
 MAX_SET = 3
+SETS_TOGETHER = 512  # question sets of a task worked on together
 
 
 def open_predicates(beliefs: DataFrame, min_open: float = MIN_OPEN) -> DataFrame:
@@ -62,11 +70,6 @@ def outcome_of(act: Column, ls: Column, lb: Column, ready: float, block: float)
     return let(ev, read)
 
 
-def _certain(value: Column) -> Column:
-    """Leaf value of an answered predicate: 0 yes, 1 no, 2 stays open."""
-    return F.struct(*[(value == i).cast("double").alias(n) for i, n in enumerate("svu")])
-
-
 def _total(outcomes: Column) -> Column:
     return F.aggregate(outcomes, F.lit(0.0), lambda a, x: a + x["u"])
 
@@ -78,39 +81,122 @@ def policy_utility(tasks: DataFrame, ready: float = 0.5, block: float = 0.5) ->
                     F.transform("o", lambda x: F.concat(x["a"], F.lit("="), x["d"])).alias("dispositions"))
 
 
+def _number(x) -> float:
+    return math.nan if x is None else float(x)
+
+
+def _position(i: int | None) -> int:
+    if i is None or i < 0:
+        raise ValueError("a node that is not there")
+    return i
+
+
+def _at_least(ps: list[np.ndarray], k: int | None, one: np.ndarray) -> np.ndarray:
+    if k is None:
+        return one * math.nan
+    t = [one, *[one * 0.0] * len(ps)]
+    for p in ps:
+        t = [x * (1.0 - p) + (t[i - 1] if i else 0.0) * p for i, x in enumerate(t)]
+    return reduce(lambda a, x: a + x, t[max(k, 0):], one * 0.0)
+
+
+def _folded(prog: list[dict], leaves: list[tuple], root: int, one: np.ndarray) -> tuple:
+    """Values of the root, over many settings of the leaves: (satisfied, violated), or (true,) where leaves are truths."""
+    nodes = list(leaves)
+    for g in prog:
+        kids = [nodes[_position(i)] for i in g["kids"]]
+        n, k, s = len(kids), g["k"], [x[0] for x in kids]
+        v = [x[-1] for x in kids]
+        whole, none = reduce(lambda a, x: a * x, s, one), 1.0 - reduce(lambda a, x: a * (1.0 - x), s, one)
+        if len(leaves[0]) == 1:
+            nodes.append((whole if g["op"] == "AND" else none if g["op"] == "OR" else 1.0 - s[0] if g["op"] == "NOT" else _at_least(s, k, one),))
+        elif g["op"] == "AND":
+            nodes.append((whole, 1.0 - reduce(lambda a, x: a * (1.0 - x), v, one)))
+        elif g["op"] == "OR":
+            nodes.append((none, reduce(lambda a, x: a * x, v, one)))
+        elif g["op"] == "NOT":
+            nodes.append((v[0], s[0]))
+        else:
+            nodes.append((_at_least(s, k, one), _at_least(v, None if k is None else n - k + 1, one)))
+    return nodes[_position(root)]
+
+
+def _over_worlds(act: dict, leaves: list[tuple], weights: list[tuple], hot: list[tuple], one: np.ndarray) -> list[np.ndarray]:
+    """``_folded`` summed over the worlds of the leaves reached on several paths (``weights`` and ``hot``: of each value such a leaf may take)."""
+    cond = act["reps"] if len(act["reps"]) <= MAX_CONDITIONED else []
+    out = [one * 0.0 for _ in leaves[0]] if leaves else [one * 0.0, one * 0.0]
+    for world in product(range(len(hot)), repeat=len(cond)):
+        digits = dict(zip(cond, reversed(world), strict=True))  # the first leaf's value changes fastest
+        weight = reduce(lambda a, c: a * weights[c][digits[c]], cond, one)
+        some = weight > 0
+        if some.any():
+            fixed = [tuple(one * h for h in hot[digits[i]]) if i in digits else x for i, x in enumerate(leaves)]
+            out = [np.where(some, a + weight * y, a) for a, y in zip(out, _folded(act["prog"], fixed, act["root"], one), strict=True)]
+    return out
+
+
+def outcomes_of(act: dict, ls: np.ndarray, lb: np.ndarray, ready: float, block: float) -> tuple[np.ndarray, np.ndarray]:
+    """``outcome_of`` over many settings of a task's leaf values (rows): dispositions as 0 ready, 1 blocked, 2 open, and utilities."""
+    at = [_position(i - 1) for i in act["at"]]
+    one = np.ones(len(lb))
+    s, v = _over_worlds(act, [(ls[:, i, 0], ls[:, i, 1]) for i in at], [tuple(ls[:, i].T) for i in at], [(1.0, 0.0), (0.0, 1.0), (0.0, 0.0)], one)
+    belief, = _over_worlds(act, [(lb[:, i],) for i in at], [(1.0 - lb[:, i], lb[:, i]) for i in at], [(0.0,), (1.0,)], one)
+    d = np.where((s >= ready) & (s >= v), 0, np.where(v >= block, 1, 2))
+    p = belief * _number(act["reliability"]) + (1.0 - belief) * _number(act["leak"])
+    return d, np.where(d == 0, p * _number(act["value_success"]) - (1.0 - p) * _number(act["cost_failure"]), 0.0)
+
+
+def asked_values(acts: list[dict], ls: list[dict], lb: list, qs: list[list[int]], ready: float, block: float) -> list[dict]:
+    """Per question set (positions from one) of a task: the present utility, the expected one over all answers, and the actions whose
+    disposition some answer changes. All answers of all sets are worked out side by side."""
+    ls, lb = np.array([[_number(x[n]) for n in "svu"] for x in ls]), np.array([_number(x) for x in lb])
+    which = [(k, [(_position(i - 1), w >> j & 1) for j, i in enumerate(q)]) for k, q in enumerate(qs) for w in range(2 ** len(q))]
+    weight = np.array([reduce(lambda a, x: a * (lb[x[0]] if x[1] == 0 else 1.0 - lb[x[0]]), asked, 1.0) for _, asked in which])
+    which = [x for x, y in zip(which, weight > 0, strict=True) if y]  # impossible answers are left out
+    weight = weight[weight > 0]
+    many_s, many_b = np.repeat(ls[None], len(which) + 1, axis=0), np.repeat(lb[None], len(which) + 1, axis=0)  # the first row: nothing asked
+    for row, (_, asked) in enumerate(which, 1):
+        for i, no in asked:
+            many_s[row, i], many_b[row, i] = ((0.0, 1.0, 0.0), 0.0) if no else ((1.0, 0.0, 0.0), 1.0)
+    total, changed = np.zeros(len(many_b)), [set() for _ in qs]
+    for act in acts:
+        leaves = {i - 1 for i in act["at"]}
+        meets = [0, *[row for row, (_, asked) in enumerate(which, 1) if any(i in leaves for i, _ in asked)]]  # others stay as they are
+        d, u = outcomes_of(act, many_s[meets], many_b[meets], ready, block)
+        every = np.full(len(many_b), u[0])
+        every[meets] = u
+        total = total + every
+        for row in np.flatnonzero(d != d[0]):
+            changed[which[meets[row] - 1][0]].add(act["action_id"])
+    e = [0.0] * len(qs)
+    for (k, _), x, t in zip(which, weight, total[1:], strict=True):
+        e[k] += float(x * t)
+    none = lambda x: None if math.isnan(x) else float(x)
+    return [{"base": none(total[0]), "e": none(e[k]), "c": list(changed[k])} for k in range(len(qs))]
+
+
 def value_of_asking(tasks: DataFrame, sets: DataFrame, ready: float = 0.5, block: float = 0.5) -> DataFrame:
     """Value of each question set (task_id, asked: sorted predicate ids): expected utility over all answers, each
     weighed by belief, less the present utility and the costs of asking; which question to put first; and
     the actions whose proposal some answer changes."""
-    base = spread(tasks, "task_id").withColumn("base", F.transform("acts", lambda a: outcome_of(a, F.col("ls"), F.col("lb"), ready, block)))
-    d = spread(base.join(sets, "task_id"), "task_id", "asked").withColumn("q", F.transform("asked", lambda p: F.array_position("pids", p).cast("int")))
-    n = F.size("q")
-    slot = lambda i: F.array_position("q", i + 1).cast("int") - 1
-
-    def answer(acc, w):
-        weight = F.aggregate(F.transform("q", lambda i, j: F.when(_digit(w, j, 2) == 0, F.element_at("lb", i))
-                                         .otherwise(1.0 - F.element_at("lb", i))), F.lit(1.0), lambda a, x: a * x)
-        ls = F.transform("ls", lambda x, i: F.when(slot(i) >= 0, _certain(_digit(w, slot(i), 2))).otherwise(x))
-        lb = F.transform("lb", lambda x, i: F.when(slot(i) >= 0, 1.0 - _digit(w, slot(i), 2)).otherwise(x))
-
-        def add(x):
-            def under(st):
-                # an action with none of the asked predicates under it stays as it is
-                out = F.transform("acts", lambda a, k: F.when(
-                    F.arrays_overlap(a["at"], "q"), outcome_of(a, st["ls"], st["lb"], ready, block)).otherwise(F.element_at("base", k + 1)))
-                return let(out, lambda o: F.struct(
-                    (acc["e"] + x * _total(o)).alias("e"),
-                    F.array_union(acc["c"], F.transform(F.filter(o, lambda y, k: y["d"] != F.element_at("base", k + 1)["d"]),
-                                                        lambda y: y["a"])).alias("c")))
-
-            return let(F.struct(ls.alias("ls"), lb.alias("lb")), under)
-
-        return let(weight, lambda x: F.when(x > 0, add(x)).otherwise(acc))
-
-    start = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<string>").alias("c"))
-    d = d.withColumn("r", F.aggregate(F.sequence(F.lit(0), F.pow(F.lit(2.0), n.cast("double")).cast("int") - 1), start, answer))
+    pieces = (1 + F.floor(F.pow(F.size("pids").cast("double"), F.lit(3.0)) / F.lit(6.0 * SETS_TOGETHER))).cast("long")  # all sets of up to three, cut
+    piece = sets.join(tasks.select("task_id", pieces.alias("_n")), "task_id").withColumn("_piece", F.pmod(F.xxhash64("asked"), F.col("_n")))
+    rows = tasks.join(piece.groupBy("task_id", "_piece").agg(F.collect_list("asked").alias("sets")), "task_id")
+    placed = F.transform("sets", lambda s: F.transform(s, lambda p: F.array_position("pids", p).cast("int")))
+    d = deal(rows.withColumn("qs", placed), "task_id", "_piece")
+    result = "array<struct<base:double,e:double,c:array<string>>>"
+    schema = d.select("task_id", "sets", "qs", "pids", "lb", "costs", F.lit(None).cast(result).alias("r")).schema
+    arrow = to_arrow_type(schema["r"].dataType)
+
+    def run(batches):
+        for b in batches:
+            out = [asked_values(r["acts"], r["ls"], r["lb"], r["qs"], ready, block) for r in b.select(["acts", "ls", "lb", "qs"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:-1]), pa.array(out, arrow)], names=schema.names)
+
+    d = d.mapInArrow(run, schema).withColumn("x", F.explode(F.arrays_zip("sets", "qs", "r"))).select(
+        "task_id", "pids", "lb", "costs", F.col("x.sets").alias("asked"), F.col("x.qs").alias("q"), F.col("x.r").alias("r"))
     cost = F.aggregate(F.transform("q", lambda i: F.element_at("costs", i)), F.lit(0.0), lambda a, x: a + x)
-    gain = F.col("r.e") - _total(F.col("base"))
+    gain = F.col("r.e") - F.col("r.base")
     first = F.array_min(F.transform("q", lambda i: F.struct(
         (F.element_at("costs", i) / F.greatest(F.lit(1e-9), 1.0 - F.element_at("lb", i))).alias("k"), F.element_at("pids", i).alias("p"))))
     return d.select("task_id", "asked", (gain - cost).alias("value"), gain.alias("gross_gain"), cost.alias("cost"),
