@@ -1,7 +1,12 @@
 """Questions and certificates on cases small enough to work out."""
 
+import random
+
 import itertools
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from standpoint.operators import logic as G
 from standpoint.operators import planner as P
 from tests.test_logic import A, BEL, GT, settle
@@ -83,3 +88,38 @@ def test_unnecessary_questions_agree_with_trying_everything(spark):
             if all(len({settle(gates, {"c": 0, n: v} | dict(zip(rest, combo)), root) for v in range(3)}) == 1 for combo in itertools.product(range(3), repeat=len(rest))):
                 want.add((act, n))
     assert got == want
+
+
+def test_answers_side_by_side_are_the_fold_s(spark):
+    """Question values over arrays are those of the expression, with repeated leaves and every operator; pieces of sets are dealt over many tasks."""
+    rng = random.Random(5)
+    names = [f"p{i}" for i in range(5)]
+    ops = [("AND", 0), ("OR", 0), ("ATLEAST", 2), ("NOT", 0)]
+    preds = [(f"t{t}", n, n, 0.5, 0.1, False) for t in range(40) for n in names]
+    gates = []
+    for t in range(40):
+        for i in range(3):
+            op, k = ops[(t + i) % 4]
+            kids = rng.sample(names, 1 if op == "NOT" else 3)
+            gates.append((f"t{t}", f"g{i}", op, kids, k))
+        gates.append((f"t{t}", "top", "OR" if t % 2 else "AND", ["g0", "g1", "g2"], 0))
+    p = spark.createDataFrame(preds, "task_id string, predicate_id string, text string, prior double, ask_cost double, join boolean")
+    g = spark.createDataFrame(gates, "task_id string, gate_id string, op string, children array<string>, k int")
+    a = spark.createDataFrame([(f"t{t}", x, x, r, 3.0, 2.0, 0.9, 0.1, False) for t in range(40) for x, r in (("a", "top"), ("b", "g0"))],
+                              "task_id string, action_id string, description string, requires string, value_success double, cost_failure double, "
+                              "reliability double, leak double, needs_approval boolean")
+    rows = []
+    for t, n, *_ in preds:
+        s, v = rng.choice([(0.7, 0.2), (1.0, 0.0), (0.3, 0.3), (0.0, 0.9)])
+        rows.append((t, n, 0.5, s, v, 1 - s - v, 0.0, s + (1 - s - v) * 0.5))
+    b = spark.createDataFrame(rows, "task_id string, predicate_id string, prior double, s double, v double, u double, c double, belief double")
+    tasks = P.task_rows(G.compile_actions(p, g, a), b, p)
+    acts = tasks.select("task_id", "ls", "lb", F.explode("acts").alias("act"))
+    one = acts.select("task_id", "act", "ls", "lb", P.outcome_of(F.col("act"), F.col("ls"), F.col("lb"), 0.5, 0.5).alias("o"))
+    for r in one.collect():
+        act = r.act.asDict(recursive=True)
+        d, u = P.outcomes_of(act, np.array([[[x.s, x.v, x.u] for x in r.ls]]), np.array([r.lb]), 0.5, 0.5)
+        assert ["READY", "BLOCKED", "NEEDS_INFO"][d[0]] == r.o.d and u[0] == r.o.u
+    v = P.value_of_asking(tasks, P.question_sets(P.askable(b)))
+    assert "xxhash64" in v._jdf.queryExecution().optimizedPlan().toString() and "aggregate(sequence" not in v._jdf.queryExecution().optimizedPlan().toString()
+    assert len({r.p for r in v.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
