@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from standpoint.functions import scalars as S
-from standpoint.operators.scan import running_before, salted_join, skew_join
+from standpoint.operators.scan import running_before, salted_join, skew_join, spread
 
 PRED = ["task_id", "predicate_id"]
 EPS = 1e-12
@@ -141,4 +141,10 @@ def custom_status(edges: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
     checked = salted_join(edges, sizes, PRED, ["record_id"])
     bounded = checked.filter(F.when(F.col("_fits"), F.lit(True)).otherwise(
         F.raise_error(F.lit("more readings for one predicate than a task may hold")).cast("boolean"))).drop("_fits")
-    return bounded.groupBy(*PRED).applyInPandas(fn, schema)
+
+    def rule(frame: pd.DataFrame) -> pd.DataFrame:
+        del frame["_deal"]
+        return fn(frame)
+
+    # few bytes, much work: dealt over all partitions, by a key of its own, since a repartition by keys the rows lie by already is left out
+    return spread(bounded.withColumn("_deal", F.xxhash64(*PRED)), "_deal").groupBy("_deal", *PRED).applyInPandas(rule, schema)

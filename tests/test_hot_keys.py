@@ -92,3 +92,13 @@ def test_contexts_do_not_depend_on_the_buckets(spark):
         got = top.get((r["step"], r["predicate_id"]), [])
         labels = {x for a, x in got if a == max(got)[0]}
         assert r["status"] == ("UNRESOLVED" if not labels else "CONFLICT" if len(labels) > 1 else "VIOLATED" if labels == {1} else "SATISFIED")
+
+
+def test_a_user_s_rule_runs_in_many_tasks(spark):
+    """Readings are few bytes, the rule much work: predicates must not be put together in one task for their size."""
+    from standpoint.operators import beliefs as B
+
+    e = spark.createDataFrame([(f"t{i}", "p", f"r{j}", 0.1) for i in range(60) for j in range(3)], "task_id string, predicate_id string, record_id string, p_n double")
+    got = B.custom_status(e, lambda f: f.head(1)[["task_id", "predicate_id"]].assign(n=len(f)), "task_id string, predicate_id string, n long")
+    rows = got.withColumn("p", F.spark_partition_id()).collect()
+    assert len(rows) == 60 and all(r.n == 3 for r in rows) and len({r.p for r in rows}) > 1
