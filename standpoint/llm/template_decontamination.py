@@ -166,9 +166,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """``docs`` without the leaked ones, with all their columns."""
+    """``docs`` without the leaked ones, with all their columns. What leaked is written first: its size is then known before whole
+    documents are joined with it, which are shuffled only where it is too much to be sent around."""
     key, id_, key_ = fresh(docs.columns, "text_key", "leaked_id", "leaked_key")
-    bad = leaks(docs, benchmark, share).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_)).distinct()
+    bad = cut_lineage(leaks(docs, benchmark, share).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_)).distinct())
     marked = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
     clean = marked.join(bad, marked["doc_id"].eqNullSafe(bad[id_]) & (marked[key] == bad[key_]), "left_anti")
     return clean.select(*[F.col(f"`{c}`") for c in docs.columns])

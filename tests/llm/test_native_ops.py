@@ -59,6 +59,15 @@ def test_templates(spark):
     assert template_decontamination.leaks(d.limit(0), b).count() == 0 and template_decontamination.leaks(d, b.limit(0)).count() == 0
 
 
+def test_removal_does_not_shuffle_texts(spark):
+    """What leaked is known to be little before whole documents are joined with it."""
+    d = docs(spark, [(1, "Before. " + ITEM + " after.", "a"), (2, "clean text", "a")])
+    kept = template_decontamination.remove(d, spark.createDataFrame([(9, ITEM)], "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [2]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def edf(content):
     """Earliest deadline first, slot by slot."""
     total, placed, out = sum(n for _, n in content), {s: 0 for s, _ in content}, []
