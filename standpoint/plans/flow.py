@@ -51,7 +51,8 @@ class Flow:
 
     @cached_property
     def declared(self) -> DataFrame:
-        return K.declared_links(self.events)
+        """A table of its own, since links and stored tables take it from here."""
+        return cut_lineage(K.declared_links(self.events))
 
     def link(self, records: DataFrame, declared: DataFrame) -> DataFrame:
         """Which record is read against which predicate. A full run and a refresh both ask here."""
@@ -74,7 +75,8 @@ class Flow:
 
     @cached_property
     def readings(self) -> DataFrame:
-        return self.scorer(R.distinct_pairs(self.pairs))
+        """A table of its own: a pair is read once, however many steps ask for its reading."""
+        return cut_lineage(self.scorer(R.distinct_pairs(self.pairs)))
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -77,7 +77,7 @@ def full_run(f: Flow) -> Tables:
     edges = cut_lineage(f.edges.select(*EDGE))
     beliefs = cut_lineage(B.beliefs(edges, f.predicates).select(*BELIEF))
     a = cut_lineage(G.assess(f.compiled, beliefs, f.ready, f.block))
-    return Tables(cut_lineage(f.state), cut_lineage(f.declared), f.links, cut_lineage(f.readings.select("pair", "logits")), edges, beliefs, a, f.now)
+    return Tables(cut_lineage(f.state), f.declared, f.links, f.readings.select("pair", "logits"), edges, beliefs, a, f.now)
 
 
 def _usable(state: DataFrame, now: float | None) -> DataFrame:

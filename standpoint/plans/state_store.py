@@ -102,7 +102,8 @@ class StateStore:
         target = f"{self.path}/{table}/{folder}"
         dealt = rows.withColumn("bucket", self._bucket(DEALT[table]))
         if base:
-            dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{target}/rows")
+            # buckets are few: a plain repartition would leave all rows to as many tasks, however many rows there are
+            dealt.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{target}/rows")
         else:
             dealt.sortWithinPartitions("bucket").write.parquet(f"{target}/rows")
         n, g = self.spark.read.schema(dealt.schema).parquet(f"{target}/rows").count(), 0

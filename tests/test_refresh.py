@@ -93,3 +93,27 @@ def test_refresh_links_as_a_full_run_does(spark, more):
     assert X.verify(t.links, full.links, [*X.PRED, "record_id"], ["text", "authority", "payload_key"]).first()["unequal"] == 0
     r = X.verify(t.beliefs, full.beliefs, X.PRED, ["s", "v", "u", "c", "belief"]).first()
     assert r["unequal"] == 0 and r["rows"] > 0
+
+
+def counting(spark):
+    """A reading model that counts the pairs it is asked for."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    def scorer(pairs):
+        out = gold_scorer(pairs)
+        return out.mapInArrow(count, out.schema)
+
+    return asked, scorer
+
+
+def test_a_full_run_reads_each_pair_once(spark):
+    f = flow(spark, random_log(5), now=20.0)
+    asked, f.scorer = counting(spark)
+    t = X.full_run(f)
+    pairs = t.readings.count()
+    assert pairs == t.edges.select("pair").distinct().count() > 0 and asked.value == pairs

@@ -118,3 +118,19 @@ def test_the_clock_moves_with_the_stream(spark, tmp_path):
     store = StateStore(spark, f"{tmp_path}/store")
     assert store.now == 40.0
     assert_equal(store, X.full_run(flow(spark, rows, now=40.0)))
+
+
+def test_a_large_bucket_is_written_by_many_tasks(spark, tmp_path):
+    """A base is dealt by bucket, but its tasks grow with its rows."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    was = spark.conf.get(key)
+    rows = spark.range(20_000).selectExpr("'t0' AS task_id", "concat('r', id) AS record_id", "array('p0') AS about")
+    try:
+        spark.conf.set(key, "32k")
+        store = StateStore(spark, str(tmp_path), buckets=2)
+        store.segments = [store._write("declared", rows.repartition(8), None, True)]
+        got = store.table("declared")
+        files = got.inputFiles()
+    finally:
+        spark.conf.set(key, was)
+    assert got.count() == got.distinct().count() == 20_000 and len({f.rsplit("/", 1)[0] for f in files}) == 1 and len(files) > 2
